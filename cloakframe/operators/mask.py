@@ -6,16 +6,18 @@ worker, and nothing that depends on how rows are spread over partitions.
 Per row:
 
 1. A cheap test tells whether any rule can match; other rows pass untouched.
-2. The text is split into lines. Rule after rule, matches are recorded and
-   swapped for the rule's sentinel (see :mod:`cloakframe.functions.hof`), so a
-   later rule cannot look inside an earlier placeholder.
-3. Occurrences, read by (line, rule, position), give the order of first
-   appearance. Distinct originals get their placeholder in that order from one
-   counter; rules without a counter give a constant.
-4. Sentinels are swapped for placeholders; lines are joined again.
-
-Steps 3 and 4 sort and binary-search inside the row, which keeps a document
-with very many values at O(n log n).
+2. Rule after rule, matches are recorded and swapped for the rule's sentinel
+   (see :mod:`cloakframe.functions.hof`), so a later rule cannot look inside an
+   earlier placeholder. Rules that cannot cross a line feed run over the whole
+   text at once; otherwise the text is cut into lines first.
+3. Each sentinel is lined up with its recorded value. Read by (line, rule,
+   position) the values give the order of first appearance: distinct originals
+   get their placeholder in that order from one counter; rules without a
+   counter give a constant.
+4. Sentinels are swapped for placeholders.
+
+Steps 3 and 4 only sort and slice inside the row, which keeps a document with
+very many values at O(n log n).
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ FINDINGS_TYPE = "array<struct<text:string,entity_type:string>>"
 # A pattern that may match any character could swallow a sentinel; such rules
 # are applied between sentinels only.
 _WIDE = re.compile(r"(?<!\\)\.|\[\^|\\[SDWPX]")
+# A pattern that may match a line feed, or that looks at line ends, has to see
+# one line at a time.
+_LINE_BOUND = re.compile(r"\[\^|\\[sDWPXnvRAzZGxu]|\(\?|(?<![\\\[])\^|(?<!\\)\$")
 
 
 @dataclass
@@ -276,54 +281,97 @@ def mask_column(
         }[what]()
         return F.when(rank < first_finding, known).otherwise(dynamic)
 
+    whole_text = scope == "fragment" or not any(
+        _LINE_BOUND.search(r.pattern.replace("(?:", "(")) for r in active
+    )
+
     def rewrite(cs: Column, fs: Column) -> Column:
-        raw = F.split(text, "(?<=\n)", -1) if scope == "document" else F.array(text)
+        raw = F.array(text) if whole_text else F.split(text, "(?<=\\n)", -1)
         lines = F.transform(raw, lambda t: _line(t, F.array().cast("array<struct<rank:int,original:string>>")))
-        lines = _apply_pattern(lines, 0, SENTINEL_CLASS, wide=False)
+        lines = F.when(text.rlike(SENTINEL_CLASS), _apply_pattern(lines, 0, SENTINEL_CLASS, wide=False)).otherwise(lines)
         for rank, rule in enumerate(active, start=1):
             lines = _apply_pattern(lines, rank, java_pattern(rule.pattern), bool(_WIDE.search(rule.pattern)))
         if cands is not None:
             lines = _apply_terms(lines, cs)
         if finds is not None:
             lines = _apply_findings(lines, fs)
-        return lines
+        return F.struct(
+            F.array_join(F.transform(lines, lambda s: s["t"]), "").alias("t"),
+            F.flatten(F.transform(lines, lambda s: s["occ"])).alias("occ"),
+        )
 
-    def assemble(lines: Column, fs: Column) -> Column:
-        in_order = F.filter(
-            F.flatten(
-                F.transform(
-                    lines,
-                    lambda s, i: F.transform(
-                        s["occ"],
-                        lambda o: F.struct(
-                            i.alias("line"), o["rank"].alias("rank"), o["original"].alias("original")
-                        ),
-                    ),
-                )
-            ),
-            lambda o: o["rank"] > 0,
+    def assemble(state: Column, fs: Column) -> Column:
+        # sentinels in text order, with their line
+        pieces = F.split(state["t"], "(?<=\\n)", -1) if scope == "document" else F.array(state["t"])
+        marks = F.flatten(
+            F.transform(pieces, lambda t, ln: F.transform(_sentinels(t), lambda c: F.struct(ln.alias("line"), c.alias("c"))))
         )
-        by_value = F.array_sort(
+        # sorted the way the values were recorded, they line up with them
+        recorded = F.sort_array(
             F.transform(
-                in_order,
-                lambda o, i: F.struct(
-                    o["original"].alias("original"), i.alias("pos"), o["rank"].alias("rank"), o["line"].alias("line")
+                marks,
+                (lambda m, i: F.struct(m["c"].alias("c"), i.alias("at"), m["line"].alias("line")))
+                if whole_text
+                else (lambda m, i: F.struct(m["line"].alias("line"), m["c"].alias("c"), i.alias("at"))),
+            )
+        )
+        in_order = F.sort_array(
+            F.zip_with(
+                recorded,
+                state["occ"],
+                lambda m, o: F.struct(
+                    m["line"].alias("line"), o["rank"].alias("rank"), m["at"].alias("at"), o["original"].alias("original")
                 ),
             )
         )
-        return let(by_value, lambda a: let(_distinct_values(a), lambda d: finish(lines, fs, a, d)))
 
-    def finish(lines: Column, fs: Column, by_value: Column, distinct: Column) -> Column:
+        def group(ordered: Column) -> Column:
+            by_value = F.sort_array(
+                F.transform(
+                    F.filter(ordered, lambda o: o["rank"] > 0),
+                    lambda o, i: F.struct(
+                        o["original"].alias("original"), i.alias("pos"), o["rank"].alias("rank"),
+                        o["line"].alias("line"), o["at"].alias("at"),
+                    ),
+                )
+            )
+            foreign = F.transform(
+                F.filter(ordered, lambda o: o["rank"] == 0),
+                lambda o: F.struct(o["at"].alias("at"), o["original"].alias("out")),
+            )
+            return let(
+                by_value, lambda a: let(_distinct_values(a), lambda d: finish(state["t"], fs, a, d, foreign))
+            )
+
+        return let(in_order, group)
+
+    def finish(marked: Column, fs: Column, by_value: Column, distinct: Column, foreign: Column) -> Column:
         fresh = distinct
+        carried = None
         if seed is not None:
-            known = F.array_sort(F.transform(seeds, lambda e: F.struct(e["original"].alias("original"), e["masked"].alias("masked"))))
-            fresh = let(known, lambda k: F.filter(distinct, lambda d: lookup(k, d["original"], "original", "masked").isNull()))
-        by_first = F.array_sort(
+            known = F.sort_array(
+                F.transform(seeds, lambda e: F.struct(e["original"].alias("original"), e["masked"].alias("masked")))
+            )
+            tagged = let(
+                known,
+                lambda k: F.transform(
+                    distinct,
+                    lambda d: F.struct(d.alias("d"), lookup(k, d["original"], "original", "masked").alias("masked")),
+                ),
+            )
+            fresh = F.transform(F.filter(tagged, lambda x: x["masked"].isNull()), lambda x: x["d"])
+            carried = F.transform(
+                F.filter(tagged, lambda x: x["masked"].isNotNull()),
+                lambda x: F.struct(
+                    x["masked"].alias("masked"), x["d"]["start"].alias("start"), x["d"]["n"].alias("n")
+                ),
+            )
+        by_first = F.sort_array(
             F.transform(
                 fresh,
                 lambda d: F.struct(
                     d["pos"].alias("first_seen"), d["line"].alias("line"), d["original"].alias("original"),
-                    d["rank"].alias("rank"), d["n"].alias("n"),
+                    d["rank"].alias("rank"), d["start"].alias("start"), d["n"].alias("n"),
                 ),
             )
         )
@@ -331,11 +379,12 @@ def mask_column(
         def entry(d: Column, masked: Column) -> Column:
             return F.struct(
                 d["first_seen"].alias("first_seen"), d["original"].alias("original"), masked.alias("masked"),
-                describe(fs, d["rank"], "rule_id").alias("rule_id"), d["line"].alias("line"), d["n"].alias("n"),
+                describe(fs, d["rank"], "rule_id").alias("rule_id"), d["line"].alias("line"),
+                d["start"].alias("start"), d["n"].alias("n"),
             )
 
         def numbered(ds: Column) -> Column:
-            with_counter = F.filter(ds, lambda d: describe(fs, d["rank"], "counted"))
+            with_counter = ds if all(counted) else F.filter(ds, lambda d: describe(fs, d["rank"], "counted"))
             numbers = F.transform(
                 with_counter,
                 lambda d, i: entry(
@@ -351,7 +400,7 @@ def mask_column(
                 F.filter(ds, lambda d: ~describe(fs, d["rank"], "counted")),
                 lambda d: entry(d, describe(fs, d["rank"], "prefix")),
             )
-            return F.array_sort(F.concat(numbers, constants))
+            return F.sort_array(F.concat(numbers, constants))
 
         def output(entries: Column) -> Column:
             mapping = F.transform(
@@ -362,20 +411,40 @@ def mask_column(
                     e["n"].cast("int").alias("n_occurrences"),
                 ),
             )
-            if seed is not None:
-                carried = F.transform(
-                    seeds,
-                    lambda e: F.struct(
-                        e["original"].alias("original"), e["masked"].alias("masked"), e["rule_id"].alias("rule_id"),
-                        F.lit(-1).alias("first_seen"), F.lit(-1).alias("line"),
-                        F.coalesce(lookup(distinct, e["original"], "original", "n"), F.lit(0)).cast("int").alias("n_occurrences"),
+            written = F.transform(
+                entries,
+                lambda e: F.struct(e["masked"].alias("masked"), e["start"].alias("start"), e["n"].alias("n")),
+            )
+            if carried is not None:
+                mapping = F.concat(
+                    F.transform(
+                        seeds,
+                        lambda e: F.struct(
+                            e["original"].alias("original"), e["masked"].alias("masked"), e["rule_id"].alias("rule_id"),
+                            F.lit(-1).alias("first_seen"), F.lit(-1).alias("line"),
+                            F.coalesce(lookup(distinct, e["original"], "original", "n"), F.lit(0)).cast("int").alias("n_occurrences"),
+                        ),
+                    ),
+                    mapping,
+                )
+                written = F.concat(carried, written)
+            outs = F.sort_array(
+                F.concat(
+                    foreign,
+                    F.flatten(
+                        F.transform(
+                            written,
+                            lambda w: F.transform(
+                                F.slice(by_value, w["start"] + 1, w["n"]),
+                                lambda x: F.struct(x["at"].alias("at"), w["masked"].alias("out")),
+                            ),
+                        )
                     ),
                 )
-                mapping = F.concat(carried, mapping)
-            table = F.array_sort(
-                F.transform(mapping, lambda m: F.struct(m["original"].alias("original"), m["masked"].alias("masked")))
             )
-            masked = let(table, lambda tb: F.array_join(F.transform(lines, lambda s: _write_line(s, tb)), ""))
+            masked = F.array_join(
+                F.zip_with(_segments(marked), outs, lambda p, r: F.concat(p, F.coalesce(r["out"], F.lit("")))), ""
+            )
             return F.struct(
                 masked.alias("masked"),
                 mapping.cast(MAPPING_TYPE).alias("mapping"),
@@ -403,12 +472,13 @@ def mask_column(
     def run(cs: Column, fs: Column) -> Column:
         hit = F.lit(False)
         for rule in active:
-            hit = hit | text.rlike(java_pattern(rule.pattern))
+            found = text.rlike(java_pattern(rule.pattern))
+            hit = hit | (F.contains(text, F.lit(rule.needle)) & found if rule.needle else found)
         if cands is not None:
             hit = hit | (F.size(cs) > 0)
         if finds is not None:
             hit = hit | (F.size(fs) > 0)
-        masked = let(rewrite(cs, fs), lambda lines: assemble(lines, fs))
+        masked = let(rewrite(cs, fs), lambda state: assemble(state, fs))
         return F.when(hit, masked).otherwise(untouched)
 
     if cands is None and finds is None:
@@ -434,39 +504,15 @@ def _distinct_values(by_value: Column) -> Column:
                 F.get(by_value, p)["pos"].alias("pos"),
                 F.get(by_value, p)["rank"].alias("rank"),
                 F.get(by_value, p)["line"].alias("line"),
+                p.alias("start"),
                 (F.coalesce(F.get(st, j + 1), F.size(by_value)) - p).alias("n"),
             ),
         ),
     )
-    empty = F.array().cast("array<struct<original:string,pos:int,rank:int,line:int,n:int>>")
+    empty = F.array().cast("array<struct<original:string,pos:int,rank:int,line:int,start:int,n:int>>")
     return F.when(F.size(by_value) == 0, empty).otherwise(groups)
 
 
-def _write_line(s: Column, table: Column) -> Column:
-    """Swap the sentinels of a line for placeholders.
-
-    Recorded occurrences are grouped by rule; sentinels sorted by (rule,
-    position) line up with them one to one.
-    """
-    by_rule = F.array_sort(F.transform(_sentinels(s["t"]), lambda c, i: F.struct(c.alias("c"), i.alias("pos"))))
-    in_text = F.array_sort(
-        F.zip_with(
-            by_rule,
-            s["occ"],
-            lambda a, o: F.struct(
-                a["pos"].alias("pos"),
-                F.when(o["rank"] == 0, o["original"])
-                .otherwise(lookup(table, o["original"], "original", "masked"))
-                .alias("out"),
-            ),
-        )
-    )
-    joined = F.array_join(
-        F.zip_with(_segments(s["t"]), in_text, lambda p, r: F.concat(p, F.coalesce(r["out"], F.lit("")))), ""
-    )
-    return F.when(F.size(s["occ"]) == 0, s["t"]).otherwise(joined)
-
-
 # --- DataFrame operators -----------------------------------------------------
 
 

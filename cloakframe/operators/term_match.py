@@ -108,4 +108,4 @@ def candidate_terms(
     if not parts:
         return none
     merged = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return F.array_sort(F.filter(merged, lambda c: F.contains(text, c["literal"])))
+    return F.sort_array(F.filter(merged, lambda c: F.contains(text, c["literal"])))

@@ -37,6 +37,8 @@ class Rule:
     enabled: bool = True
     builtin: bool = False
     use_counter: bool = True
+    needle: str | None = None
+    """A literal every match holds; texts without it are not scanned."""
 
 
 @dataclass(frozen=True)
@@ -101,7 +103,8 @@ def java_pattern(pattern: str) -> str:
 
 
 def builtin_rules() -> RuleSet:
-    return RuleSet(tuple(Rule(i, n, p, t, builtin=True) for i, n, p, t in lx.BUILTIN_RULES))
+    needles = {"email": "@"}
+    return RuleSet(tuple(Rule(i, n, p, t, builtin=True, needle=needles.get(i)) for i, n, p, t in lx.BUILTIN_RULES))
 
 
 def default_rules() -> RuleSet:

@@ -21,6 +21,7 @@ def get_spark(app: str = "cloakframe", cores: str | None = None, **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.redaction.options.regex", REDACTION)
     )
     for key, value in conf.items():
