@@ -30,30 +30,69 @@ def _entity(text: Column, kind: Column, start: Column, end: Column, confidence:
     )
 
 
-def pattern_entities(text: Column, kind: str, pattern: str, source: str = "regex", confidence: float = 1.0) -> Column:
-    """All matches of a pattern with byte offsets.
+# A text without a match of the cheap pattern cannot match the detectors beside
+# it, so most texts are scanned once per line of this table.
+_GUARDS = [
+    ("[0-9]{8}", ["身份证号", "手机号", "银行卡号", "护照号"]),
+    ("@", ["邮箱"]),
+    (r"\d\.\d{1,3}\.\d", ["IP地址"]),
+    ("[一-龥]{2}", ["地名", "地址"]),
+]
+_SPEC = "array<struct<ord:int,kind:string,matches:array<string>,gaps:array<string>,confidence:double,source:string>>"
+
+
+def _located(specs: Column) -> Column:
+    """Entities with byte offsets from (kind, matches, gaps, confidence, source).
 
     Offsets are running sums of the byte lengths of the gaps and the matches.
     """
-    regex = _java(pattern)
 
-    def build(matches: Column, gaps: Column) -> Column:
-        ends = prefix_sums(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.octet_length(g) + F.octet_length(m)))
+    def build(s: Column) -> Column:
+        lengths = F.zip_with(
+            F.slice(s["gaps"], 1, F.size(s["matches"])), s["matches"], lambda g, m: F.octet_length(g) + F.octet_length(m)
+        )
         return F.zip_with(
-            matches, ends, lambda m, e: _entity(m, F.lit(kind), e - F.octet_length(m), e, confidence, source)
+            s["matches"],
+            prefix_sums(lengths),
+            lambda m, e: F.struct(
+                m.alias("text"), s["kind"].alias("entity_type"), (e - F.octet_length(m)).cast("int").alias("start"),
+                e.cast("int").alias("end"), s["confidence"].cast("float").alias("confidence"), s["source"].alias("source"),
+            ),
         )
 
-    found = let(
-        F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"), F.split(text, regex, -1).alias("g")),
-        lambda s: build(s["m"], s["g"]),
+    return F.flatten(F.transform(F.filter(specs, lambda s: F.size(s["matches"]) > 0), build))
+
+
+def _spec(text: Column, ord: int, kind: str, pattern: str, source: str, confidence: float) -> Column:
+    regex = _java(pattern)
+    return F.struct(
+        F.lit(ord).alias("ord"),
+        F.lit(kind).alias("kind"),
+        F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("matches"),
+        F.split(text, regex, -1).alias("gaps"),
+        F.lit(confidence).alias("confidence"),
+        F.lit(source).alias("source"),
     )
-    return F.when(F.rlike(text, F.lit(regex)), found).otherwise(F.array().cast(NO_ENTITIES))
+
+
+def pattern_entities(text: Column, kind: str, pattern: str, source: str = "regex", confidence: float = 1.0) -> Column:
+    """All matches of one pattern with byte offsets."""
+    specs = F.array(_spec(text, 0, kind, pattern, source, confidence))
+    return _located(F.when(F.rlike(text, F.lit(_java(pattern))), specs).otherwise(F.array().cast(_SPEC)))
 
 
 def regex_entities(text: Column, kinds: list[str] | None = None) -> Column:
     """Rule-pattern detector over the chosen entity types, in catalogue order."""
-    chosen = [(k, p) for k, p in lx.DETECTOR_PATTERNS if kinds is None or k in kinds]
-    return F.concat(*[pattern_entities(text, k, p) for k, p in chosen])
+    chosen = {k: (i, p) for i, (k, p) in enumerate(lx.DETECTOR_PATTERNS) if kinds is None or k in kinds}
+    guarded = {k for _, ks in _GUARDS for k in ks}
+    groups = [*_GUARDS, *[(p, [k]) for k, (_, p) in chosen.items() if k not in guarded]]
+    parts = []
+    for guard, members in groups:
+        specs = [_spec(text, chosen[k][0], k, chosen[k][1], "regex", 1.0) for k in members if k in chosen]
+        if specs:
+            hit = F.contains(text, F.lit(guard)) if guard == "@" else F.rlike(text, F.lit(guard))
+            parts.append(F.when(hit, F.array(*specs)).otherwise(F.array().cast(_SPEC)))
+    return _located(F.sort_array(F.concat(*parts)) if len(parts) > 1 else parts[0])
 
 
 def _byte_start(text: Column, pos: Column) -> Column:
@@ -64,14 +103,14 @@ def _byte_start(text: Column, pos: Column) -> Column:
 def name_candidates(text: Column) -> Column:
     """Surname detector: Han windows of 2-4 characters that start with a common surname.
 
-    Windows are found per Han run that holds a surname, so texts without any
-    are not expanded.
+    Zero-width matches give overlapping windows; texts without Han characters
+    are not looked at.
     """
     surname = "[" + "".join(lx.COMMON_SURNAMES) + "]"
     windows = []
     for n in (2, 3, 4):
         # overlapping windows: a zero-width look at each start
-        windows.append((n, f"(?=({surname}[一-龥]{{{n - 1}}}))"))
+        windows.append((n, f"(?=[一-龥]{{{n}}})(?=({surname}[一-龥]{{{n - 1}}}))"))
 
     def per_length(n: int, pattern: str) -> Column:
         def build(hits: Column, gaps: Column) -> Column:
@@ -109,7 +148,7 @@ def name_candidates(text: Column) -> Column:
             ),
         ),
     )
-    return F.when(F.rlike(text, F.lit(surname + "[一-龥]")), entities).otherwise(F.array().cast(NO_ENTITIES))
+    return F.when(F.rlike(text, F.lit("[一-龥]{2}")), entities).otherwise(F.array().cast(NO_ENTITIES))
 
 
 def looks_like_name(name: Column, compound_extra: int | None = None) -> Column:
@@ -159,7 +198,8 @@ def labelled_names(text: Column) -> Column:
 
 def file_name_names(stem: Column) -> Column:
     """Whole Han runs of a name that look like a personal name."""
-    runs = pattern_entities(stem, "姓名", "[一-龥]+", source="name")
+    runs = pattern_entities(stem, "汉字", "[一-龥]+", source="name")
+    runs = F.transform(runs, lambda e: e.withField("entity_type", F.lit("姓名")))
     return F.filter(runs, lambda e: looks_like_name(e["text"], compound_extra=2))
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["masking", "detection"]
+_MODULES = ["masking", "detection", "restoring"]
 
 
 def load():

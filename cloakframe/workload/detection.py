@@ -36,11 +36,34 @@ def detect_sql(kind: str, source: str = "SELECT doc_id AS k, text FROM documents
                 FROM ({source}))) {guard}"""
 
 
+# One contact card per customer, so that every entity type occurs.
+CARDS = """SELECT c_custkey AS doc_id,
+    '客户姓名：' || substr('王李张刘陈杨黄赵周吴', CAST(c_custkey % 10 + 1 AS INT), 1)
+    || substr('伟芳娜敏静', CAST(c_custkey % 5 + 1 AS INT), 1) || CASE WHEN c_custkey % 3 = 0 THEN '明' ELSE '' END
+    || '，电话 ' || CAST(13000000000 + c_custkey * 7919 AS STRING) || chr(10)
+    || CASE WHEN c_custkey % 4 = 0 THEN '欧阳锋先生 ' WHEN c_custkey % 4 = 1 THEN '不知老师 ' ELSE '' END
+    || '身份证 110105' || CAST(1950 + c_custkey % 50 AS STRING) || '0' || CAST(1 + c_custkey % 9 AS STRING)
+    || '1' || CAST(c_custkey % 10 AS STRING) || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || 'X' || chr(10)
+    || '护照 E' || lpad(CAST(c_custkey AS STRING), 8, '0') || ' 生日 ' || CAST(1950 + c_custkey % 50 AS STRING)
+    || '年' || CAST(1 + c_custkey % 12 AS STRING) || '月' || CAST(1 + c_custkey % 28 AS STRING) || '日'
+    || ' 余额 ¥' || CAST(1 + c_custkey % 900 AS STRING) || ',' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '.50'
+    || ' 地址 ' || CASE c_nationkey % 3 WHEN 0 THEN '北京市' WHEN 1 THEN '广东省广州市' ELSE '新疆自治区' END
+    || '朝阳区建国路' || CAST(c_custkey % 100 AS STRING) || '号' || chr(10) || c_mktsegment AS text FROM {customer}"""
+CARDS_SQL = CARDS.replace("{customer}", "customer")
+
+
+def cards(spark, sf):
+    return spark.sql(CARDS, customer=table(spark, sf, "customer"))
+
+
 def _register(name: str, kind: str, covers: str) -> None:
-    @query(name, detect_sql(kind), covers=covers)
+    both = f"SELECT doc_id AS k, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM ({CARDS_SQL})"
+
+    @query(name, detect_sql(kind, both), covers=covers)
     def run(spark, sf, kind=kind):
         docs = table(spark, sf, "documents").select("doc_id", "text")
-        return d.finding_rows(d.detect(docs, "doc_id", "text", kinds=[kind]), "doc_id")
+        notes = cards(spark, sf).select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+        return d.finding_rows(d.detect(docs.unionByName(notes), "doc_id", "text", kinds=[kind]), "doc_id")
 
 
 for _name, _kind, _covers in [
@@ -194,3 +217,40 @@ def q_score(spark, sf):
         .withColumn("category", F.when(F.col("required"), "phone").otherwise("card"))
     )
     return d.score_expected(expected, d.detect(docs, "doc_id", "text"), ["doc_id"])
+
+
+_HAN_NAME = f"""regexp_matches(%s, '^[一-龥]{{2,4}}$') AND (regexp_matches(%s, '^({'|'.join(lx.COMPOUND_SURNAMES)})[一-龥]+$')
+    OR regexp_matches(%s, '^[{''.join(lx.COMMON_SURNAMES)}]'))"""
+
+
+@query(
+    "detect_labelled_names",
+    f"""WITH c AS ({CARDS_SQL}),
+    m AS (SELECT doc_id, unnest(regexp_extract_all(text, {_lit(lx.LABELLED_NAME_PATTERNS[0])}, 1)) AS text FROM c
+          UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, {_lit(lx.LABELLED_NAME_PATTERNS[1])}, 1)) FROM c)
+    SELECT m.doc_id, m.text, CAST(strlen(substr(c.text, 1, instr(c.text, m.text) - 1)) AS INTEGER) AS "start"
+    FROM m JOIN c USING (doc_id) WHERE {_HAN_NAME.replace("%s", "m.text")}""",
+    covers="D14 D15",
+)
+def q_labelled(spark, sf):
+    return d.detect(cards(spark, sf), "doc_id", "text", detectors=["label"]).select("doc_id", "text", "start")
+
+
+_STOP = ", ".join(_lit(w) for w in lx.NAME_STOP_WORDS)
+_CTX = " OR ".join(f"contains(near, {_lit(w)})" for w in lx.NAME_CONTEXT_WORDS)
+
+
+@query(
+    "detect_surname_windows",
+    f"""WITH c AS ({CARDS_SQL}),
+    p AS (SELECT doc_id, text AS doc, unnest(range(0, length(text))) AS i FROM c),
+    w AS (SELECT doc_id, doc, i, n, substr(doc, i + 1, n) AS t,
+              substr(doc, greatest(i - 20, 0) + 1, i + 20 - greatest(i - 20, 0)) AS near FROM p, (VALUES (2), (3), (4)) AS l(n))
+    SELECT doc_id, t AS text, CAST(strlen(substr(doc, 1, i)) AS INTEGER) AS "start", ({_CTX}) AS in_context
+    FROM w WHERE length(t) = n AND regexp_matches(t, '^[{''.join(lx.COMMON_SURNAMES)}][一-龥]*$') AND t NOT IN ({_STOP})
+        AND (({_CTX}) OR n < 4)""",
+    covers="D12 D13",
+)
+def q_surnames(spark, sf):
+    rows = d.detect(cards(spark, sf), "doc_id", "text", detectors=["ner"])
+    return rows.select("doc_id", "text", "start", (F.col("confidence") > 0.8).alias("in_context"))
