@@ -30,15 +30,15 @@ def a1_encode(row: Column, col: Column) -> Column:
 def a1_decode(ref: Column, sheet: Column) -> Column:
     """Struct (row, col), or NULL when the reference is not a cell of ``sheet``."""
     bang = F.when(F.contains(ref, F.lit("!")), F.regexp_extract(ref, r"(?s)^(.*)!", 1))
-    named = F.when(bang.rlike(r"(?s)^'.*'$") & (F.char_length(bang) >= 2), F.expr("1").cast("string")).isNotNull()
-    unquoted = F.when(named, F.substring(bang, F.lit(2), F.char_length(bang) - 2)).otherwise(bang)
+    quoted = bang.rlike(r"(?s)^'.*'$") & (F.char_length(bang) >= 2)
+    unquoted = F.when(quoted, F.substring(bang, F.lit(2), F.char_length(bang) - 2)).otherwise(bang)
     same_sheet = F.coalesce((unquoted == "") | (unquoted == sheet), F.lit(True))
     cleaned = F.replace(F.regexp_extract(ref, r"(?s)([^!]*)$", 1), F.lit("$"), F.lit(""))
     letters = F.upper(F.regexp_extract(cleaned, r"^([A-Za-z]{1,7})([0-9]+)$", 1))
     digits = F.regexp_extract(cleaned, r"^([A-Za-z]{1,7})([0-9]+)$", 2)
     col = F.aggregate(
-        F.split(letters, "(?!^)"), F.lit(0).cast("bigint"),
-        lambda acc, c: acc * 26 + F.when(c == "", 0).otherwise(F.ascii(c) - 64),
+        F.regexp_extract_all(letters, F.lit("[A-Z]"), F.lit(0)), F.lit(0).cast("bigint"),
+        lambda acc, c: acc * 26 + F.ascii(c) - 64,
     )
     row = F.when(F.char_length(F.ltrim(digits, F.lit("0"))) <= 9, F.try_to_number(digits, F.lit("9" * 38)).cast("bigint"))
     ok = (

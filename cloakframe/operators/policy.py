@@ -2,8 +2,8 @@
 
 Tables are long ``cells(workbook, sheet, row, col, value)`` with 1-based sheet
 rows and columns; row 1 is the header. Policies, headers and overrides are
-small tables; their joins are left to Spark, which broadcasts them when their
-statistics say they are small.
+usually small: they are broadcast once their row count has been checked, so
+that the cells themselves are not shuffled; larger ones take a shuffle join.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.partial import apply_strategy
+from cloakframe.functions.sizes import broadcast_if_small
 from cloakframe.functions.text import a1_decode, a1_encode, normalize_header
 
 CELL_KEYS = ["workbook", "sheet", "row", "col"]
@@ -63,7 +64,7 @@ def table_profile(cells: DataFrame, headers: DataFrame, samples: int = 5) -> Dat
         F.max("row").alias("max_row"),
     )
     extent = per.groupBy("workbook", "sheet").agg(F.max("max_row").alias("max_row"), F.max("col").alias("max_col"))
-    return per.drop("max_row").join(headers, keys, "left").join(extent, ["workbook", "sheet"]).select(
+    return per.drop("max_row").join(broadcast_if_small(headers), keys, "left").join(extent, ["workbook", "sheet"]).select(
         *keys, "header", "samples", "max_row", "max_col"
     )
 
@@ -161,13 +162,12 @@ def check_conflicts(conflicts: DataFrame) -> None:
 
 def mask_cells(cells: DataFrame, bindings: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Override, then column rule, else unchanged. Adds ``strategy`` and ``masked``."""
-    out = cells.join(
-        bindings.select("sheet", "col", F.col("strategy").alias("_cs"), F.col("replacement").alias("_cr")), ["sheet", "col"], "left"
-    )
+    cols = bindings.select("sheet", "col", F.col("strategy").alias("_cs"), F.col("replacement").alias("_cr"))
+    out = cells.join(broadcast_if_small(cols), ["sheet", "col"], "left")
     strategy, replacement = F.col("_cs"), F.col("_cr")
     if overrides is not None:
         ov = overrides.select("sheet", "row", "col", F.col("strategy").alias("_os"), F.col("replacement").alias("_or"))
-        out = out.join(ov, ["sheet", "row", "col"], "left")
+        out = out.join(broadcast_if_small(ov), ["sheet", "row", "col"], "left")
         replacement = F.when(F.col("_os").isNotNull(), F.col("_or")).otherwise(replacement)
         strategy = F.coalesce("_os", "_cs")
     value = F.coalesce("value", F.lit(""))

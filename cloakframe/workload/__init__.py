@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["masking", "detection", "restoring"]
+_MODULES = ["masking", "detection", "restoring", "policies"]
 
 
 def load():
