@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["masking", "detection", "restoring", "policies"]
+_MODULES = ["masking", "detection", "restoring", "policies", "auditing"]
 
 
 def load():
