@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["masking", "detection", "restoring", "policies", "auditing"]
+_MODULES = ["masking", "detection", "restoring", "policies", "auditing", "editing"]
 
 
 def load():
