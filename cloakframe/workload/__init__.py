@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["masking", "detection", "restoring", "policies", "auditing", "editing"]
+_MODULES = ["masking", "detection", "restoring", "policies", "auditing", "editing", "library"]
 
 
 def load():
