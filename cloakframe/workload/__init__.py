@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["masking", "detection", "restoring", "policies", "auditing", "editing", "library"]
+_MODULES = ["masking", "detection", "restoring", "policies", "auditing", "editing", "library", "ingesting"]
 
 
 def load():
