@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["masking", "detection", "restoring", "policies", "auditing", "editing", "library", "ingesting"]
+_MODULES = ["masking", "detection", "restoring", "policies", "auditing", "editing", "library", "ingesting", "streams"]
 
 
 def load():
