@@ -15,3 +15,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     execution splits its skewed partitions).
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+SPREAD_BYTES = 1 << 30
+
+
+def spread_small(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Spread a small input over the cores before work that is heavy per row.
+
+    A small file often is a single row group and thus a single task. Inputs
+    above ``max_bytes`` keep their scan partitions: nothing is shuffled there.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df

@@ -54,12 +54,14 @@ def term_pattern(term: Term, word_end: list[int] = (), word_start: list[int] = (
         return body
     boundary = r"(?U:\b)"
     ends, starts = _class_of(list(word_end)), _class_of(list(word_start))
-    left = right = boundary
+    left, right = boundary + body, boundary
     if ends:
-        left = f"{boundary}(?<!{ends})" if _WORD.match(term.term[0]) else f"(?:{boundary}|(?<={ends}))"
+        left = f"{boundary}(?<!{ends}){body}" if _WORD.match(term.term[0]) else f"(?:{boundary}|{ends}){body}"
     if starts:
         right = f"{boundary}(?!{starts})" if _WORD.match(term.term[-1]) else f"(?:{boundary}|(?={starts}))"
-    return left + body + right
+    # the literal comes first, which lets the matcher skip ahead; what has to
+    # stand before it is checked by looking back over it
+    return f"{body}{right}(?<={left})"
 
 
 def _groups(entries: dict[str, list]) -> Column:

@@ -61,11 +61,14 @@ def decode_text(df: DataFrame, content_col: str = "content") -> DataFrame:
 def decode_lenient(df: DataFrame, content_col: str = "content") -> DataFrame:
     """UTF-8, else GBK when free of errors, else UTF-8 with replacement characters.
 
-    GBK needs ``spark.sql.legacy.javaCharsets=true``; without it the last form is used.
+    GBK needs ``spark.sql.legacy.javaCharsets`` (the charset) and
+    ``spark.sql.legacy.codingErrorAction`` (errors become replacement
+    characters, which are looked for here); without both the last form is used.
     """
     raw = F.col(content_col)
     candidates = [F.try_validate_utf8(raw.cast("string"))]
-    if str(df.sparkSession.conf.get("spark.sql.legacy.javaCharsets", "false")).lower() == "true":
+    needed = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    if all(str(df.sparkSession.conf.get(name, "false")).lower() == "true" for name in needed):
         gbk = F.decode(raw, "GBK")
         candidates.append(F.when(~F.contains(gbk, F.lit("�")), gbk))
     return df.withColumn("text", F.coalesce(*candidates, F.make_valid_utf8(raw.cast("string"))))

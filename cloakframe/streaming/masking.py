@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cloakframe.functions.sizes import spread_small
 from cloakframe.operators.mask import mask_documents
 from cloakframe.operators.terms import freeze_snapshot
 from cloakframe.plans.rules import RuleSet, terms_from_df
@@ -55,7 +56,7 @@ def mask_stream(
         if terms is not None:
             active = rules.with_terms(terms_from_df(frozen_terms(spark, terms, f"{out}/terms", batch_id)))
         target = f"{out}/masked/batch_id={batch_id}"
-        mask_documents(df, id_col, text_col, active).wide.write.mode("overwrite").parquet(target)
+        mask_documents(spread_small(df), id_col, text_col, active).wide.write.mode("overwrite").parquet(target)
         stored = spark.read.parquet(target)
         stored.select(id_col, F.inline("mapping")).write.mode("overwrite").parquet(f"{out}/mapping/batch_id={batch_id}")
         events = stored.select(

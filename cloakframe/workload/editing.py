@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloakframe.functions import text as tx
+from cloakframe.functions.sizes import spread_small
 from cloakframe.operators import cells as c
 from cloakframe.operators import detect as d
 from cloakframe.operators import edits as e
@@ -33,7 +34,7 @@ _NAME_SQL = """substr('王李张刘陈', CAST(c_custkey % 5 + 1 AS INT), 1) || '
     covers="A9 A10 A11 D16",
 )
 def q_names(spark, sf):
-    names = table(spark, sf, "customer").select("c_custkey", F.expr(_NAME_SQL).alias("name"))
+    names = spread_small(table(spark, sf, "customer").select("c_custkey", F.expr(_NAME_SQL).alias("name")))
     return n.mask_names(names, "name", activate(ALL_IDS)).select("c_custkey", "masked_name", "masked_count")
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cloakframe.functions.sizes import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -28,5 +30,10 @@ def query(name: str, sql: str | None = None, covers: str = "") -> Callable[[Quer
     return add
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A shared table; small text tables are spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
