@@ -26,5 +26,5 @@ def spread_small(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
     A small file often is a single row group and thus a single task. Inputs
     above ``max_bytes`` keep their scan partitions: nothing is shuffled there.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df
