@@ -97,11 +97,13 @@ def mask_table_cells(cells: DataFrame, rules: RuleSet, table_col: str = "workboo
     outs = placed.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(F.col("rank") == 0, F.col("original")).otherwise(F.col("masked")).alias("out")))).alias("outs")
     )
-    joined = marked.join(outs, keys, "left")
+    # cells without a match are not shuffled
+    joined = marked.filter(F.col("_s").isNotNull()).join(outs, keys, "left")
     text = F.array_join(
         F.zip_with(F.split("_s.t", SENTINEL_CLASS, -1), "outs", lambda p, r: F.concat(p, F.coalesce(r["out"], F.lit("")))), ""
     )
-    masked = joined.withColumn("masked", F.when(F.col("outs").isNull(), F.col("value")).otherwise(text)).drop("_s", "outs")
+    changed = joined.withColumn("masked", F.when(F.col("outs").isNull(), F.col("value")).otherwise(text)).select(*cells.columns, "masked")
+    masked = cells.filter(~F.coalesce(hit, F.lit(False))).withColumn("masked", F.col("value")).unionByName(changed)
     return masked, mapping.select(table_col, "original", "masked", "rule_id", "n_occurrences")
 
 

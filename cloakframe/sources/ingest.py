@@ -8,11 +8,12 @@ so no group can outgrow a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions.hof import let
 from cloakframe.functions.text import base_name, markdown_named_cell, markdown_row, markdown_text, retryable
+from cloakframe.operators.ordering import running_sum
 from cloakframe.plans import lexicon as lx
 
 # --- files ---------------------------------------------------------------------
@@ -312,8 +313,9 @@ def estimated_pages(df: DataFrame, text_col: str, total_col: str) -> DataFrame:
 
 def pages_by_breaks(blocks: DataFrame, doc: str, order_col: str, break_col: str) -> DataFrame:
     """Page number of each block: one more than the breaks before it."""
-    w = Window.partitionBy(doc).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("page_no", F.coalesce(F.sum(F.col(break_col).cast("int")).over(w), F.lit(0)) + 1)
+    step = F.col(break_col).cast("int")
+    run = running_sum(blocks, doc, [order_col], F.floor(F.col(order_col) / 10_000), step, "page_no")
+    return run.withColumn("page_no", F.col("page_no") - step + 1)
 
 
 # --- OCR results ---------------------------------------------------------------------
@@ -394,8 +396,6 @@ def batch_limits(files: DataFrame) -> DataFrame:
 
 def first_over_budget(files: DataFrame, budget: int = lx.BATCH_MAX_BYTES) -> DataFrame:
     """First file of each batch with which the running size passes the budget."""
-    from cloakframe.operators.ordering import running_sum
-
     run = running_sum(files, "batch_id", ["file_ord"], F.floor(F.col("file_ord") / 10_000), F.col("size_bytes"), "running_bytes")
     return run.filter(F.col("running_bytes") > budget).groupBy("batch_id").agg(F.min("file_ord").alias("file_ord"))
 

@@ -29,7 +29,7 @@ _NAME_SQL = """substr('王李张刘陈', CAST(c_custkey % 5 + 1 AS INT), 1) || '
 @query(
     "mask_names",
     f"""SELECT c_custkey, left(nm, 1) || '*_' || substr(nm, 4, 3) || '****' || substr(nm, 11, 4) || '_' || substr(nm, 16, 6) || '********' || substr(nm, 30, 4)
-        || '_6222***********' || right(lpad(CAST(c_custkey AS VARCHAR), 15, '0'), 4) || '_合同.docx' AS masked_name, 4 AS masked_count
+        || '_6222***********' || right(lpad(CAST(c_custkey AS VARCHAR), 15, '0'), 4) || '_合同.docx' AS masked_name, 4::BIGINT AS masked_count
     FROM (SELECT c_custkey, {_NAME_SQL} AS nm FROM customer)""",
     covers="A9 A10 A11 D16",
 )
@@ -142,7 +142,7 @@ def q_edit_mapping(spark, sf):
 @query(
     "manual_edit_names",
     """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Client***.txt' ELSE CASE WHEN c_mktsegment = 'BUILDING' THEN 'a-xING.txt' ELSE 'a-***NAME1***.txt' END END AS edited_name,
-    CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END END AS n_hits FROM customer""",
+    CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END END::BIGINT AS n_hits FROM customer""",
     covers="A25",
 )
 def q_edit_names(spark, sf):

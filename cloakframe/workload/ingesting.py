@@ -241,7 +241,7 @@ def q_ocr_valid(spark, sf):
 
 @query(
     "ocr_quality",
-    "SELECT conv_id, count(*) AS total_pages, count(*) FILTER (WHERE turn % 4 = 3) AS empty_pages, 0 AS failed_pages, round(avg(0.5 + turn / 100), 4) AS avg_confidence FROM conversations GROUP BY conv_id",
+    "SELECT conv_id, count(*) AS total_pages, count(*) FILTER (WHERE turn % 4 = 3) AS empty_pages, 0::BIGINT AS failed_pages, round(avg(0.5 + turn / 100), 4) AS avg_confidence FROM conversations GROUP BY conv_id",
     covers="S23",
 )
 def q_ocr_quality(spark, sf):

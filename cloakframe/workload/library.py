@@ -219,7 +219,7 @@ def q_requests(spark, sf):
 @query(
     "rule_usage",
     f"""WITH {mask_ctes("SELECT doc_id, text FROM documents")}, c AS (SELECT unnest([{_KNOWN}]) AS id, unnest(range(0, {len(lx.BUILTIN_RULES)})) AS rule_ord)
-    SELECT c.rule_ord, c.id, c.id <> 'chinese_name' AS enabled_by_default, count(f.k) AS distinct_values FROM c LEFT JOIN fresh f ON f.rule_id = c.id GROUP BY ALL""",
+    SELECT CAST(c.rule_ord AS INTEGER) AS rule_ord, c.id, c.id <> 'chinese_name' AS enabled_by_default, count(f.k) AS distinct_values FROM c LEFT JOIN fresh f ON f.rule_id = c.id GROUP BY ALL""",
     covers="T1 T5",
 )
 def q_usage(spark, sf):

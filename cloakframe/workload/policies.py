@@ -215,18 +215,19 @@ def q_summary(spark, sf):
 @query(
     "table_profile",
     f"""SELECT col, h AS header, samples, max_row, 5 AS max_col FROM (
-        SELECT col, list(v ORDER BY "row") FILTER (WHERE "row" BETWEEN 2 AND 6) AS samples, max("row") AS max_row FROM ({CELLS_SQL}) GROUP BY col)
+        SELECT col, string_agg(v, '|' ORDER BY "row") FILTER (WHERE "row" BETWEEN 2 AND 6) AS samples, max("row") AS max_row FROM ({CELLS_SQL}) GROUP BY col)
         JOIN (VALUES (1, 'c_custkey'), (2, 'c_name'), (3, 'c_mktsegment'), (4, 'c_nationkey'), (5, 'email')) AS t(c, h) ON c = col""",
     covers="P1 W4",
 )
 def q_profile(spark, sf):
     headers = p.headers_of(CUST_COLS, spark, "customers")
-    return p.table_profile(customer_cells(spark, sf), headers).drop("workbook", "sheet")
+    profile = p.table_profile(customer_cells(spark, sf), headers).drop("workbook", "sheet")
+    return profile.withColumn("samples", F.array_join("samples", "|"))
 
 
 @query(
     "range_overrides",
-    """SELECT r AS "row", c AS col, arg_max(s, o) AS strategy FROM (
+    """SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, arg_max(s, o) AS strategy FROM (
         SELECT unnest(range(2 + n_nationkey * 10, 5 + n_nationkey * 10)) AS r, n_nationkey AS o, 'FULL_MASK' AS s FROM nation) x,
         (SELECT unnest(range(1, 4)) AS c) GROUP BY r, c""",
     covers="P15 P20",
