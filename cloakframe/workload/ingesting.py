@@ -279,7 +279,22 @@ def q_over(spark, sf):
     return g.first_over_budget(files, 100_000)
 
 
-@query("admit_files", None, covers="S37")
+@query(
+    "admit_files",
+    """WITH RECURSIVE f AS (SELECT o_custkey % 7 AS batch_id, o_orderkey AS file_ord, 'f' || (o_orderkey % 50) || CASE WHEN o_orderkey % 11 = 0 THEN '.exe' ELSE '.txt' END AS name,
+        o_orderkey % 40 * 10 AS size_bytes, o_orderkey % 3 AS mtime FROM orders),
+    g AS (SELECT *, file_ord = min(file_ord) OVER (PARTITION BY batch_id, name, size_bytes, mtime) AS is_first, suffix(name, '.exe') AS bad FROM f),
+    m AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY file_ord) AS rn FROM g WHERE is_first AND NOT bad),
+    r AS (SELECT DISTINCT batch_id, 0::BIGINT AS rn, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS file_ord, NULL::VARCHAR AS reason FROM m
+        UNION ALL SELECT m.batch_id, m.rn, r.n + CASE WHEN r.n < 20 AND m.size_bytes <= 300 AND r.used + m.size_bytes <= 2500 THEN 1 ELSE 0 END,
+            r.used + CASE WHEN r.n < 20 AND m.size_bytes <= 300 AND r.used + m.size_bytes <= 2500 THEN m.size_bytes ELSE 0 END, m.file_ord,
+            CASE WHEN r.n >= 20 THEN 'COUNT_LIMIT' WHEN m.size_bytes > 300 THEN 'FILE_TOO_LARGE' WHEN r.used + m.size_bytes > 2500 THEN 'BATCH_TOO_LARGE' ELSE 'ACCEPTED' END
+        FROM r JOIN m ON m.batch_id = r.batch_id AND m.rn = r.rn + 1)
+    SELECT g.batch_id, g.file_ord, g.name, g.size_bytes, g.mtime, x.reason, x.reason = 'ACCEPTED' AS accepted FROM (
+        SELECT g.file_ord, CASE WHEN NOT g.is_first THEN 'DUPLICATE' WHEN g.bad THEN 'UNSUPPORTED' ELSE r.reason END AS reason FROM g LEFT JOIN r ON r.file_ord = g.file_ord AND r.batch_id = g.batch_id) x
+    JOIN g ON g.file_ord = x.file_ord""",
+    covers="S37",
+)
 def q_admit(spark, sf):
     name = F.concat(F.lit("f"), (F.col("o_orderkey") % 50).cast("string"), F.when(F.col("o_orderkey") % 11 == 0, ".exe").otherwise(".txt"))
     files = table(spark, sf, "orders").select(

@@ -178,7 +178,19 @@ def q_terms_only(spark, sf):
     return mask_documents(docs, "doc_id", "text", rules).wide.select("doc_id", "masked")
 
 
-@query("terms_masked_docs", None, covers="T7 T8")
+# Words of the pieces between placeholders are looked up; the rules' numbers do not depend on terms.
+_W = "'[\\pL\\pN\\pM_]+'"
+TERMS_MASKED_SQL = f"""{TERMS_SQL}, {mask_ctes("SELECT doc_id, text FROM documents")},
+    gap AS (SELECT k, part, unnest(string_split_regex(p, {_W})) AS gap, unnest(range(1, len(string_split_regex(p, {_W})) + 1)) AS i FROM part),
+    word AS (SELECT k, part, unnest(regexp_extract_all(p, {_W})) AS word, unnest(range(1, len(regexp_extract_all(p, {_W})) + 1)) AS i FROM part),
+    piece AS (SELECT g.k, g.part, count(t.term) AS n,
+        string_agg(g.gap || CASE WHEN t.term IS NOT NULL THEN '[' || t.category || ']' ELSE coalesce(w.word, '') END, '' ORDER BY g.i) AS p
+        FROM gap g LEFT JOIN word w ON w.k = g.k AND w.part = g.part AND w.i = g.i LEFT JOIN terms t ON t.enabled AND t.term = w.word GROUP BY g.k, g.part)
+    SELECT p.k AS doc_id, string_agg(p.p || coalesce(l.masked, ''), '' ORDER BY p.part) AS masked, CAST(count(s.original) + sum(p.n) AS BIGINT) AS masked_entity_count
+    FROM piece p LEFT JOIN seen s ON s.k = p.k AND s.part = p.part LEFT JOIN lookup l ON l.k = s.k AND l.original = s.original GROUP BY p.k"""
+
+
+@query("terms_masked_docs", TERMS_MASKED_SQL, covers="T7 T8")
 def q_masked(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rules = default_rules().with_terms(terms_from_df(library(spark, sf)))

@@ -9,7 +9,7 @@ from cloakframe.streaming.events import expiry_stream, outcome_windows, pair_str
 from cloakframe.streaming.masking import file_stream, mask_stream, read_stream_output
 from cloakframe.streaming.workdir import work_dir
 from cloakframe.workload.auditing import VIEWS, ctes
-from cloakframe.workload.library import library
+from cloakframe.workload.library import TERMS_MASKED_SQL, library
 from cloakframe.workload.mask_sql import mask_ctes
 from cloakframe.workload.masking import DOCS
 from cloakframe.workload.registry import query, table
@@ -36,7 +36,7 @@ def q_mask(spark, sf):
     return read_stream_output(spark, f"{root}/out").select("doc_id", "masked", "masked_entity_count")
 
 
-@query("stream_mask_with_terms", None, covers="X6")
+@query("stream_mask_with_terms", TERMS_MASKED_SQL, covers="X6")
 def q_mask_terms(spark, sf):
     root = work_dir(spark, "mask-terms")
     docs = _stream(spark, sf, "documents").select("doc_id", "text")
@@ -70,14 +70,33 @@ def q_daily(spark, sf):
     return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "error_code", "n")
 
 
-@query("stream_expired_sessions", None, covers="X4")
+def expiry_sql(key: str, start: str, ttl_minutes: int) -> str:
+    """The expiry rule read event by event."""
+    ttl = ttl_minutes * 60_000
+    return "WITH RECURSIVE " + ctes("job_events").removeprefix("WITH ") + f""", e AS (
+        SELECT CAST({key} AS VARCHAR) AS key, epoch_us(created_at) // 1000 AS ms, CASE WHEN event_type = '{start}' THEN 's' ELSE 'e' END AS kind
+        FROM job_events WHERE event_type IN ('{start}', 'Completed', 'Failed')),
+    z AS (SELECT max(ms) - 60000 AS mark FROM e),
+    m AS (SELECT key, ms, kind, row_number() OVER (PARTITION BY key ORDER BY ms, kind) AS rn FROM e, z WHERE ms <= mark),
+    r AS (SELECT DISTINCT key, 0::BIGINT AS rn, NULL::BIGINT AS opened, NULL::BIGINT AS fired FROM m
+        UNION ALL SELECT m.key, m.rn,
+            CASE WHEN m.kind = 'e' THEN NULL WHEN r.opened IS NULL OR m.ms > r.opened + {ttl} THEN m.ms ELSE r.opened END,
+            CASE WHEN m.ms > r.opened + {ttl} THEN r.opened END
+        FROM r JOIN m ON m.key = r.key AND m.rn = r.rn + 1),
+    done AS (SELECT key, fired FROM r WHERE fired IS NOT NULL
+        UNION ALL SELECT key, opened FROM (SELECT key, arg_max(opened, rn) FILTER (WHERE opened IS NOT NULL) AS opened, max(rn) AS last, max(rn) FILTER (WHERE opened IS NOT NULL) AS open_rn FROM r GROUP BY key), z
+        WHERE last = open_rn AND mark > opened + {ttl})
+    SELECT key, fired AS since_ms, fired + {ttl} AS expired_ms FROM done"""
+
+
+@query("stream_expired_sessions", expiry_sql("file_id", "Queued", 30), covers="X4")
 def q_expired(spark, sf):
     root = work_dir(spark, "expired")
     stream = expiry_stream(_job_events(spark, sf).select("file_id", "event_type", "created_at"), "file_id", ["Queued"], ["Completed", "Failed"], 30)
     return run_to_parquet(stream, f"{root}/out", f"{root}/checkpoint")
 
 
-@query("stream_stuck_batches", None, covers="X7")
+@query("stream_stuck_batches", expiry_sql("batch_id", "ProcessingStarted", 60), covers="X7")
 def q_stuck(spark, sf):
     root = work_dir(spark, "stuck")
     stream = expiry_stream(_job_events(spark, sf).select("batch_id", "event_type", "created_at"), "batch_id", ["ProcessingStarted"], ["Completed", "Failed"], 60)
