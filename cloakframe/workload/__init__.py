@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["masking", "detection", "restoring", "policies", "auditing", "editing", "library", "ingesting", "streams"]
+_MODULES = ["masking", "detection", "restoring", "policies", "auditing", "editing", "library", "ingesting", "streams", "stored"]
 
 
 def load():

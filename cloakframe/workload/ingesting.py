@@ -39,8 +39,6 @@ def q_files(spark, sf):
     return files.crossJoin(table(spark, sf, "documents").agg(F.count("*").alias("documents")))
 
 
-_BYTES = "CASE page_id % 4 WHEN 1 THEN {pdf} WHEN 2 THEN {bad} ELSE {raw} END"
-
 
 def _contents(spark, sf):
     k, raw = F.col("page_id") % 4, F.col("html").cast("binary")
