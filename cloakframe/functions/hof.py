@@ -7,6 +7,7 @@ is computed once per row and not once per array element.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def constant_array(values: list, element: str = "string") -> Column:
+    """A long constant array in one expression; Catalyst folds it to a literal."""
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"array<{element}>")
+
+
 def prefix_sums(values: Column) -> Column:
     """Inclusive running sums of a numeric array in O(n log n)."""
 

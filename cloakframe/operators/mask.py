@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions.hof import (
     SENTINEL_CAPACITY,
     SENTINEL_CLASS,
+    constant_array,
     count_matches,
     let,
     lookup,
@@ -267,9 +268,17 @@ def mask_column(
     seeds = F.coalesce(seed.cast(SEED_TYPE), no_seed) if seed is not None else no_seed
     start = F.coalesce(seed_counter.cast("int"), F.lit(0)) if seed_counter is not None else F.lit(0)
 
+    # constants of the plan, built once
+    all_prefixes, all_ids, all_counted = constant_array(prefixes), constant_array(ids), constant_array(counted, "boolean")
+    static = {
+        "prefix": lambda rank: F.get(all_prefixes, rank - 1),
+        "suffix": lambda rank: F.lit(""),
+        "rule_id": lambda rank: F.get(all_ids, rank - 1),
+        "counted": lambda rank: F.get(all_counted, rank - 1),
+    }
+
     def describe(fs: Column, rank: Column, what: str) -> Column:
-        static = {"prefix": prefixes, "suffix": [""] * len(ids), "rule_id": ids, "counted": counted}[what]
-        known = F.get(F.lit(static), rank - 1) if static else F.lit(None)
+        known = static[what](rank)
         if finds is None:
             return known
         entity_type = F.get(fs, rank - first_finding)["entity_type"]

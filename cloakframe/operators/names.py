@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.hof import let
+from cloakframe.functions.hof import constant_array, let
 from cloakframe.functions.partial import partial_mask
 from cloakframe.functions.text import clean_display_name, file_extension, file_stem
 from cloakframe.operators.detect import file_name_names, pattern_entities
@@ -48,8 +48,8 @@ def name_spans(stem: Column, rules: RuleSet) -> Column:
             found = _guarded(found, stem, _GUARD[rule.id])
         parts.append(F.transform(found, _rule_span(i, rule)))
     if rules.terms:
-        labels = F.lit([f"[{t.category}]" for t in rules.terms])
-        ids = F.lit([t.rule_id for t in rules.terms])
+        labels = constant_array([f"[{t.category}]" for t in rules.terms])
+        ids = constant_array([t.rule_id for t in rules.terms])
 
         def of_term(c: Column) -> Column:
             hits = F.regexp_extract_all(stem, c["pattern"], F.lit(0))
