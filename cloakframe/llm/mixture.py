@@ -1,16 +1,19 @@
 """Mixing sources to target weights.
 
 Tokens are summed by source, a target is set for each source, and target / size is the source's repetition rate. Each document is
-emitted floor(rate) times plus one copy with the probability of the remaining fraction, drawn from a hash of seed and id.
+emitted floor(rate) times plus one Bernoulli copy with the probability of the remaining fraction, seeded by hashes. The draws of a source
+are spread: its documents stand by size, equal ones by a hash of seed and id, and one hash-seeded number decides for all where copies fall.
+Every document keeps exactly its probability, while the source's total misses the target by one document's size at most; independent draws
+missed it by up to a third where a source has few or very unequal documents.
 
 Targets: sources in code point order, null last, take the weights in turn and share the total. A source's target stops at ``most`` times
 its size; the excess is shared by weight among the others, again and again, until none is above. Null texts have size 0; a source
-without words has target 0 and rate 0. Repeated ids share one draw. An empty table gives an empty result.
+without words has target 0 and rate 0. Repeated rows and ids are drawn one by one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.common import draw, ranked, saved, word_count
@@ -38,24 +41,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return placed.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def copies(rate: Column, chance: Column) -> Column:
-    """floor(rate), and one more if the draw falls below the fraction."""
-    return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+def _drawn(rows: DataFrame, aims: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (id, source, size, u and more) with source_size, target and copies; u tells equal rows apart."""
+    order = [F.col("source").isNull(), F.col("source"), -F.col("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")))), F.col("u")]
+    placed = ranked(rows, order, "place")
+    placed = saved(placed)
+    counts = saved(placed.groupBy("source").agg(F.min("place").alias("first")).withColumnRenamed("source", "s"))
+    aims = aims.join(counts, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("start", draw(seed, "source"))
+    joined = placed.join(saved(aims.drop("s").withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
+    whole = F.floor("rate")
+    upto = lambda n: F.floor(n * (F.col("rate") - whole) + F.col("start"))
+    n = F.col("place") - F.col("first") + 1
+    return joined.withColumn("copies", (whole + upto(n) - upto(n - 1)).cast("long"))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """One row per document: id, size, source_size, target, copies."""
-    measured = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    measured = saved(measured)
-    aims = targets(measured.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "of")
-    joined = measured.join(aims, F.col("source").eqNullSafe(F.col("of")))
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies(F.col("rate"), draw(seed, "id")).alias("copies"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = saved(rows).withColumn("u", F.monotonically_increasing_id())
+    aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    return _drawn(rows, aims, seed).select(F.col("id").alias(id_col), "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is to be taken."""
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(word_count(F.col(text_col))).alias("source_size"))
-    aims = targets(sizes, weights, most).select(F.col("source").alias("of"), "rate")
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
-    often = row.join(aims, F.col("source").eqNullSafe(F.col("of"))).withColumn("n", copies(F.col("rate"), draw(seed, "id")))
-    return often.filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = row.withColumn("u", F.monotonically_increasing_id())
+    aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    often = _drawn(rows, aims, seed).filter("copies > 0")
+    return often.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

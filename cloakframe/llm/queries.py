@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import bpe, mixture, quality_rules, secret_scan, simhash
+from cloakframe.llm import bpe, licenses, mixture, quality_model, quality_rules, secret_scan, shards, simhash, urls, vptree
 from cloakframe.llm.common import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_quality_model")
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model that never saw the labels of a third of the ids."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    weights = quality_model.train(docs, _table(spark, sf_dir, "labels"), allowed=~held_out)
+    out = quality_model.score(docs, weights)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text."""
@@ -45,6 +55,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@_query("op4_vptree", OP4_SQL)
+def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all others; with factor 1 nothing that matters is left out."""
+    return vptree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, factor=1.0)
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
@@ -74,6 +101,28 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.MEASURES, failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"))
 
 
+def _as_path(doc_id: Column) -> Column:
+    """Documents as files of a tree source/lang/block; every 64th is its block's LICENSE, every 512th its language's, every 4096th its source's."""
+    name = F.concat(F.lit("LICENSE."), doc_id)
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    block = F.concat(F.lit("d"), F.floor(doc_id / 64))
+    deep = F.when(doc_id % 64 == 0, F.concat_ws("/", source, lang, block, name)).otherwise(F.concat_ws("/", source, lang, block, F.concat(doc_id, F.lit(".txt"))))
+    return F.when(doc_id % 4096 == 0, F.concat_ws("/", source, name)).when(doc_id % 512 == 0, F.concat_ws("/", source, lang, name)).otherwise(deep)
+
+
+@_query("op6_licenses")
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own or inherited licence of every document, whose path is made from source, lang and doc_id."""
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs.withColumn("path", _as_path(F.col("doc_id"))), keep=("doc_id",))
+
+
+@_query("op7_shards")
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.assign(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) AS place FROM d GROUP BY source),
@@ -83,10 +132,12 @@ l AS (SELECT k, pw, ((SELECT sum(source_size) FROM w) - coalesce(sum(source_size
   / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 level AS (SELECT coalesce((SELECT level FROM l WHERE pw > level ORDER BY k LIMIT 1), 1e300) AS level),
 t AS (SELECT w.source, source_size, least(source_size * 3.0::DOUBLE, level.level * weight) AS target FROM w, level),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate FROM t)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN
-  ('0x' || substr(md5(concat('mixture:', coalesce(doc_id::VARCHAR, 'null'))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate FROM t),
+n AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size DESC, md5(concat('mixture:', coalesce(doc_id::VARCHAR, 'null')))) AS n FROM d),
+f AS (SELECT *, rate - floor(rate) AS part,
+  ('0x' || substr(md5(concat('mixture:', coalesce(source, 'null'))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS start FROM r)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + floor(n * part + start) - floor((n - 1) * part + start)))::BIGINT AS taken
+FROM n JOIN f ON n.source IS NOT DISTINCT FROM f.source
 """
 
 
@@ -111,3 +162,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [_count_of(k).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
     base = F.sha2(_listed(F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))), 256)
     return out.select(F.col("path").alias("doc_id"), *counts, base.alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
+@_query("op10_urls")
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; the trees learn from reported hosts and from URLs that a rule allows."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.train(pages, urls.labelled_urls(pages)))

@@ -122,7 +122,8 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "
     update_ledger(docs, ledger, text_col, rules)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     paths = saved(docs.select(F.col(id_col).alias("path"), F.sha2(text, 256).alias("blob")))
-    return paths.join(findings(docs.sparkSession, ledger, rules), "blob").select("path", "blob", "spans")
+    found = saved(findings(docs.sparkSession, ledger, rules))
+    return paths.join(found, "blob").select("path", "blob", "spans")
 
 
 def redact(docs: DataFrame, ledger: str, text_col: str = "text", mark: str = "[secret]", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:

@@ -108,7 +108,7 @@ def hub_links(fps: DataFrame, bits: int) -> DataFrame:
     flips = [0] + [sum(1 << i for i in c) for k in range(1, bits // 2 + 1) for c in combinations(range(64), k)]
     session = fps.sparkSession
     table = F.broadcast(session.createDataFrame([(_signed(x),) for x in flips], "flip long"))  # a constant of bits: 2,081 rows for 4
-    named = fps.join(table, F.lit(True)).select("fp", F.col("fp").bitwiseXOR("flip").alias("hub"))
+    named = fps.join(table, F.lit(True)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
     named = saved(named)
     least = named.groupBy("hub").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1")
     return named.join(least, "hub").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = found.join(least, found.node == least.fp).select("node", "component", "least")
     named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = linked.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    per_fp = least.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    per_fp = saved(least.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(per_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
