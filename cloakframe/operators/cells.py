@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.hof import SENTINEL_CLASS, sentinel_char
 from cloakframe.operators.detect import entities_column
+from cloakframe.operators.mask import apply_pattern, is_wide
 from cloakframe.operators.ordering import global_rank
 from cloakframe.plans.rules import RuleSet, java_pattern
 
@@ -33,36 +34,23 @@ def _marked(value: Column, rules: list) -> Column:
     )
     steps = F.array(state)
     for rank, rule in enumerate(rules, start=1):
-        steps = F.transform(steps, _rule_step(rank, java_pattern(rule.pattern)))
+        steps = apply_pattern(steps, rank, java_pattern(rule.pattern), is_wide(rule.pattern))
     return F.get(steps, F.lit(0))
 
 
-def _rule_step(rank: int, pattern: str):
-    regex = F.lit(pattern)
-
-    def step(s: Column) -> Column:
-        found = F.transform(
-            F.regexp_extract_all(s["t"], regex, F.lit(0)), lambda m: F.struct(F.lit(rank).alias("rank"), m.alias("original"))
-        )
-        return F.when(
-            F.rlike(s["t"], regex),
-            F.struct(
-                F.regexp_replace(s["t"], regex, F.lit(sentinel_char(rank))).alias("t"), F.concat(s["occ"], found).alias("occ")
-            ),
-        ).otherwise(s)
-
-    return step
-
-
 def mask_table_cells(cells: DataFrame, rules: RuleSet, table_col: str = "workbook") -> tuple[DataFrame, DataFrame]:
     """``(masked cells, mapping)`` for cells(workbook, sheet, row, col, value).
 
-    Values are numbered per ``table_col`` in row-major order. Rules are the
-    counted and constant rules of the set; cells use every rule.
+    Values are numbered per ``table_col``, sheet by sheet (by ``sheet_ord`` where the cells have it, else by
+    name), in row-major order. Rules are the counted and constant rules of the set; cells use every rule. A
+    rule set with terms is refused: terms have to be given as rules, so none is skipped silently.
     """
     rules = rules.checked(cells.sparkSession)
+    if rules.terms:
+        raise ValueError("terms are not applied to cells: give them as rules")
+    sheet = [c for c in ("sheet_ord", "sheet") if c in cells.columns]
     active = [r for r in rules.rules if r.enabled]
-    keys = [table_col, "row", "col"]
+    keys = [table_col, *sheet, "row", "col"]
     hit = F.lit(False)
     for r in active:
         hit = hit | F.rlike(F.col("value"), F.lit(java_pattern(r.pattern)))
@@ -77,15 +65,16 @@ def mask_table_cells(cells: DataFrame, rules: RuleSet, table_col: str = "workboo
     )
     with_hits = marked.filter(F.col("_s").isNotNull()).select(*keys, F.col("_s.t").alias("t"), occ.alias("occ"))
     long = with_hits.select(*keys, F.explode("occ").alias("o")).select(*keys, "o.*")
-    first = F.struct("row", "col", "rank", "at")
+    place = [*sheet, "row", "col", "rank", "at"]
+    first = F.struct(*place)
     values = long.filter("rank > 0").groupBy(table_col, "original").agg(F.min(first).alias("f"), F.count("*").alias("n_occurrences"))
     values = values.select(table_col, "original", "n_occurrences", "f.*")
 
     templates = F.lit([""] + [r.template for r in active])
     ids = F.lit([""] + [r.id for r in active])
     counted = F.col("rank").isin(*[i for i, r in enumerate(active, 1) if r.use_counter])
-    bucket = F.floor(F.col("row") / ROWS_PER_BUCKET)
-    numbered = global_rank(values.filter(counted), table_col, ["row", "col", "rank", "at"], bucket, "no").withColumn(
+    bucket = F.struct(*sheet, F.floor(F.col("row") / ROWS_PER_BUCKET).alias("part"))
+    numbered = global_rank(values.filter(counted), table_col, place, bucket, "no").withColumn(
         "masked", F.concat(F.get(templates, F.col("rank")), F.col("no").cast("string"))
     )
     mapping = numbered.drop("no")

@@ -100,6 +100,12 @@ def _byte_start(text: Column, pos: Column) -> Column:
     return F.octet_length(F.left(text, pos))
 
 
+def _gaps(text: Column, pattern: str) -> Column:
+    """Texts between the zero-width matches of ``pattern``; ``split`` gives none before a match at the very start."""
+    parts = F.split(text, pattern, -1)
+    return F.when(F.rlike(text, F.lit(rf"\A(?:{pattern})")), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
+
+
 def name_candidates(text: Column) -> Column:
     """Surname detector: Han windows of 2-4 characters that start with a common surname.
 
@@ -120,7 +126,7 @@ def name_candidates(text: Column) -> Column:
         return let(
             F.struct(
                 F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("h"),
-                F.split(F.regexp_replace(text, pattern, "\U000F0000"), "\U000F0000", -1).alias("g"),
+                _gaps(text, pattern).alias("g"),
             ),
             lambda s: build(s["h"], s["g"]),
         )
@@ -216,7 +222,7 @@ def digit_windows(text: Column) -> Column:
     found = let(
         F.struct(
             F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("h"),
-            F.split(F.regexp_replace(text, pattern, "\U000F0000"), "\U000F0000", -1).alias("g"),
+            _gaps(text, pattern).alias("g"),
         ),
         lambda s: build(s["h"], s["g"]),
     )
@@ -334,7 +340,7 @@ def parse_model_answers(answers: DataFrame, documents: DataFrame, id_col: str, t
         id_col, F.col("value").alias("text"), normalize_type(F.col("kind")).alias("entity_type"),
         start.cast("int").alias("start"), (start + F.octet_length("value")).cast("int").alias("end"),
         F.lit(0.80).cast("float").alias("confidence"), F.lit("ai").alias("source"),
-        (F.col("line_no") * 1000 + F.col("item_no")).alias("ord"),
+        (F.col("line_no").cast("bigint") * F.lit(1 << 32) + F.col("item_no")).alias("ord"),
     )
 
 

@@ -50,7 +50,7 @@ FINDINGS_TYPE = "array<struct<text:string,entity_type:string>>"
 
 # A pattern that may match any character could swallow a sentinel; such rules
 # are applied between sentinels only.
-_WIDE = re.compile(r"(?<!\\)\.|\[\^|\\[SDWPX]")
+_WIDE = re.compile(r"(?<!\\)\.|\[\^|\\[SDWPXHV]|-\\x\{|-[\U000F0000-\U0010FFFF]")
 # A pattern that may match a line feed, or that looks at line ends, has to see
 # one line at a time.
 _LINE_BOUND = re.compile(r"\[\^|\\[sDWPXnvRAzZGxu]|\(\?|(?<![\\\[])\^|(?<!\\)\$")
@@ -75,16 +75,11 @@ class MaskOutput:
     def mapping(self) -> DataFrame:
         """Long mapping table. ``restorable`` is false where two originals of a
         document share one masked text (constants of one category)."""
-        base = self.wide.select(
-            F.col(self.id_col),
-            F.transform("mapping", lambda m: m["masked"]).alias("_masked_all"),
-            "mapping",
-        )
-        rows = base.select(self.id_col, "_masked_all", F.explode_outer("mapping").alias("m")).filter(
-            "m IS NOT NULL"
-        )
-        shared = F.size(F.filter("_masked_all", lambda x: x == F.col("m.masked")))
-        return rows.select(self.id_col, "m.*", (shared == 1).alias("restorable"))
+        masked = F.sort_array(F.transform("mapping", lambda m: m["masked"]))
+        # neighbours of the sorted texts: one pass, and only the few shared texts travel with the rows
+        shared = let(masked, lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
+        rows = self.wide.select(self.id_col, shared.alias("_shared"), F.explode_outer("mapping").alias("m")).filter("m IS NOT NULL")
+        return rows.select(self.id_col, "m.*", (~F.array_contains("_shared", F.col("m.masked"))).alias("restorable"))
 
     @property
     def summary(self) -> DataFrame:
@@ -116,7 +111,12 @@ def _line(text: Column, occ: Column) -> Column:
     return F.struct(text.alias("t"), occ.alias("occ"))
 
 
-def _apply_pattern(lines: Column, rank: int, pattern: str, wide: bool) -> Column:
+def is_wide(pattern: str) -> bool:
+    """Whether a pattern could match a sentinel."""
+    return bool(_WIDE.search(pattern))
+
+
+def apply_pattern(lines: Column, rank: int, pattern: str, wide: bool) -> Column:
     """One rule over all lines; lines without a match pass unchanged."""
     regex, mark = F.lit(pattern), F.lit(sentinel_char(rank))
 
@@ -297,9 +297,9 @@ def mask_column(
     def rewrite(cs: Column, fs: Column) -> Column:
         raw = F.array(text) if whole_text else F.split(text, "(?<=\\n)", -1)
         lines = F.transform(raw, lambda t: _line(t, F.array().cast("array<struct<rank:int,original:string>>")))
-        lines = F.when(text.rlike(SENTINEL_CLASS), _apply_pattern(lines, 0, SENTINEL_CLASS, wide=False)).otherwise(lines)
+        lines = F.when(text.rlike(SENTINEL_CLASS), apply_pattern(lines, 0, SENTINEL_CLASS, wide=False)).otherwise(lines)
         for rank, rule in enumerate(active, start=1):
-            lines = _apply_pattern(lines, rank, java_pattern(rule.pattern), bool(_WIDE.search(rule.pattern)))
+            lines = apply_pattern(lines, rank, java_pattern(rule.pattern), is_wide(rule.pattern))
         if cands is not None:
             lines = _apply_terms(lines, cs)
         if finds is not None:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.partial import apply_strategy
-from cloakframe.functions.sizes import broadcast_if_small
 from cloakframe.functions.text import a1_decode, a1_encode, normalize_header
 
 CELL_KEYS = ["workbook", "sheet", "row", "col"]
@@ -64,7 +63,7 @@ def table_profile(cells: DataFrame, headers: DataFrame, samples: int = 5) -> Dat
         F.max("row").alias("max_row"),
     )
     extent = per.groupBy("workbook", "sheet").agg(F.max("max_row").alias("max_row"), F.max("col").alias("max_col"))
-    return per.drop("max_row").join(broadcast_if_small(headers), keys, "left").join(extent, ["workbook", "sheet"]).select(
+    return per.drop("max_row").join(headers, keys, "left").join(extent, ["workbook", "sheet"]).select(
         *keys, "header", "samples", "max_row", "max_col"
     )
 
@@ -72,18 +71,26 @@ def table_profile(cells: DataFrame, headers: DataFrame, samples: int = 5) -> Dat
 # --- policy binding --------------------------------------------------------------
 
 
+def _book(*tables: DataFrame) -> list[str]:
+    """``workbook`` where every table has it; a table without it speaks for all workbooks."""
+    return ["workbook"] if all("workbook" in t.columns for t in tables) else []
+
+
 def bind_policy(policy: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Resolve column rules to columns: ``(bindings, conflicts)``.
 
     ``policy``: rule_ord, sheet, col_index (0-based), header_text, strategy,
     replacement. A rule binds to its index when index and header agree, else to
-    the only column with its header, else to the index alone.
+    the only column with its header, else to the index alone. Each workbook of
+    ``headers`` is bound by itself; a policy with a ``workbook`` column speaks for that one only.
     """
-    h = headers.select("sheet", (F.col("col") - 1).alias("h_index"), normalize_header(F.col("header")).alias("h_norm"))
-    sheets = h.select("sheet").distinct()
-    known = policy.join(sheets, "sheet", "left_semi").withColumn("norm", normalize_header(F.col("header_text")))
-    unknown = policy.join(sheets, "sheet", "left_anti")
-    joined = known.join(h, "sheet", "left")
+    key = [*_book(headers), "sheet"]
+    on = [*_book(headers, policy), "sheet"]
+    h = headers.select(*key, (F.col("col") - 1).alias("h_index"), normalize_header(F.col("header")).alias("h_norm"))
+    sheets = h.select(*key).distinct()
+    known = policy.join(sheets, on).withColumn("norm", normalize_header(F.col("header_text")))
+    unknown = policy.join(sheets, on, "left_anti")
+    joined = known.join(h, key, "left")
     per_rule = joined.groupBy(*known.columns).agg(
         F.bool_or(F.col("h_index") == F.col("col_index")).alias("index_ok"),
         F.bool_or((F.col("h_index") == F.col("col_index")) & (F.col("h_norm") == F.col("norm"))).alias("agrees"),
@@ -107,15 +114,15 @@ def bind_policy(policy: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataF
         .when(unique, F.col("header_index"))
         .otherwise(F.col("col_index")),
     )
-    rank = F.row_number().over(Window.partitionBy("sheet", "target").orderBy("rule_ord"))
+    rank = F.row_number().over(Window.partitionBy(*key, "target").orderBy("rule_ord"))
     ranked = resolved.withColumn("rn", F.when(F.col("target").isNotNull(), rank))
     bindings = ranked.filter("rn = 1").select(
-        "sheet", (F.col("target") + 1).cast("int").alias("col"), "rule_ord", "strategy", "replacement"
+        *key, (F.col("target") + 1).cast("int").alias("col"), "rule_ord", "strategy", "replacement"
     )
     conflicts = (
         ranked.filter("conflict IS NOT NULL OR rn > 1")
-        .select("sheet", "rule_ord", F.coalesce("conflict", F.lit("DUPLICATE_COLUMN")).alias("conflict"))
-        .unionByName(unknown.select("sheet", "rule_ord", F.lit("UNKNOWN_SHEET").alias("conflict")))
+        .select(*key, "rule_ord", F.coalesce("conflict", F.lit("DUPLICATE_COLUMN")).alias("conflict"))
+        .unionByName(unknown.select(*on, "rule_ord", F.lit("UNKNOWN_SHEET").alias("conflict")), allowMissingColumns=True)
         .withColumn("severity", F.lit("error"))
     )
     return bindings, conflicts
@@ -126,17 +133,19 @@ def bind_overrides(overrides: DataFrame, bindings: DataFrame) -> tuple[DataFrame
 
     A duplicate is an error; an override over a bound column wins and is a warning.
     """
-    per_cell = overrides.groupBy("sheet", "row", "col").agg(
+    key, on = [*_book(overrides), "sheet"], [*_book(overrides, bindings), "sheet"]
+    book = _book(bindings)
+    per_cell = overrides.groupBy(*key, "row", "col").agg(
         F.max_by(F.struct("strategy", "replacement", "rule_ord"), "rule_ord").alias("o"), F.count("*").alias("n")
     )
-    chosen = per_cell.select("sheet", "row", "col", "o.*")
+    chosen = per_cell.select(*key, "row", "col", "o.*")
     duplicate = per_cell.filter("n > 1").select(
-        "sheet", "o.rule_ord", F.lit("DUPLICATE_OVERRIDE").alias("conflict"), F.lit("error").alias("severity")
+        *key, "o.rule_ord", F.lit("DUPLICATE_OVERRIDE").alias("conflict"), F.lit("error").alias("severity")
     )
-    over_bound = chosen.join(bindings.select("sheet", "col"), ["sheet", "col"], "left_semi").select(
-        "sheet", "rule_ord", F.lit("OVERRIDE_ON_BOUND_COLUMN").alias("conflict"), F.lit("warning").alias("severity")
+    over_bound = chosen.join(bindings.select(*{*book, *on}, "col"), [*on, "col"]).select(
+        *{*book, *key}, "rule_ord", F.lit("OVERRIDE_ON_BOUND_COLUMN").alias("conflict"), F.lit("warning").alias("severity")
     )
-    return chosen, duplicate.unionByName(over_bound)
+    return chosen, duplicate.unionByName(over_bound, allowMissingColumns=True)
 
 
 def expand_ranges(ranges: DataFrame) -> DataFrame:
@@ -162,12 +171,14 @@ def check_conflicts(conflicts: DataFrame) -> None:
 
 def mask_cells(cells: DataFrame, bindings: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Override, then column rule, else unchanged. Adds ``strategy`` and ``masked``."""
-    cols = bindings.select("sheet", "col", F.col("strategy").alias("_cs"), F.col("replacement").alias("_cr"))
-    out = cells.join(broadcast_if_small(cols), ["sheet", "col"], "left")
+    on = [*_book(cells, bindings), "sheet"]
+    cols = bindings.select(*on, "col", F.col("strategy").alias("_cs"), F.col("replacement").alias("_cr"))
+    out = cells.join(cols, [*on, "col"], "left")
     strategy, replacement = F.col("_cs"), F.col("_cr")
     if overrides is not None:
-        ov = overrides.select("sheet", "row", "col", F.col("strategy").alias("_os"), F.col("replacement").alias("_or"))
-        out = out.join(broadcast_if_small(ov), ["sheet", "row", "col"], "left")
+        key = [*_book(cells, overrides), "sheet"]
+        ov = overrides.select(*key, "row", "col", F.col("strategy").alias("_os"), F.col("replacement").alias("_or"))
+        out = out.join(ov, [*key, "row", "col"], "left")
         replacement = F.when(F.col("_os").isNotNull(), F.col("_or")).otherwise(replacement)
         strategy = F.coalesce("_os", "_cs")
     value = F.coalesce("value", F.lit(""))
@@ -220,8 +231,13 @@ def coverage_report(masked_cells: DataFrame, conflicts: DataFrame | None = None)
     out = out.withColumn("coverage_ratio", F.when(F.col("covered_cells") > 0, F.col("hits") / F.col("covered_cells")).otherwise(0.0))
     if conflicts is None:
         return out
-    per = conflicts.groupBy("sheet").agg(F.count("*").alias("conflicts"))
-    return out.join(per, "sheet", "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
+    if not _book(conflicts):
+        conflicts = conflicts.withColumn("workbook", F.lit(None).cast("string"))
+    # a conflict without a workbook stands for all of them
+    own = conflicts.filter("workbook IS NOT NULL").groupBy("workbook", "sheet").agg(F.count("*").alias("_own"))
+    shared = conflicts.filter("workbook IS NULL").groupBy("sheet").agg(F.count("*").alias("_all"))
+    out = out.join(own, ["workbook", "sheet"], "left").join(shared, "sheet", "left")
+    return out.withColumn("conflicts", F.coalesce("_own", F.lit(0)) + F.coalesce("_all", F.lit(0))).drop("_own", "_all")
 
 
 def strategy_summary(masked_cells: DataFrame, totals: bool = False) -> DataFrame:
@@ -243,8 +259,10 @@ def policy_template(policy: DataFrame) -> DataFrame:
 
 
 def write_template(policy: DataFrame, path: str) -> None:
-    tagged = policy.crossJoin(policy_template(policy).select("template_id"))
-    tagged.write.mode("append").partitionBy("template_id").json(path)
+    """Save a policy under the hash of its content; saving it twice leaves one copy."""
+    name = policy_template(policy).first()["template_id"]
+    tagged = policy.withColumn("template_id", F.lit(name))
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("template_id").json(path)
 
 
 def read_template(spark, path: str, template_id: str) -> DataFrame:

@@ -10,7 +10,6 @@ from cloakframe.functions.text import clean_display_name, file_extension, file_s
 
 # Placeholders as written by numbered rules and findings.
 PLACEHOLDER = r"\*\*\*[A-Z]+\*\*\*[0-9]+|\*\*\*[A-Z]+[0-9]+\*\*\*|姓名[0-9]+"
-FOLD_LIMIT = 32
 
 
 def _fold(text: Column, mapping: Column) -> Column:
@@ -88,10 +87,11 @@ def _one_pass(text: Column, mapping: Column) -> Column:
 def restore_column(text: Column, mapping: Column) -> Column:
     """Struct (t, n): restored text and number of replacements.
 
-    Long mappings take the one-pass form when it is certain to agree with the
-    sequential one: every masked value is exactly one placeholder, none occurs
-    twice, and no original could form a placeholder by itself. ``text`` and
-    ``mapping`` should be plain columns.
+    Nothing is replaced when two entries share a masked value: which original
+    belongs where can't be told. The one-pass form is taken whenever it is certain
+    to agree with the sequential one: every masked value is exactly one placeholder
+    and no original could form a placeholder by itself. ``text`` and ``mapping``
+    should be plain columns.
     """
     plain = F.forall(mapping, lambda m: F.rlike(m["masked"], F.lit(f"^(?:{PLACEHOLDER})$")))
     masked = F.transform(mapping, lambda m: m["masked"])
@@ -99,9 +99,9 @@ def restore_column(text: Column, mapping: Column) -> Column:
     inert = ~F.exists(mapping, lambda m: F.rlike(m["original"], F.lit("[*]|姓名")))
     # a text right behind a placeholder must not lengthen or complete another one
     clear = ~F.rlike(text, F.lit(r"[*]{4}|[0-9][*]{3}[A-Z]+[*]{3}[0-9]|[*]{3}[A-Z]+[*]{3}[0-9]+[*]|[0-9]姓名"))
-    fast = (F.size(mapping) > FOLD_LIMIT) & plain & unique & inert & clear
+    fast = plain & inert & clear
     empty = F.struct(text.alias("t"), F.lit(0).cast("bigint").alias("n"))
-    return F.when(F.coalesce(F.size(mapping), F.lit(0)) <= 0, empty).when(fast, _one_pass(text, mapping)).otherwise(
+    return F.when((F.coalesce(F.size(mapping), F.lit(0)) <= 0) | ~unique, empty).when(fast, _one_pass(text, mapping)).otherwise(
         _fold(text, mapping)
     )
 
@@ -118,7 +118,7 @@ def collect_mapping(mapping: DataFrame, id_col: str) -> DataFrame:
 
 
 def restore_documents(masked: DataFrame, mapping: DataFrame | str, id_col: str, masked_col: str = "masked") -> DataFrame:
-    """Add ``restored`` and ``n_restored``; a document without any hit gets ``CMAP_MISMATCH``.
+    """Add ``restored`` and ``n_restored``; a document without any hit, or with an ambiguous mapping, gets ``CMAP_MISMATCH``.
 
     ``mapping`` is a long table (grouped and joined by document) or the name of
     an array column, which needs no shuffle.
@@ -211,9 +211,10 @@ def verify_sources(sources: DataFrame, recorded: DataFrame, key: str, content_co
 
 def verify_cells(cells: DataFrame, cell_mapping: DataFrame) -> DataFrame:
     """Restored cells whose hash differs from the mapping entry."""
-    keys = ["sheet", "row", "col"]
+    book = [c for c in ("workbook",) if c in cells.columns and c in cell_mapping.columns]
+    keys = [*book, "sheet", "row", "col"]
     entries = cell_mapping.select(
-        "sheet", F.col("row_index").alias("row"), F.col("col_index").alias("col"), "cell_ref", "original_sha256"
+        *book, "sheet", F.col("row_index").alias("row"), F.col("col_index").alias("col"), "cell_ref", "original_sha256"
     )
     joined = entries.join(cells, keys, "left")
     same = F.sha2(F.col("value").cast("binary"), 256) == F.col("original_sha256")

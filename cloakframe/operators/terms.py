@@ -192,8 +192,17 @@ def freeze_snapshot(terms: DataFrame, batches: DataFrame) -> DataFrame:
     return wanted.crossJoin(terms.filter("enabled").select(F.col("id").cast("string").alias("id"), "term", "category", "enabled"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_snapshot(terms: DataFrame, batch_id: str, path: str) -> None:
-    one = terms.sparkSession.createDataFrame([(batch_id, True)], "batch_id STRING, wants_terms BOOLEAN")
+    """Write the snapshot of a batch once: a batch that has one keeps it."""
+    spark = terms.sparkSession
+    if _exists(spark, path) and not read_snapshot(spark, path, batch_id).isEmpty():
+        return
+    one = spark.createDataFrame([(batch_id, True)], "batch_id STRING, wants_terms BOOLEAN")
     freeze_snapshot(terms, one).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 

@@ -85,7 +85,6 @@ FINDING_TOKENS = [
     ("组织", "***ORG", "***", "organization_ner", None),
 ]
 FINDING_FALLBACK = ("***SENSITIVE", "***", "unknown_ner", None)
-LEGACY_FINDING_TOKENS = FINDING_TOKENS[:6] + [("姓名", "***NAME", "***", "name_ner", "chinese_name")]
 
 # --- fixed values: default replacement per entity type ----------------------
 PICK_LIST_DEFAULTS = {
@@ -108,7 +107,6 @@ DATA_CLASSES = [
     ("C4_CRITICAL", 4, "HSM/KMS + zero-access policy; never logged"),
 ]
 C3_ENTITY_TYPES = ["姓名", "手机号", "身份证号", "邮箱", "银行卡号", "护照号", "地址", "IP地址"]
-PII_REQUIRED_RULES = ["phone", "id_card", "email", "bank_card", "passport", "address"]
 
 # --- fixed values: input formats (extension, logical, input, accepted) ------
 FORMATS = [
@@ -148,11 +146,9 @@ TERM_MAX_CHARS = 256
 CATEGORY_MAX_CHARS = 64
 DESCRIPTION_MAX_CHARS = 512
 TERM_MAX_ROWS = 10_000
-TERM_CSV_MAX_BYTES = 5 * MIB
 TERM_CSV_HEADER = ["分类", "敏感词", "描述", "状态"]
 SHEET_MAX_ROW = 1_048_576
 SHEET_MAX_COL = 16_384
-PREVIEW_TTL_MINUTES = 30
 
 # --- fixed values: error codes that may be retried ---------------------------
 ERROR_CODES = [

@@ -22,19 +22,30 @@ def _be32(n: Column) -> Column:
 
 
 def _with_key(df: DataFrame, keys: DataFrame, domain: str) -> DataFrame:
-    """Attach the key of a domain; the key table is reduced to that single row first."""
-    one = keys.filter(F.col("domain") == domain).select(F.col("key").alias("_key")).limit(1)
-    return df.crossJoin(F.broadcast(one))
+    """Attach the key of a domain, null where there is none; the key table is reduced to that single row first."""
+    one = keys.filter(F.col("domain") == domain).select(F.col("domain").alias("_domain"), F.col("key").alias("_key")).limit(1)
+    return df.withColumn("_domain", F.lit(domain)).join(F.broadcast(one), "_domain", "left").drop("_domain")
 
 
 def encrypt_payload(df: DataFrame, payload: Column, artifact_id: Column, created_at: Column, keys: DataFrame, domain: str) -> DataFrame:
-    """Add ``container``. The IV is drawn by Spark for every row anew."""
+    """Add ``container`` and ``error_code``; without a key the row stays, with ``KEY_MISSING`` and no container.
+
+    The IV is drawn by Spark for every row anew.
+    """
     header = F.to_json(F.struct(artifact_id.cast("string").alias("artifact_id"), created_at.alias("created_at"), F.lit("AES-256-GCM").alias("aead_name")))
     work = _with_key(df.withColumns({"_h": header.cast("binary"), "_p": payload.cast("binary")}), keys, domain)
     prefix = F.concat(F.lit(MAGIC), F.lit(bytes([VERSION])), _be32(F.octet_length("_h")), F.col("_h"))
     work = work.withColumn("_aad", prefix)
     body = F.aes_encrypt("_p", "_key", F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), "_aad")
-    return work.withColumn("container", F.concat("_aad", body)).drop("_h", "_p", "_key", "_aad")
+    out = work.withColumn("container", F.concat("_aad", body)).withColumn("error_code", F.when(F.col("_key").isNull(), "KEY_MISSING"))
+    return out.drop("_h", "_p", "_key", "_aad")
+
+
+def check_encrypted(df: DataFrame) -> DataFrame:
+    """Refuse to write while a row has no key."""
+    if not df.filter("error_code IS NOT NULL").isEmpty():
+        raise ValueError("KEY_MISSING: there is no key for the domain")
+    return df
 
 
 def encrypt_mappings(df: DataFrame, mapping_col: str, id_col: str, created_at: Column, keys: DataFrame, domain: str = "mapping") -> DataFrame:
@@ -48,7 +59,7 @@ def decrypt_payload(df: DataFrame, keys: DataFrame, domain: str, container_col:
     """Add ``payload`` (binary), ``header`` and ``error_code``.
 
     No magic or another version: ``CMAP_VERSION_UNSUPPORTED``; wrong key,
-    changed or cut container: ``CMAP_AUTH_FAILED``.
+    changed or cut container: ``CMAP_AUTH_FAILED``; no key: ``KEY_MISSING``.
     """
     c = F.col(container_col)
     known = (F.octet_length(c) >= 9) & (F.substring(c, 1, 4) == F.lit(MAGIC)) & (F.substring(c, 5, 1) == F.lit(bytes([VERSION])))
@@ -63,7 +74,7 @@ def decrypt_payload(df: DataFrame, keys: DataFrame, domain: str, container_col:
     return (
         work.withColumn("payload", plain)
         .withColumn("header", F.when(F.col("payload").isNotNull(), header))
-        .withColumn("error_code", F.when(~F.col("_known"), "CMAP_VERSION_UNSUPPORTED").when(F.col("payload").isNull(), "CMAP_AUTH_FAILED"))
+        .withColumn("error_code", F.when(~F.col("_known"), "CMAP_VERSION_UNSUPPORTED").when(F.col("_key").isNull(), "KEY_MISSING").when(F.col("payload").isNull(), "CMAP_AUTH_FAILED"))
         .drop("_key", "_known", "_n")
     )
 

@@ -13,27 +13,36 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
+def _replace(df: DataFrame, path: str) -> None:
+    """Replace the batches that ``df`` holds, no others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
 def write_masked_batch(output: MaskOutput, batch_id: str, path: str) -> None:
-    """Masked text and mapping first, the status row last: readers trust finished batches only.
+    """An open status row, masked text and mapping, then the status row: readers trust finished batches only.
+
+    The open row comes first, so that a batch written again is not read while its parts are replaced.
 
     The wide result is written once and read back for the mapping and the
     status, so the rules run once, and a lost executor repeats its tasks only.
     """
     spark = output.wide.sparkSession
     tag = F.lit(batch_id).alias("batch_id")
-    output.wide.select("*", tag).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/masked")
+    opened = spark.createDataFrame([(batch_id, 0, 0, "Running")], "batch_id STRING, documents LONG, masked_entity_count LONG, status STRING")
+    _replace(opened, f"{path}/status")
+    _replace(output.wide.select("*", tag), f"{path}/masked")
     stored = spark.read.parquet(f"{path}/masked").filter(F.col("batch_id") == batch_id)
     rows = stored.select(output.id_col, F.explode("mapping").alias("m"), "batch_id").select(output.id_col, "m.*", "batch_id")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/mapping")
+    _replace(rows, f"{path}/mapping")
     status = stored.groupBy("batch_id").agg(
         F.count("*").alias("documents"), F.coalesce(F.sum("masked_entity_count"), F.lit(0)).alias("masked_entity_count")
     ).withColumn("status", F.lit("Completed"))
-    status.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/status")
+    _replace(status, f"{path}/status")
 
 
 def read_finished(spark: SparkSession, path: str, part: str = "masked") -> DataFrame:
-    """Rows of batches that have a status row."""
-    done = spark.read.parquet(f"{path}/status").select("batch_id")
+    """Rows of completed batches."""
+    done = spark.read.parquet(f"{path}/status").filter("status = 'Completed'").select("batch_id")
     return spark.read.parquet(f"{path}/{part}").join(done, "batch_id", "left_semi")
 
 
