@@ -88,6 +88,23 @@ def count_matches(text: Column, literal: Column) -> Column:
     )
 
 
+FEW_KEYS = 16
+
+
+def sort_by_key(values: Column, field: str) -> Column:
+    """``sort_array`` of structs that begin with ``field`` and already stand in the order of their other fields.
+
+    Few distinct keys are gathered one after the other in linear time, many are sorted; the order is the same.
+    """
+
+    def by_keys(arr: Column, keys: Column) -> Column:
+        runs = F.flatten(F.transform(keys, lambda k: F.filter(arr, lambda x: x[field] == k)))
+        return F.when(F.size(keys) <= FEW_KEYS, runs).otherwise(F.sort_array(arr))
+
+    keys = lambda arr: F.sort_array(F.array_distinct(F.transform(arr, lambda x: x[field])))
+    return let(values, lambda arr: let(keys(arr), lambda k: by_keys(arr, k)))
+
+
 # --- sentinels -------------------------------------------------------------
 # While rules run, every matched value is swapped for one private-use code
 # point of planes 15 and 16; its rank is the rank of the rule. Later rules can

@@ -37,6 +37,7 @@ from cloakframe.functions.hof import (
     lookup,
     sentinel,
     sentinel_char,
+    sort_by_key,
 )
 from cloakframe.operators.term_match import candidate_terms
 from cloakframe.plans import lexicon as lx
@@ -316,13 +317,10 @@ def mask_column(
             F.transform(pieces, lambda t, ln: F.transform(_sentinels(t), lambda c: F.struct(ln.alias("line"), c.alias("c"))))
         )
         # sorted the way the values were recorded, they line up with them
-        recorded = F.sort_array(
-            F.transform(
-                marks,
-                (lambda m, i: F.struct(m["c"].alias("c"), i.alias("at"), m["line"].alias("line")))
-                if whole_text
-                else (lambda m, i: F.struct(m["line"].alias("line"), m["c"].alias("c"), i.alias("at"))),
-            )
+        recorded = (
+            sort_by_key(F.transform(marks, lambda m, i: F.struct(m["c"].alias("c"), i.alias("at"), m["line"].alias("line"))), "c")
+            if whole_text
+            else F.sort_array(F.transform(marks, lambda m, i: F.struct(m["line"].alias("line"), m["c"].alias("c"), i.alias("at"))))
         )
         in_order = F.sort_array(
             F.zip_with(
@@ -335,14 +333,15 @@ def mask_column(
         )
 
         def group(ordered: Column) -> Column:
-            by_value = F.sort_array(
+            by_value = sort_by_key(
                 F.transform(
                     F.filter(ordered, lambda o: o["rank"] > 0),
                     lambda o, i: F.struct(
                         o["original"].alias("original"), i.alias("pos"), o["rank"].alias("rank"),
                         o["line"].alias("line"), o["at"].alias("at"),
                     ),
-                )
+                ),
+                "original",
             )
             foreign = F.transform(
                 F.filter(ordered, lambda o: o["rank"] == 0),

@@ -150,6 +150,10 @@ TERM_CSV_HEADER = ["分类", "敏感词", "描述", "状态"]
 SHEET_MAX_ROW = 1_048_576
 SHEET_MAX_COL = 16_384
 
+# --- fixed values: warnings of extracted documents ---------------------------
+FORMULA_CELLS_WARNING = "Formula cells were not recalculated; cached workbook values are preserved."
+HIDDEN_SLIDES_WARNING = "Hidden slides were included in extraction."
+
 # --- fixed values: error codes that may be retried ---------------------------
 ERROR_CODES = [
     ("INPUT_CORRUPTED", False),

@@ -2,18 +2,18 @@
 
 Inputs are one row per file. Bad inputs are never dropped: they carry an
 ``error_code`` and can be split off with :func:`quarantine`. Everything that
-gathers rows into one document first removes documents over the size limits,
-so no group can outgrow a task.
+gathers rows into documents gives numbered parts of bounded size, so no row is
+dropped and no group can outgrow a task. Limits are reported, not applied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.hof import let
 from cloakframe.functions.text import base_name, markdown_named_cell, markdown_row, markdown_text, retryable
-from cloakframe.operators.ordering import running_sum
+from cloakframe.operators.ordering import global_rank, running_sum
 from cloakframe.plans import lexicon as lx
 
 # --- files ---------------------------------------------------------------------
@@ -82,10 +82,12 @@ _RECORD = rf"{_FIELD}(?:,{_FIELD})*+(?:\r\n|\n|\r|\z)"
 
 
 def csv_records(text: Column) -> Column:
-    """Struct (rows, error_code) of a CSV text, read strictly inside the row.
+    """Struct (rows, error_code, limit_code) of a CSV text, read strictly inside the row.
 
     Stray or open quotes and ragged rows are ``INPUT_CORRUPTED``, an input
-    without fields is ``INPUT_NO_CONTENT``, larger ones ``INPUT_LIMIT_EXCEEDED``.
+    without fields is ``INPUT_NO_CONTENT``. Larger ones than the limits keep their
+    rows and have the limit code ``INPUT_LIMIT_EXCEEDED``. Files that are large for
+    one value are read by :func:`read_csv_table`.
     """
     body = F.regexp_replace(text, "^\\x{FEFF}", "")
 
@@ -99,27 +101,30 @@ def csv_records(text: Column) -> Column:
     def check(raw: Column) -> Column:
         whole = F.array_join(raw, "") == body
         kept = F.filter(raw, lambda r: F.regexp_replace(r, r"[\r\n]", "") != "")
-        return let(F.transform(kept, fields), lambda rows: F.struct(rows.alias("rows"), code(rows, whole).alias("error_code")))
+        return let(F.transform(kept, fields), lambda rows: F.struct(rows.alias("rows"), code(rows, whole).alias("error_code"), limit(rows).alias("limit_code")))
 
     def code(rows: Column, whole: Column) -> Column:
         width = F.size(F.get(rows, F.lit(0)))
         ragged = F.exists(rows, lambda r: F.size(r) != width)
-        too_long = F.exists(rows, lambda r: F.exists(r, lambda f: F.octet_length(f) > lx.LIMITS["csv_field_bytes"]))
         return (
-            F.when(F.octet_length(text) > lx.LIMITS["csv_bytes"], "INPUT_LIMIT_EXCEEDED")
-            .when(~whole, "INPUT_CORRUPTED")
+            F.when(~whole, "INPUT_CORRUPTED")
             .when(F.trim(body) == "", "INPUT_NO_CONTENT")
             .when(F.size(rows) == 0, "INPUT_NO_CONTENT")
-            .when((F.size(rows) > lx.LIMITS["csv_records"]) | (width > lx.LIMITS["csv_columns"]) | too_long, "INPUT_LIMIT_EXCEEDED")
             .when(ragged, "INPUT_CORRUPTED")
         )
 
+    def limit(rows: Column) -> Column:
+        width = F.size(F.get(rows, F.lit(0)))
+        too_long = F.exists(rows, lambda r: F.exists(r, lambda f: F.octet_length(f) > lx.LIMITS["csv_field_bytes"]))
+        large = (F.octet_length(text) > lx.LIMITS["csv_bytes"]) | (F.size(rows) > lx.LIMITS["csv_records"]) | (width > lx.LIMITS["csv_columns"])
+        return F.when(large | too_long, "INPUT_LIMIT_EXCEEDED")
+
     return let(F.regexp_extract_all(body, F.lit(_RECORD), F.lit(0)), check)
 
 
 def parse_csv(df: DataFrame, text_col: str = "text") -> DataFrame:
     done = df.withColumn("_c", csv_records(F.col(text_col)))
-    return done.select(*df.columns, F.when(F.col("_c.error_code").isNull(), F.col("_c.rows")).alias("rows"), F.col("_c.error_code").alias("error_code"))
+    return done.select(*df.columns, F.when(F.col("_c.error_code").isNull(), F.col("_c.rows")).alias("rows"), F.col("_c.error_code").alias("error_code"), F.col("_c.limit_code").alias("limit_code"))
 
 
 def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
@@ -145,9 +150,15 @@ def _pad(cells: Column, width: Column) -> Column:
     return F.concat(cells, F.array_repeat(F.lit(""), F.greatest(width - F.size(cells), F.lit(0))))
 
 
-def named_rows_to_markdown(rows: Column, headers: Column | None = None) -> Column:
-    """One column becomes plain lines; else a table with named headers, short rows padded."""
-    widest = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+def named_rows_to_markdown(rows: Column, headers: Column | None = None, widest: Column | None = None, first: Column | None = None) -> Column:
+    """One column becomes plain lines; else a table with named headers, short rows padded.
+
+    For parts of a document ``widest`` is the document's width and ``first`` tells the part with the header;
+    the document is its parts, one after the other.
+    """
+    if widest is None:
+        widest = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+    first = F.lit(True) if first is None else first
     given = headers if headers is not None else F.array().cast("array<string>")
     width = F.greatest(widest, F.size(given))
     line = lambda cells: F.concat(F.lit("|"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit(" "), markdown_named_cell(c), F.lit(" |"))), ""))
@@ -157,7 +168,8 @@ def named_rows_to_markdown(rows: Column, headers: Column | None = None) -> Colum
             F.transform(F.sequence(F.lit(1), w), lambda i: F.concat(F.lit("列"), i.cast("string")))
         )
         rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- |"), w), ""))
-        lines = F.concat(F.array(line(_pad(named, w)), rule), F.transform(rows, lambda r: line(_pad(r, w))))
+        body = F.transform(rows, lambda r: line(_pad(r, w)))
+        lines = F.when(first, F.concat(F.array(line(_pad(named, w)), rule), body)).otherwise(body)
         return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
     plain = F.array_join(F.transform(rows, lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))), "\n")
@@ -165,33 +177,46 @@ def named_rows_to_markdown(rows: Column, headers: Column | None = None) -> Colum
     return F.when(width <= 1, plain).otherwise(let(width, table))
 
 
-def ragged_table_to_markdown(rows: Column) -> Column:
-    """First row is the header; every row is padded to the widest."""
-    width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(1))
+def ragged_table_to_markdown(rows: Column, width: Column | None = None, first: Column | None = None) -> Column:
+    """First row is the header; every row is padded to the widest.
+
+    For parts of a document ``width`` is the document's width and ``first`` tells the part with the header;
+    the document is its parts with a line feed between them.
+    """
+    if width is None:
+        width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(1))
+    first = F.lit(True) if first is None else first
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
 
     def table(w: Column) -> Column:
         lines = F.transform(rows, lambda r: line(_pad(r, w)))
-        return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(_rule(w)), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+        headed = F.concat(F.slice(lines, 1, 1), F.array(_rule(w)), F.slice(lines, F.lit(2), F.size(lines)))
+        return F.array_join(F.when(first, headed).otherwise(lines), "\n")
 
     return let(width, table)
 
 
-def collect_rows(cells: DataFrame, keys: list[str], row_col: str, cells_col: str, max_rows: int = lx.LIMITS["csv_records"]) -> DataFrame:
-    """Row table (keys, row, cells) to one array of rows per document.
+PART_ROWS, PART_PAGES = 100_000, 1_000
+
 
-    Documents with more rows than the limit are counted first and come back
-    without rows and with ``INPUT_LIMIT_EXCEEDED``.
+def in_parts(df: DataFrame, keys: list[str], order_col: str, size: int, *ties: str) -> DataFrame:
+    """Add ``part_no``: the rows of a document, by a numeric order column and then ``ties``, in parts of ``size`` rows, numbered from 0."""
+    keyed = df.withColumn("_key", F.struct(*keys))
+    ranked = global_rank(keyed, "_key", [order_col, *ties], F.floor(F.col(order_col) / size), "_rank")
+    return ranked.withColumn("part_no", F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_key", "_rank")
+
+
+def collect_rows(cells: DataFrame, keys: list[str], row_col: str, cells_col: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Row table (keys, row, cells) to numbered parts (keys, part_no, rows, width) of ``part_rows`` rows at most.
+
+    No row is dropped and no part grows with the document; ``width`` is the widest row of the whole document.
     """
-    counts = cells.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    over = counts.filter(F.col("n_rows") > max_rows)
-    fit = cells.join(over.select(*keys), keys, "left_anti")
-    grouped = fit.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col(row_col).alias("r"), F.col(cells_col).alias("c")))), lambda x: x["c"]).alias("rows")
-    )
-    return grouped.withColumn("error_code", F.lit(None).cast("string")).unionByName(
-        over.select(*keys, F.lit(None).cast(grouped.schema["rows"].dataType).alias("rows"), F.lit("INPUT_LIMIT_EXCEEDED").alias("error_code"))
+    widest = cells.groupBy(*keys).agg(F.max(F.size(cells_col)).alias("width"))
+    row = F.struct(F.col(row_col).alias("r"), F.col(cells_col).alias("c"))
+    parts = in_parts(cells, keys, row_col, part_rows, cells_col).groupBy(*keys, "part_no").agg(
+        F.transform(F.sort_array(F.collect_list(row)), lambda x: x["c"]).alias("rows")
     )
+    return parts.join(widest, keys)
 
 
 def sheet_limits(cells: DataFrame) -> DataFrame:
@@ -211,19 +236,20 @@ def sheet_limits(cells: DataFrame) -> DataFrame:
     )
 
 
-def sheets_to_documents(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+def sheets_to_documents(cells: DataFrame, sheets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Long cells and ``sheets(workbook, sheet, sheet_ord, visible, has_formula)`` to Markdown documents.
 
-    Visible sheets in order, empty ones skipped; workbooks over the limits are
-    taken out before anything is gathered.
+    Visible sheets in order, empty ones skipped. A workbook comes in parts (workbook, part_no, sheet, text): each
+    sheet is cut every ``part_rows`` sheet rows, its first part has the title and the table's head. An empty line
+    stands between sheets, a line feed between parts of a sheet. Limits are only reported.
     """
     limits = sheet_limits(cells)
-    good = cells.join(limits.filter("error_code IS NULL").select("workbook"), "workbook", "left_semi")
     visible = sheets.filter("visible").select("workbook", "sheet", "sheet_ord", "has_formula")
     cell = F.struct("col", F.coalesce("value", F.lit("")).alias("value"))
-    rows = good.groupBy("workbook", "sheet", "row").agg(F.sort_array(F.collect_list(cell)).alias("cells"), F.max("col").alias("w"))
-    per_sheet = rows.groupBy("workbook", "sheet").agg(
-        F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("rows"), F.max("w").alias("width")
+    extent = cells.groupBy("workbook", "sheet").agg(F.max("col").alias("width"), F.min(F.floor(F.col("row") / part_rows)).alias("first"))
+    rows = cells.groupBy("workbook", "sheet", "row").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    per_part = rows.groupBy("workbook", "sheet", F.floor(F.col("row") / part_rows).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("rows")
     )
 
     def filled_row(r: Column) -> Column:
@@ -234,54 +260,47 @@ def sheets_to_documents(cells: DataFrame, sheets: DataFrame) -> DataFrame:
         )
         return F.when(F.size(values) == F.col("width"), values).otherwise(sparse)
 
-    filled = per_sheet.withColumn("rows", F.transform("rows", filled_row)).withColumn(
-        "block", F.concat(F.lit("## Sheet: "), F.col("sheet"), F.lit("\n\n"), rows_to_markdown(F.col("rows")))
-    )
-    docs = filled.join(visible, ["workbook", "sheet"]).groupBy("workbook").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sheet_ord", "block"))), lambda x: x["block"]), "\n\n").alias("text"),
-        F.bool_or("has_formula").alias("has_formula"),
-    )
-    return limits.select("workbook", F.col("error_code").alias("_limit")).join(docs, "workbook", "left").select(
-        "workbook", "text",
-        F.when(F.col("has_formula"), F.array(F.lit("Formula cells were not recalculated; cached workbook values are preserved."))).otherwise(F.array().cast("array<string>")).alias("warnings"),
-        F.coalesce("_limit", F.when(F.col("text").isNull(), "INPUT_CORRUPTED")).alias("error_code"),
+    filled = per_part.join(extent, ["workbook", "sheet"]).withColumn("rows", F.transform("rows", filled_row))
+    head = F.concat(F.lit("## Sheet: "), F.col("sheet"), F.lit("\n\n"), rows_to_markdown(F.col("rows")))
+    tail = F.array_join(F.transform("rows", markdown_row), "\n")
+    shown = filled.withColumn("text", F.when(F.col("part") == F.col("first"), head).otherwise(tail)).join(visible, ["workbook", "sheet"])
+    # one row a part is ranked, not the cells
+    order = Window.partitionBy("workbook").orderBy("sheet_ord", "part")
+    parts = shown.select("workbook", "sheet", "text", (F.row_number().over(order) - 1).alias("part_no"))
+    formulas = cells.select("workbook", "sheet").distinct().join(visible, ["workbook", "sheet"]).groupBy("workbook").agg(F.bool_or("has_formula").alias("has_formula"))
+    warnings = F.when(F.col("has_formula"), F.array(F.lit(lx.FORMULA_CELLS_WARNING))).otherwise(F.array().cast("array<string>"))
+    return limits.select("workbook", F.col("error_code").alias("limit_code")).join(parts, "workbook", "left").join(formulas, "workbook", "left").select(
+        "workbook", "part_no", "sheet", "text", warnings.alias("warnings"), "limit_code", F.when(F.col("text").isNull(), "INPUT_CORRUPTED").alias("error_code"),
     )
 
 
 # --- pages and slides --------------------------------------------------------------
 
 
-def _gather(df: DataFrame, doc: str, order: str, *values: Column) -> DataFrame:
-    return df.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), *values))).alias("p"))
-
+def _gather(df: DataFrame, keys: list[str], order: str, *values: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), *values))).alias("p"))
 
-def _page_limit(pages: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
-    counts = pages.groupBy(doc).agg(F.count("*").alias("n"))
-    over = counts.filter(F.col("n") > lx.LIMITS["pages"]).select(doc)
-    return pages.join(over, doc, "left_anti"), over.withColumn("error_code", F.lit("INPUT_LIMIT_EXCEEDED"))
 
-
-def pages_to_documents(pages: DataFrame, doc: str, page_col: str, text_col: str) -> DataFrame:
-    """``## Page n`` blocks; a document without any text needs OCR."""
-    fit, over = _page_limit(pages, doc)
-    g = _gather(fit, doc, page_col, F.trim(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    blank = F.forall("p", lambda x: F.regexp_replace(x["t"], r"\s", "") == "")
-    text = F.array_join(
-        F.transform("p", lambda x, i: F.concat(F.lit("## Page "), (i + 1).cast("string"), F.lit("\n\n"), F.regexp_replace(x["t"], r"^\s+|\s+$", ""))), "\n\n"
-    )
-    done = g.select(doc, F.when(~blank, F.concat(text, F.lit("\n"))).alias("text"), F.size("p").alias("page_count"), F.when(blank, "OCR_COMPONENT_REQUIRED").alias("error_code"))
-    return done.unionByName(over, allowMissingColumns=True)
+def pages_to_documents(pages: DataFrame, doc: str, page_col: str, text_col: str, part_pages: int = PART_PAGES) -> DataFrame:
+    """``## Page n`` blocks in numbered parts (an empty line stands between parts); a document without any text needs OCR."""
+    trimmed = F.trim(F.coalesce(F.col(text_col), F.lit("")))
+    whole = pages.groupBy(doc).agg(F.count("*").cast("int").alias("page_count"), F.bool_and(F.regexp_replace(trimmed, r"\s", "") == "").alias("blank"))
+    g = _gather(in_parts(pages, [doc], page_col, part_pages), [doc, "part_no"], page_col, trimmed.alias("t")).join(whole, doc)
+    number = lambda i: (F.col("part_no") * part_pages + i + 1).cast("string")
+    text = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("## Page "), number(i), F.lit("\n\n"), F.regexp_replace(x["t"], r"^\s+|\s+$", ""))), "\n\n")
+    return g.select(doc, "part_no", F.when(~F.col("blank"), F.concat(text, F.lit("\n"))).alias("text"), "page_count", F.when(F.col("blank"), "OCR_COMPONENT_REQUIRED").alias("error_code"))
 
 
-def slides_to_documents(slides: DataFrame, doc: str, order_col: str, text_col: str, hidden_col: str | None = None) -> DataFrame:
-    fit, over = _page_limit(slides, doc)
+def slides_to_documents(slides: DataFrame, doc: str, order_col: str, text_col: str, hidden_col: str | None = None, part_pages: int = PART_PAGES) -> DataFrame:
+    """Slides in numbered parts (an empty line stands between parts)."""
     hidden = F.col(hidden_col) if hidden_col else F.lit(False)
-    g = _gather(fit, doc, order_col, markdown_text(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), hidden.alias("h"))
-    empty = F.forall("p", lambda x: x["t"] == "")
-    text = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("## 幻灯片 "), (i + 1).cast("string"), F.lit("\n\n"), x["t"])), "\n\n")
-    warn = F.when(F.exists("p", lambda x: x["h"]), F.array(F.lit("Hidden slides were included in extraction."))).otherwise(F.array().cast("array<string>"))
-    done = g.select(doc, F.when(~empty, text).alias("text"), F.size("p").alias("page_count"), warn.alias("warnings"), F.when(empty, "INPUT_NO_CONTENT").alias("error_code"))
-    return done.unionByName(over, allowMissingColumns=True)
+    shown = markdown_text(F.coalesce(F.col(text_col), F.lit("")))
+    whole = slides.groupBy(doc).agg(F.count("*").cast("int").alias("page_count"), F.bool_and(shown == "").alias("empty"), F.bool_or(hidden).alias("any_hidden"))
+    g = _gather(in_parts(slides, [doc], order_col, part_pages), [doc, "part_no"], order_col, shown.alias("t")).join(whole, doc)
+    number = lambda i: (F.col("part_no") * part_pages + i + 1).cast("string")
+    text = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("## 幻灯片 "), number(i), F.lit("\n\n"), x["t"])), "\n\n")
+    warn = F.when(F.col("any_hidden"), F.array(F.lit(lx.HIDDEN_SLIDES_WARNING))).otherwise(F.array().cast("array<string>"))
+    return g.select(doc, "part_no", F.when(~F.col("empty"), text).alias("text"), "page_count", warn.alias("warnings"), F.when(F.col("empty"), "INPUT_NO_CONTENT").alias("error_code"))
 
 
 def page_range(pages: DataFrame, doc: str, page_col: str, text_col: str, start: int, end: int, banner: str = "页") -> DataFrame:
@@ -292,7 +311,7 @@ def page_range(pages: DataFrame, doc: str, page_col: str, text_col: str, start:
     head = F.lit("--- 第 ") if banner == "页" else F.lit(f"--- {banner} ")
     tail = F.lit(" 页 ---\n") if banner == "页" else F.lit(" ---\n")
     chosen = pages.filter(F.col(page_col).between(start, end))
-    g = _gather(chosen, doc, page_col, F.concat(head, F.col(page_col).cast("string"), tail, F.col(text_col), F.lit("\n")).alias("t"))
+    g = _gather(chosen, [doc], page_col, F.concat(head, F.col(page_col).cast("string"), tail, F.col(text_col), F.lit("\n")).alias("t"))
     return totals.join(g, doc, "left").select(
         doc, F.array_join(F.transform("p", lambda x: x["t"]), "").alias("text"), F.when(F.col("total") < start, "PAGE_RANGE_INVALID").alias("error_code")
     )

@@ -105,7 +105,7 @@ def q_named(spark, sf):
     one = nation.select((F.col("n_regionkey") + 100).alias("doc"), "n_nationkey", F.array("n_name").alias("cells"))
     docs = g.collect_rows(two.unionByName(one), ["doc"], "n_nationkey", "cells")
     head = F.when(F.col("doc") < 100, F.array(F.lit("key"), F.lit("name"))).otherwise(F.array().cast("array<string>"))
-    return docs.select("doc", g.named_rows_to_markdown(F.col("rows"), head).alias("text"))
+    return docs.select("doc", g.named_rows_to_markdown(F.col("rows"), head, F.col("width"), F.col("part_no") == 0).alias("text"))
 
 
 @query(
@@ -117,7 +117,37 @@ def q_named(spark, sf):
 def q_ragged(spark, sf):
     cells = F.when(F.col("c_custkey") % 2 == 0, F.array("c_name", "c_mktsegment")).otherwise(F.array("c_name"))
     rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("doc"), "c_custkey", cells.alias("cells"))
-    return g.collect_rows(rows, ["doc"], "c_custkey", "cells").select("doc", g.ragged_table_to_markdown(F.col("rows")).alias("text"))
+    return g.collect_rows(rows, ["doc"], "c_custkey", "cells").select("doc", g.ragged_table_to_markdown(F.col("rows"), F.col("width"), F.col("part_no") == 0).alias("text"))
+
+
+@query(
+    "table_parts",
+    """WITH r AS (SELECT o_orderpriority AS doc, o_orderkey, o_custkey, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 1000 AS part_no FROM orders)
+    SELECT doc, CAST(part_no AS INTEGER) AS part_no, md5(CASE WHEN part_no = 0 THEN '| order | customer |' || chr(10) || '| --- | --- |' || chr(10) ELSE '' END
+        || string_agg('| ' || o_orderkey || ' | ' || o_custkey || ' |', chr(10) ORDER BY o_orderkey) || chr(10)) AS text_md5, count(*) AS n_rows FROM r GROUP BY doc, part_no""",
+    covers="S11 S12",
+)
+def q_parts(spark, sf):
+    """Tables of any length as parts of 1,000 rows; every row is in one of them."""
+    cells = F.array(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("doc"), "o_orderkey", cells.alias("cells"))
+    parts = g.collect_rows(rows, ["doc"], "o_orderkey", "cells", part_rows=1000)
+    text = g.named_rows_to_markdown(F.col("rows"), F.array(F.lit("order"), F.lit("customer")), F.col("width"), F.col("part_no") == 0)
+    return parts.select("doc", "part_no", F.md5(text).alias("text_md5"), F.size("rows").cast("bigint").alias("n_rows"))
+
+
+@query(
+    "page_parts",
+    r"""WITH r AS (SELECT o_orderstatus AS doc, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders)
+    SELECT doc, CAST((rn - 1) // 1000 AS INTEGER) AS part_no, md5(string_agg('## Page ' || rn || chr(10) || chr(10) || 'order ' || o_orderkey, chr(10) || chr(10) ORDER BY rn) || chr(10)) AS text_md5,
+    CAST(max(n) AS INTEGER) AS page_count FROM r JOIN (SELECT o_orderstatus AS doc, count(*) AS n FROM orders GROUP BY 1) USING (doc) GROUP BY doc, (rn - 1) // 1000""",
+    covers="S16",
+)
+def q_page_parts(spark, sf):
+    """Documents of thousands of pages in parts of 1,000."""
+    pages = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("doc"), "o_orderkey", F.concat(F.lit(" order "), F.col("o_orderkey").cast("string")).alias("text"))
+    out = g.pages_to_documents(pages, "doc", "o_orderkey", "text")
+    return out.select("doc", "part_no", F.md5("text").alias("text_md5"), "page_count")
 
 
 @query(
