@@ -120,8 +120,26 @@ def name_candidates(text: Column) -> Column:
 
     def per_length(n: int, pattern: str) -> Column:
         def build(hits: Column, gaps: Column) -> Column:
-            starts = prefix_sums(F.transform(F.slice(gaps, 1, F.size(hits)), lambda g: F.char_length(g)))
-            return F.zip_with(hits, starts, lambda h, p: F.struct(p.cast("int").alias("pos"), F.lit(n).alias("n"), h.alias("text")))
+            before = F.slice(gaps, 1, F.size(hits))
+            found = F.struct(
+                hits.alias("h"),
+                prefix_sums(F.transform(before, lambda g: F.char_length(g))).alias("chars"),
+                prefix_sums(F.transform(before, lambda g: F.octet_length(g))).alias("bytes"),
+                F.transform(before, lambda g: F.right(g, F.lit(20))).alias("tails"),
+            )
+            return let(found, lambda f: F.transform(f["h"], lambda h, i: candidate(f, h, i)))
+
+        def candidate(f: Column, h: Column, i: Column) -> Column:
+            # the 20 characters before: gaps between matches are not empty, so 21 of them are enough
+            start = F.greatest(i - 19, F.lit(1))
+            near = F.right(F.array_join(F.slice(f["tails"], start, i + 2 - start), ""), F.lit(20))
+            context = F.lit(False)
+            for word in lx.NAME_CONTEXT_WORDS:
+                context = context | F.contains(near, F.lit(word))
+            return F.struct(
+                F.get(f["chars"], i).cast("int").alias("pos"), F.lit(n).alias("n"), h.alias("text"),
+                F.get(f["bytes"], i).cast("int").alias("at"), context.alias("ctx"),
+            )
 
         return let(
             F.struct(
@@ -131,27 +149,13 @@ def name_candidates(text: Column) -> Column:
             lambda s: build(s["h"], s["g"]),
         )
 
-    def with_context(c: Column) -> Column:
-        first = F.greatest(c["pos"] - 20, F.lit(0))
-        near = F.substring(text, first + 1, c["pos"] + 20 - first)
-        hit = F.lit(False)
-        for word in lx.NAME_CONTEXT_WORDS:
-            hit = hit | F.contains(near, F.lit(word))
-        return F.struct(c["pos"].alias("pos"), c["n"].alias("n"), c["text"].alias("text"), hit.alias("ctx"))
-
     found = F.sort_array(F.concat(*[per_length(n, p) for n, p in windows]))
-    kept = F.filter(
-        F.transform(F.filter(found, lambda c: ~c["text"].isin(*lx.NAME_STOP_WORDS)), with_context),
-        lambda c: c["ctx"] | (c["n"] < 4),
-    )
+    kept = F.filter(found, lambda c: ~c["text"].isin(*lx.NAME_STOP_WORDS) & (c["ctx"] | (c["n"] < 4)))
     entities = F.transform(
         kept,
-        lambda c: let(
-            _byte_start(text, c["pos"]),
-            lambda b: _entity(
-                c["text"], F.lit("姓名"), b, b + F.octet_length(c["text"]),
-                F.when(c["ctx"], F.lit(0.85)).otherwise(F.lit(0.70)), "ner",
-            ),
+        lambda c: _entity(
+            c["text"], F.lit("姓名"), c["at"], c["at"] + F.octet_length(c["text"]),
+            F.when(c["ctx"], F.lit(0.85)).otherwise(F.lit(0.70)), "ner",
         ),
     )
     return F.when(F.rlike(text, F.lit("[一-龥]{2}")), entities).otherwise(F.array().cast(NO_ENTITIES))

@@ -9,6 +9,7 @@ from cloakframe.operators import policy as p
 from cloakframe.operators import terms as t
 from cloakframe.operators.mask import mask_documents
 from cloakframe.operators.restore import restore_documents, verify_cells
+from cloakframe.plans import lexicon as lx
 from cloakframe.plans.rules import Term, activate, default_rules
 from cloakframe.sources import crypto as cr
 from cloakframe.sources import sinks as s
@@ -102,3 +103,13 @@ def test_a_batch_that_is_written_again_is_not_read_meanwhile(spark):
     opened = spark.createDataFrame([("b1", 0, 0, "Running")], "batch_id STRING, documents LONG, masked_entity_count LONG, status STRING")
     s._replace(opened, f"{path}/status")
     assert s.read_finished(spark, path).count() == 0
+
+
+def test_surname_windows_stay_right_beside_each_other(spark):
+    rows = [(1, "王小明王小红联系人：" + "填" * 30 + "李四是张三"), (2, "王五王五王五"), (3, "a\U000F0000姓名 王小明 b")]
+    df = spark.createDataFrame(rows, "id INT, text STRING")
+    for r in df.select("text", d.name_candidates(F.col("text")).alias("e")).collect():
+        raw = r.text.encode()
+        assert r.e and all(raw[e.start : e.end].decode() == e.text for e in r.e)
+        near = {e.start: any(w in r.text[max(0, len(raw[: e.start].decode()) - 20) : len(raw[: e.start].decode())] for w in lx.NAME_CONTEXT_WORDS) for e in r.e}
+        assert all((e.confidence > 0.8) == near[e.start] for e in r.e)
