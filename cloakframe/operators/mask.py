@@ -77,10 +77,10 @@ class MaskOutput:
         """Long mapping table. ``restorable`` is false where two originals of a
         document share one masked text (constants of one category)."""
         masked = F.sort_array(F.transform("mapping", lambda m: m["masked"]))
-        # neighbours of the sorted texts: one pass, and only the few shared texts travel with the rows
+        # neighbours of the sorted texts are compared, and the answer is written into the array before it is taken apart
         shared = let(masked, lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
-        rows = self.wide.select(self.id_col, shared.alias("_shared"), F.explode_outer("mapping").alias("m")).filter("m IS NOT NULL")
-        return rows.select(self.id_col, "m.*", (~F.array_contains("_shared", F.col("m.masked"))).alias("restorable"))
+        told = let(shared, lambda s: F.transform("mapping", lambda m: m.withField("restorable", ~F.array_contains(s, m["masked"]))))
+        return self.wide.select(self.id_col, F.inline(told))
 
     @property
     def summary(self) -> DataFrame:
