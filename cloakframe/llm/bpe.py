@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import saved
+from cloakframe.llm.common import parts, saved
 
-PIECE, WINDOW, KEPT = 1 << 16, 64, 1_000_000
+PIECE, WINDOW, KEPT = 1 << 16, 64, 250_000
 # ASCII capitals are lowered by the vocabulary's own normaliser; newline and tab are blanks to it
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n\t", b"abcdefghijklmnopqrstuvwxyz  ")
 # One word of composed Latin letters, then perhaps one group of marks: exactly one or two tokens with an end of word
@@ -165,9 +165,9 @@ def join(codec: Codec, text: str, left: np.ndarray, right: np.ndarray, cut: int,
         window *= 2
 
 
-def concatenate(codec: Codec, text: str, parts: list[np.ndarray], borders: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
+def concatenate(codec: Codec, text: str, pieces: list[np.ndarray], borders: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
     """Join neighbouring parts pairwise until one is left."""
-    nodes = [(a, b, p) for (a, b), p in zip(borders, parts, strict=True)]
+    nodes = [(a, b, p) for (a, b), p in zip(borders, pieces, strict=True)]
     while len(nodes) > 1:
         up = []
         for x, y in zip(nodes[::2], [*nodes[1::2], None], strict=False):
@@ -180,10 +180,8 @@ def _short(rows: DataFrame, path: str) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for at in range(0, len(texts), 256):
-                part = batch.slice(at, 256)
-                ids = c.encode([t or "" for t in texts[at : at + 256]])
+            for part, texts in parts(batch, batch.num_columns - 1):
+                ids = c.encode([t.decode() for t in texts])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*part.schema.names[:-1], "ids"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
@@ -208,8 +206,8 @@ def _long(texts: DataFrame, path: str, piece: int) -> DataFrame:
 
     def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("a")
-        parts = [np.frombuffer(s, "<i8").reshape(-1, 4) for s in rows["spans"]]
-        whole = concatenate(codec(path), "".join(rows["part"]), parts, list(zip(rows["a"], rows["b"], strict=True)))
+        pieces = [np.frombuffer(s, "<i8").reshape(-1, 4) for s in rows["spans"]]
+        whole = concatenate(codec(path), "".join(rows["part"]), pieces, list(zip(rows["a"], rows["b"], strict=True)))
         return pd.DataFrame({"sha": [key[0]], "ids": [whole[:, 0].astype("<u4").tobytes()]})
 
     pieces = texts.mapInArrow(cut, "sha string, a long, b long, part string")
@@ -236,9 +234,9 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ..
         c = codec(path)
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [c.decode(x or b"") for x in ids.slice(at, 256).to_pylist()]
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [c.decode(x or b"") for x in ids.slice(at, 64).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "decoded"])
 
     picked = rows.select(*keep, F.col(ids_col).alias("_ids"))

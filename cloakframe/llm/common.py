@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,22 +36,24 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(texts: list, limit: int = BATCH_BYTES) -> Iterator[slice]:
-    """Slices of ``texts`` of about ``limit`` bytes; one longer text makes a slice alone."""
+def sized(lengths: list[int], limit: int = BATCH_BYTES) -> Iterator[slice]:
+    """Slices of texts of these lengths of about ``limit`` in all; one longer text makes a slice alone."""
     begin = total = 0
-    for i, t in enumerate(texts):
-        n = len(t)
+    for i, n in enumerate(lengths):
         if i > begin and total + n > limit:
             yield slice(begin, i)
             begin, total = i, 0
         total += n
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+    if begin < len(lengths):
+        yield slice(begin, len(lengths))
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The texts of an Arrow string column as bytes; null counts as empty."""
-    return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
+def parts(batch: pa.RecordBatch, text_at: int, limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of an Arrow batch with their texts as UTF-8 bytes (null: empty); only one slice's texts are held at a time."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+    for at in sized(lengths, limit):
+        rows = batch.slice(at.start, at.stop - at.start)
+        yield rows, [b"" if t is None else t for t in rows.column(text_at).cast(pa.binary()).to_pylist()]
 
 
 def word_count(text: Column) -> Column:

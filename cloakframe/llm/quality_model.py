@@ -4,7 +4,7 @@ A word is seen twice: as itself in lower case, and as its shape (runs of small l
 word that repeats the one before it). Words and pairs of neighbours of both kinds are hashed into ``1 << bits`` weights; a feature's value is
 its share of the text's words. A score is the sparse dot product of these shares with the weights, through the logistic function.
 
-Training takes a bounded sample: about ``sample`` labelled rows at most, drawn by a hash of the id. The sample is split into ``parts``; in each round
+Training takes a bounded sample: about ``sample`` labelled rows at most, drawn by a hash of the id. The sample is split into ``shards``; in each round
 every part runs the updates over its rows as a task of its own, starting from the mean state of the round before. Only the state, which
 ``bits`` bounds, comes to the driver.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import draw, saved, sized, utf8
+from cloakframe.llm.common import draw, parts, saved, sized
 from cloakframe.llm.words import LOWER, P, Scan, mix
 
 BITS, SAMPLE, PARTS, ROUNDS = 18, 12_000, 4, 3
@@ -93,7 +93,7 @@ def scores(texts: list[bytes], weights: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _learn(model: Model, texts: list[bytes], labels: list[int], bits: int) -> None:
-    for part in sized(texts):
+    for part in sized([len(t) for t in texts]):
         scan = Scan(texts[part])
         of = [(np.searchsorted(t, np.arange(scan.n + 1)), at) for t, at in features(scan, bits)]
         for i, y in enumerate(labels[part]):
@@ -115,7 +115,7 @@ def _round(model: Model, bits: int):
     return learnt
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", allowed: Column | None = None, bits: int = BITS, sample: int = SAMPLE, parts: int = PARTS, rounds: int = ROUNDS, seed: str = "quality") -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", allowed: Column | None = None, bits: int = BITS, sample: int = SAMPLE, shards: int = PARTS, rounds: int = ROUNDS, seed: str = "quality") -> np.ndarray:
     """Weights, bias last. ``allowed`` says which ids of ``labels`` may be learnt from."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.filter(allowed) if allowed is not None else known
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # about `sample` rows of two numbers: small enough to broadcast whatever the corpus
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), id_col)
     order = draw(f"{seed}-order", id_col)
-    rows = saved(rows.select("_text", "_y", order.alias("_o"), F.floor(draw(f"{seed}-part", id_col) * parts).alias("_part")))
+    rows = saved(rows.select("_text", "_y", order.alias("_o"), F.floor(draw(f"{seed}-part", id_col) * shards).alias("_part")))
     model = Model.empty(bits)
     for _ in range(rounds if n else 0):
         states = rows.groupBy("_part").applyInPandas(_round(model, bits), "z binary, n binary").collect()
@@ -141,10 +141,8 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
-            found = [scores(texts[part], shared.value, bits) for part in sized(texts)]
-            values = np.concatenate(found) if found else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["id", "score"])
+            for rows, texts in parts(batch, 1):
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores(texts, shared.value, bits))], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import sized, utf8
+from cloakframe.llm.common import parts
 from cloakframe.llm.words import Scan
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -34,7 +34,7 @@ class Rule:
 
 
 def _shouting(s: Scan) -> np.ndarray:
-    """Words with two or more ASCII capitals in a row or more: more than half of at least 20 words."""
+    """Words with two ASCII capitals in a row: more than half of at least 20 words."""
     upper = (s.buf >= 65) & (s.buf <= 90)
     pair = np.zeros(len(s.buf), bool)
     pair[:-1] = upper[:-1] & upper[1:]
@@ -77,13 +77,12 @@ def measure_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(0))
-            for part in sized(texts):
+            for _, texts in parts(batch, 0):
                 for rule in rules:
                     began = time.perf_counter()
-                    bad = int(rule.rejects(Scan(texts[part])).sum())
+                    bad = int(rule.rejects(Scan(texts)).sum())
                     spent = time.perf_counter() - began
-                    yield pa.RecordBatch.from_pylist([{"name": rule.name, "s": spent, "bad": bad, "n": part.stop - part.start}])
+                    yield pa.RecordBatch.from_pylist([{"name": rule.name, "s": spent, "bad": bad, "n": len(texts)}])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).limit(sample)
     out = rows.mapInArrow(measured, "name string, s double, bad long, n long").groupBy("name").agg(F.sum("s"), F.sum("bad"), F.sum("n")).collect()
@@ -103,11 +102,10 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for part in sized(texts):
-                scan = Scan(texts[part]) if names else None
-                kept = _cascade(texts[part], ordered, scan)
-                cols = [batch.column(0)[part.start : part.stop], pa.array(kept)]
+            for rows, texts in parts(batch, 1):
+                scan = Scan(texts) if names else None
+                kept = _cascade(texts, ordered, scan)
+                cols = [rows.column(0), pa.array(kept)]
                 cols += [pa.array(getattr(scan, m).astype(np.int64)) for m in names]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "kept", *names])
 
@@ -123,8 +121,7 @@ def filter_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule,
 
     def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(at))
-            kept = [_cascade(texts[part], ordered) for part in sized(texts)]
-            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
+            for rows, texts in parts(batch, at):
+                yield rows.filter(pa.array(_cascade(texts, ordered)))
 
     return docs.mapInArrow(kept_rows, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import saved
+from cloakframe.llm.common import parts, saved
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -90,11 +90,12 @@ def update_ledger(docs: DataFrame, ledger: str, text_col: str = "text", rules: t
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
-            found = []
-            for which, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                hits = [(a, order[k], by_key[k].kind, b) for k in which for a, b in by_key[k].find(t)]
-                found.append([{"kind": k, "start": a, "end": b} for a, _, k, b in sorted(hits)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(kind))], names=["blob", "rules", "spans"])
+            for rows, texts in parts(batch, 2):
+                found = []
+                for which, t in zip(rows.column(1).to_pylist(), map(bytes.decode, texts), strict=True):
+                    hits = [(a, order[k], by_key[k].kind, b) for k in which for a, b in by_key[k].find(t)]
+                    found.append([{"kind": k, "start": a, "end": b} for a, _, k, b in sorted(hits)])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.list_(kind))], names=["blob", "rules", "spans"])
 
     todo.mapInArrow(scanned, f"blob string, rules array<string>, spans array<{SPAN}>").write.mode("append").parquet(ledger)
 
@@ -126,6 +127,15 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "
     return paths.join(found, "blob").select("path", "blob", "spans")
 
 
+def _replaced(text: str, spans: list[dict], mark: str) -> str:
+    out, pos = [], 0
+    for s in spans:
+        if s["start"] >= pos:
+            out += [text[pos : s["start"]], mark]
+        pos = max(pos, s["end"])
+    return "".join(out) + text[pos:]
+
+
 def redact(docs: DataFrame, ledger: str, text_col: str = "text", mark: str = "[secret]", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """``docs`` with each found span, overlapping ones as one, replaced by ``mark``; all other columns unchanged."""
     update_ledger(docs, ledger, text_col, rules)
@@ -137,19 +147,11 @@ def redact(docs: DataFrame, ledger: str, text_col: str = "text", mark: str = "[s
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for t, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if not spans:
-                    texts.append(t)
-                    continue
-                parts, pos = [], 0
-                for s in spans:
-                    if s["start"] >= pos:
-                        parts += [t[pos : s["start"]], mark]
-                    pos = max(pos, s["end"])
-                texts.append("".join(parts) + t[pos:])
-            cols = [*batch.columns[:-1]]
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+            for rows, _ in parts(batch, at):
+                spans = rows.column(rows.num_columns - 1).to_pylist()
+                texts = [_replaced(t, s, mark) if s else t for t, s in zip(rows.column(at).to_pylist(), spans, strict=True)]
+                cols = [*rows.columns[:-1]]
+                cols[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=rows.schema.names[:-1])
 
     return joined.mapInArrow(clean, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import WORD, saved, utf8
+from cloakframe.llm.common import WORD, parts, saved
 from cloakframe.llm.components import components
 
 BITS, BLOCKS, SHINGLE, HUB_FROM = 4, 7, 4, 1500
@@ -61,8 +61,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in utf8(batch.column(0))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps)], names=[*batch.schema.names[1:], "fp"])
+            for rows, texts in parts(batch, 0):
+                fps = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(fps)], names=[*rows.schema.names[1:], "fp"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), id_col, *carry)
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in (id_col, *carry))
