@@ -47,9 +47,9 @@ def _shouting(s: Scan) -> np.ndarray:
 RULES = (
     Rule("too_few_words", lambda s: s.n_words < 10),
     Rule("repeated_windows", lambda s: 100 * s.n_repeat_words > 20 * s.n_words),
-    Rule("symbols", lambda s: 5 * s.n_symbols > s.n_words),
+    Rule("symbols", lambda s: 20 * s.n_symbols > 7 * s.n_words),
     Rule("repeated_lines", lambda s: 10 * s.n_dup_lines > 3 * np.maximum(1, s.count_bytes(s.buf == 10) + 1)),
-    Rule("word_length", lambda s: (s.word_chars < 2 * s.n_words) | (s.word_chars > 20 * s.n_words)),
+    Rule("word_length", lambda s: (s.word_chars < 2 * s.n_words) | (s.word_chars > 100 * s.n_words)),
     Rule("shouting", _shouting),
 )
 

@@ -88,8 +88,8 @@ m AS (
   FROM s LEFT JOIN ln USING (r) LEFT JOIN cov USING (r) LEFT JOIN loud USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 5 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words
-    OR word_chars > 20 * n_words OR (n_words >= 20 AND 2 * n_loud > n_words)) AS kept
+  NOT (base_failed OR 20 * n_symbols > 7 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words
+    OR word_chars > 100 * n_words OR (n_words >= 20 AND 2 * n_loud > n_words)) AS kept
 FROM b
 """
 
@@ -117,7 +117,22 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.withColumn("path", _as_path(F.col("doc_id"))), keep=("doc_id",))
 
 
-@_query("op7_shards")
+OP7_SQL = """
+WITH tab AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256))::BIGINT AS n))),
+h AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, source, len(h) // 2 + 16 AS size, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM h),
+d AS (SELECT doc_id, source, size, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1])), 4294967295) AS crc,
+  md5(concat('shards:', coalesce(doc_id::VARCHAR, 'null'))) AS key FROM b, tab),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, size, crc) AS n, count(*) OVER (PARTITION BY source) AS c, count(*) OVER () AS total FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * n - 1)::DOUBLE / (2 * c), source COLLATE "binary" NULLS LAST, n) - 1 AS pos FROM r),
+s AS (SELECT *, pos * 40 // total AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+  (pos - (shard * total + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM s
+"""
+
+
+@_query("op7_shards", OP7_SQL)
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.assign(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")

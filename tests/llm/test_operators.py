@@ -459,3 +459,40 @@ def test_url_filter_stays_in_spark(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     plan = urls.judge(pages, urls.UrlModel(None, None))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# -- the pipeline ------------------------------------------------------------------------------
+
+
+def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    body = " ".join(f"word{i}" for i in range(40))
+    rng = random.Random(2)
+    own = lambda n: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    more = [(100, body, "en", "s0", 1), (101, body.upper(), "en", "s1", 1), (102, f"{own(30)} token=abcdefgh99", "en", "s0", 7)]
+    more += [(103 + i, own(20 + i), "en", f"s{i % 2}", 1) for i in range(30)]
+    docs.union(spark.createDataFrame(more, DOCS)).write.parquet(f"{tmp_path}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    rows = read.collect()
+    kept = [r for r in rows if (m := measures_of(r.text or ""))[0] >= 10 and 100 * m[4] <= 20 * m[0] and 20 * m[2] <= 7 * m[0] and m[1] >= 2 * m[0]]
+    kept = [r for r in kept if not (len(r.text.split()) >= 20 and 2 * len(re.findall(r"\S*[A-Z][A-Z]\S*", r.text)) > len(r.text.split()))]
+    least = groups_of([(r.doc_id, fingerprint_of(r.text)) for r in kept])
+    stay = {least[fingerprint_of(r.text)] for r in kept}
+    clean = {r.doc_id: ("[secret]".join(re.split("token=abcdefgh99", r.text)), r.source) for r in kept if r.doc_id in stay}
+    assert 102 in clean and 100 in clean and 101 not in clean
+    frame = spark.createDataFrame([(i, t, s) for i, (t, s) in clean.items()], "doc_id long, text string, source string")
+    copies = {r.doc_id: r.copies for r in mixture.plan(frame).collect()}
+    t = reference_tokenizer()
+    want = Counter()
+    for i, (text, _) in clean.items():
+        want[(i, tuple(t.encode(text, add_special_tokens=False).ids))] += copies[i]
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == +want
+    assert all(r.n_tokens == len(r.ids) // 4 for r in got)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "secrets", "mixture", "tokens"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, read, str(tmp_path))
+        assert out.columns == read.columns and stage(spark, read.filter("false"), str(tmp_path)).count() == 0
+    assert corpus_pipeline.encode_tokens(spark, read.filter("false"), str(tmp_path)).count() == 0
