@@ -40,7 +40,8 @@ def timed(df) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = get_spark("bench", os.environ.get("BENCH_CPUS", "8"))
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = get_spark("bench", cpus, spark__cloakframe__partitions=cpus)
     registry = load().QUERIES
     seconds: dict[str, float] = {}
     for name in HEADLINE:

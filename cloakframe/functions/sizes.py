@@ -1,30 +1,14 @@
-"""Broadcasting behind a check of the size."""
+"""Spreading of inputs that sit in one row group."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
 
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Spread an input over ``partitions`` tasks before work that is heavy per row.
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it holds at most ``max_rows`` rows.
-
-    A larger table is returned as it is and takes the shuffle join (adaptive
-    execution splits its skewed partitions).
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-SPREAD_BYTES = 1 << 30
-
-
-def spread_small(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
-    """Spread a small input over the cores before work that is heavy per row.
-
-    A small file often is a single row group and thus a single task. Inputs
-    above ``max_bytes`` keep their scan partitions: nothing is shuffled there.
+    A small file often is a single row group and thus a single task. It is the caller's choice, as it costs a
+    shuffle of the input: a table of many row groups needs none.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df
+    return df.repartition(partitions)

@@ -46,9 +46,9 @@ def create_terms(terms: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
     return done.filter("error_code IS NULL").drop("error_code").select(*new.columns), done.filter("error_code IS NOT NULL").select("id", "term", "error_code")
 
 
-def over_capacity(terms: DataFrame, n_new: int) -> bool:
-    """Whether the library would outgrow its limit (a bounded count)."""
-    room = lx.TERM_MAX_ROWS - n_new
+def over_capacity(terms: DataFrame, n_new: int, max_rows: int = lx.TERM_MAX_ROWS) -> bool:
+    """Whether the library would outgrow ``max_rows`` (a bounded count)."""
+    room = max_rows - n_new
     return room < 0 or terms.limit(room + 1).count() > room
 
 
@@ -133,16 +133,16 @@ def import_rejects(terms: DataFrame, rows: DataFrame) -> DataFrame:
     return invalid.unionByName(twice).unionByName(known)
 
 
-def import_terms(terms: DataFrame, rows: DataFrame) -> DataFrame:
-    """All or nothing: the library with the new rows, or an error."""
+def import_terms(terms: DataFrame, rows: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """All or nothing: the library with the new rows, or an error. ``max_rows`` bounds the library where one is wanted."""
     rejects = import_rejects(terms, rows).limit(1).count()
-    if rejects or over_capacity(terms, rows.limit(lx.TERM_MAX_ROWS + 1).count()):
+    if rejects or max_rows is not None and over_capacity(terms, rows.limit(max_rows + 1).count(), max_rows):
         raise ImportRejected("the import holds invalid, duplicate or too many rows")
     return terms.unionByName(_trimmed(rows).select(*terms.columns))
 
 
-def read_term_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Strict term file: exact header, four columns, status 启用 or 禁用; one bad row rejects all."""
+def read_term_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    """Strict term file: exact header, four columns, status 启用 or 禁用; one bad row, or more than ``max_rows``, rejects all."""
     names = ["category", "term", "description", "status"]
     schema = ", ".join(f"{n} STRING" for n in names) + ", _bad STRING"
     raw = spark.read.schema(schema).csv(path, header=False, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
@@ -153,7 +153,7 @@ def read_term_csv(spark: SparkSession, path: str) -> DataFrame:
         F.count_if(is_head).alias("heads"), F.count("*").alias("n"),
         F.count_if(~is_head & (F.col("_bad").isNotNull() | ~F.coalesce(ok_status, F.lit(False)))).alias("bad"),
     ).first()
-    if checks["heads"] != 1 or checks["bad"] or checks["n"] - 1 > lx.TERM_MAX_ROWS:
+    if checks["heads"] != 1 or checks["bad"] or max_rows is not None and checks["n"] - 1 > max_rows:
         raise ImportRejected("the term file has a wrong header, a bad row or too many rows")
     rows = raw.filter(~F.coalesce(is_head, F.lit(False)))
     return rows.select("term", "category", F.coalesce("description", F.lit("")).alias("description"), (F.col("status") == "启用").alias("enabled"))

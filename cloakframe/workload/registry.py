@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.functions.sizes import spread_small
+from cloakframe.functions.sizes import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +33,12 @@ def query(name: str, sql: str | None = None, covers: str = "") -> Callable[[Quer
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A shared table; small text tables are spread over the cores."""
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """A shared table, read as its files lie.
+
+    The test tables have one row group each. Where a session says so (``spark.cloakframe.partitions``, as the bench
+    and the tests do) or ``partitions`` is given, text tables are spread first, whatever their size.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df) if name in TEXT_TABLES else df
+    n = partitions or int(spark.conf.get("spark.cloakframe.partitions", "0"))
+    return spread(df, n) if n and name in TEXT_TABLES else df
