@@ -73,6 +73,15 @@ class RuleSet:
         """Custom rule: sits after the built-in rules and before the terms."""
         return replace(self, rules=(*self.rules, Rule(id, name or id, pattern, template, use_counter=use_counter)))
 
+    def guarded(self, *ids: str) -> RuleSet:
+        """The same rules, but a match of the named ones has no ASCII digit beside it (default: phone, id_card, bank_card)."""
+        ids = ids or ("phone", "id_card", "bank_card")
+        return replace(self, rules=tuple(replace(r, pattern=f"(?<![0-9])(?:{r.pattern})(?![0-9])") if r.id in ids else r for r in self.rules))
+
+    def missing_required(self) -> list[str]:
+        """Rules that personal data calls for and this set doesn't have switched on."""
+        return [i for i in lx.PII_REQUIRED_RULES if i not in self.enabled_ids()]
+
     def with_terms(self, terms: list[Term]) -> RuleSet:
         return replace(self, terms=tuple(t for t in terms if t.enabled))
 

@@ -13,6 +13,7 @@ from cloakframe.sources import ingest as g
 from cloakframe.sources import sinks as s
 from cloakframe.workload.mask_sql import mask_ctes
 from cloakframe.workload.masking import DOCS
+from cloakframe.streaming.workdir import work_dir
 from cloakframe.workload.registry import query, table
 
 _NAMES = ["a.TXT", ".txt", "b.md", "noext", "dir/c.docx", "x.doc", "y.exe", "z.tar.csv", "deck.pptx"]
@@ -346,13 +347,19 @@ def q_manifest(spark, sf):
 
 @query(
     "encrypted_mappings",
-    f"""WITH {mask_ctes(DOCS)} SELECT d.doc_id, CASE d.doc_id % 5 WHEN 1 THEN 'CMAP_AUTH_FAILED' WHEN 2 THEN 'CMAP_VERSION_UNSUPPORTED' WHEN 3 THEN 'CMAP_AUTH_FAILED' END AS error_code,
-    CASE WHEN d.doc_id % 5 IN (0, 4) THEN (SELECT count(*) FROM fresh f WHERE f.k = d.doc_id) END AS entries FROM documents d""",
+    f"""WITH {mask_ctes(DOCS)} SELECT d.doc_id, CASE WHEN d.doc_id % 25 = 4 THEN 'KEY_MISSING' ELSE CASE d.doc_id % 5 WHEN 1 THEN 'CMAP_AUTH_FAILED' WHEN 2 THEN 'CMAP_VERSION_UNSUPPORTED' WHEN 3 THEN 'CMAP_AUTH_FAILED' END END AS error_code,
+    CASE WHEN d.doc_id % 5 IN (0, 4) AND d.doc_id % 25 <> 4 THEN (SELECT count(*) FROM fresh f WHERE f.k = d.doc_id) END AS entries FROM documents d""",
     covers="S32 S33 S34 V5 V6",
 )
 def q_encrypted(spark, sf):
-    """Every fifth container is read with another domain's key, one has lost its magic, one is changed."""
-    keys = spark.createDataFrame([("mapping", bytes(range(32))), ("cells", bytes(range(1, 33)))], "domain STRING, key BINARY")
+    """Every fifth container is read with another domain's key, one has lost its magic, one is changed, some belong to a domain without a key.
+
+    The keys come as base64 from a key file.
+    """
+    path = work_dir(spark, "keys")
+    texts = spark.createDataFrame([("mapping", bytes(range(32))), ("cells", bytes(range(1, 33)))], "domain STRING, key BINARY")
+    texts.select("domain", F.base64("key").alias("key")).write.json(path)
+    keys = cr.read_keys(spark, path)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     wide = mask_documents(docs, "doc_id", "text", default_rules()).wide
     mine = cr.encrypt_mappings(wide.filter("doc_id % 5 <> 1"), "mapping", "doc_id", F.lit("2024-01-31T00:00:00Z"), keys)
@@ -360,7 +367,8 @@ def q_encrypted(spark, sf):
     c, k = F.col("container"), F.col("doc_id") % 5
     broken = F.when(k == 2, F.concat(F.lit(b"XXXX"), F.substring(c, F.lit(5), F.octet_length(c)))).when(k == 3, F.substring(c, F.lit(1), F.octet_length(c) - 1)).otherwise(c)
     stored = mine.unionByName(other).select("doc_id", broken.alias("container"))
-    return cr.decrypt_mappings(stored, keys).select("doc_id", "error_code", F.when(F.col("error_code").isNull(), F.size("mapping")).cast("bigint").alias("entries"))
+    done = cr.decrypt_mappings(stored.filter("doc_id % 25 <> 4"), keys).unionByName(cr.decrypt_mappings(stored.filter("doc_id % 25 = 4"), keys, "lost"))
+    return done.select("doc_id", "error_code", F.when(F.col("error_code").isNull(), F.size("mapping")).cast("bigint").alias("entries"))
 
 
 @query(

@@ -113,3 +113,13 @@ def test_surname_windows_stay_right_beside_each_other(spark):
         assert r.e and all(raw[e.start : e.end].decode() == e.text for e in r.e)
         near = {e.start: any(w in r.text[max(0, len(raw[: e.start].decode()) - 20) : len(raw[: e.start].decode())] for w in lx.NAME_CONTEXT_WORDS) for e in r.e}
         assert all((e.confidence > 0.8) == near[e.start] for e in r.e)
+
+
+def test_guarded_rules_look_at_digit_neighbours(spark):
+    df = spark.createDataFrame([(1, "13900000001 x 139000000012 913900000001\n13900000001")], "id LONG, text STRING")
+    out = mask_documents(df, "id", "text", activate(["phone"]).guarded()).masked.first().masked
+    assert out == "***PHONE***1 x 139000000012 913900000001\n***PHONE***1"
+
+
+def test_required_rules_are_reported():
+    assert activate(["phone", "email"]).missing_required() == ["id_card", "bank_card", "passport", "address"]
