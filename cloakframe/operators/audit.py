@@ -379,6 +379,23 @@ def confirm_previews(requests: DataFrame, previews: DataFrame) -> DataFrame:
     )
 
 
+def confirmed_rows(outcomes: DataFrame, preview_files: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that newly confirmed previews add: ``(batches, files, events)``.
+
+    A ready preview file becomes a completed file, any other a failed one, each with the one event of that outcome. Ids follow
+    from the preview's, so an ``upsert`` of the rows of a repeated run changes nothing.
+    """
+    new = outcomes.filter("outcome = 'CONFIRMED'").select("preview_id", "batch_id")
+    batches = new.select(F.col("batch_id").alias("id"), F.lit("Running").alias("status"), now.alias("created_at"))
+    status = F.when(F.col("status") == "Ready", "Completed").otherwise("Failed")
+    files = preview_files.withColumn("status", status).join(new, "preview_id").withColumn("created_at", now).withColumn("updated_at", now)
+    events = files.select(
+        F.concat_ws("-", "batch_id", F.col("id").cast("string")).alias("id"), "batch_id", F.col("id").alias("file_id"),
+        F.col("status").alias("event_type"), "status", now.alias("created_at"),
+    )
+    return batches, files.drop("preview_id"), events
+
+
 def expired_sessions(previews: DataFrame, now: Column) -> DataFrame:
     """Sessions to sweep: past their time and neither confirming nor confirmed."""
     return previews.filter((F.col("expires_at") < now) & ~F.col("status").isin("Confirming", "Confirmed"))

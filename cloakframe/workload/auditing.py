@@ -407,6 +407,26 @@ def q_confirm(spark, sf):
     return a.confirm_previews(requests, view(spark, sf, "previews"))
 
 
+@query(
+    "confirmed_rows",
+    ctes("previews", "preview_files") + """, r AS (SELECT DISTINCT o_custkey * 2 AS preview_id FROM orders),
+    n AS (SELECT preview_id, 'batch-' || left(sha256(CAST(preview_id AS VARCHAR)), 16) AS batch_id FROM r JOIN previews p ON p.id = r.preview_id WHERE confirmed_batch_id IS NULL AND p.status IN ('Ready', 'ReadyWithErrors')),
+    f AS (SELECT batch_id, f.id AS file_id, CASE WHEN f.status = 'Ready' THEN 'Completed' ELSE 'Failed' END AS status, masked_entity_count FROM preview_files f JOIN n USING (preview_id))
+    SELECT 'batch' AS kind, batch_id AS id, batch_id, 'Running' AS status, NULL::BIGINT AS masked_entity_count FROM n
+    UNION ALL SELECT 'file', CAST(file_id AS VARCHAR), batch_id, status, CAST(masked_entity_count AS BIGINT) FROM f
+    UNION ALL SELECT 'event', batch_id || '-' || file_id, batch_id, status, NULL FROM f""",
+    covers="U9",
+)
+def q_confirmed_rows(spark, sf):
+    requests = table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("preview_id"))
+    outcomes = a.confirm_previews(requests, view(spark, sf, "previews"))
+    batches, files, events = a.confirmed_rows(outcomes, view(spark, sf, "preview_files"), now())
+    none = F.lit(None).cast("bigint").alias("masked_entity_count")
+    rows = batches.select(F.lit("batch").alias("kind"), "id", F.col("id").alias("batch_id"), "status", none)
+    rows = rows.union(files.select(F.lit("file"), F.col("id").cast("string"), "batch_id", "status", F.col("masked_entity_count").cast("bigint")))
+    return rows.union(events.select(F.lit("event"), "id", "batch_id", "status", none))
+
+
 @query("expired_sessions", ctes("previews") + f"SELECT id, status FROM previews WHERE expires_at < {NOW} AND status NOT IN ('Confirming', 'Confirmed')", covers="U10")
 def q_expired(spark, sf):
     return a.expired_sessions(view(spark, sf, "previews"), now()).select("id", "status")
