@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import parts, saved
+from cloakframe.llm.common import by_text, parts, saved
 
 PIECE, WINDOW, KEPT = 1 << 16, 64, 250_000
 # ASCII capitals are lowered by the vocabulary's own normaliser; newline and tab are blanks to it
@@ -185,7 +185,7 @@ def _short(rows: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*part.schema.names[:-1], "ids"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(encoded, f"{kinds}ids binary")
+    return by_text(rows).mapInArrow(encoded, f"{kinds}ids binary")
 
 
 def _long(texts: DataFrame, path: str, piece: int) -> DataFrame:
@@ -241,4 +241,4 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ..
 
     picked = rows.select(*keep, F.col(ids_col).alias("_ids"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema if f.name != "_ids")
-    return picked.mapInArrow(decoded, f"{kinds}decoded string")
+    return by_text(picked).mapInArrow(decoded, f"{kinds}decoded string")

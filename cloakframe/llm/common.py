@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 1 << 20
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_text(df: DataFrame) -> DataFrame:
+    """``df`` for a Python step over texts: lowers the session's rows an Arrow batch, as ten thousand documents are a large one."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def sized(lengths: list[int], limit: int = BATCH_BYTES) -> Iterator[slice]:
     """Slices of texts of these lengths of about ``limit`` in all; one longer text makes a slice alone."""
     begin = total = 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import draw, parts, saved, sized
+from cloakframe.llm.common import by_text, draw, parts, saved, sized
 from cloakframe.llm.words import LOWER, P, Scan, mix
 
 BITS, SAMPLE, PARTS, ROUNDS = 18, 12_000, 4, 3
@@ -145,4 +145,4 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores(texts, shared.value, bits))], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return by_text(rows).mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)

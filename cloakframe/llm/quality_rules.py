@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import parts
+from cloakframe.llm.common import by_text, parts, sized
 from cloakframe.llm.words import Scan
 
+SAMPLE = 256
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -72,21 +73,15 @@ def _cascade(texts: list[bytes], rules: tuple[Rule, ...], scan: Scan | None = No
     return kept
 
 
-def measure_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = 2000) -> list[tuple[str, float, float]]:
-    """(name, seconds a text, share rejected) of each rule on at most ``sample`` texts."""
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in parts(batch, 0):
-                for rule in rules:
-                    began = time.perf_counter()
-                    bad = int(rule.rejects(Scan(texts)).sum())
-                    spent = time.perf_counter() - began
-                    yield pa.RecordBatch.from_pylist([{"name": rule.name, "s": spent, "bad": bad, "n": len(texts)}])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).limit(sample)
-    out = rows.mapInArrow(measured, "name string, s double, bad long, n long").groupBy("name").agg(F.sum("s"), F.sum("bad"), F.sum("n")).collect()
-    return [(name, s / n, bad / n) for name, s, bad, n in out]
+def measure_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[tuple[str, float, float]]:
+    """(name, seconds a text, share rejected) of each rule on the first ``sample`` texts that Spark finds, as take() reads few partitions."""
+    texts = [(r[0] or "").encode() for r in docs.select(F.col(text_col).cast("string")).take(sample)]
+    figures = []
+    for rule in rules if texts else ():
+        began = time.perf_counter()
+        bad = sum(int(rule.rejects(Scan(texts[at])).sum()) for at in sized([len(t) for t in texts]))
+        figures.append((rule.name, (time.perf_counter() - began) / len(texts), bad / len(texts)))
+    return figures
 
 
 def order_rules(figures: list[tuple[str, float, float]], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
@@ -95,7 +90,7 @@ def order_rules(figures: list[tuple[str, float, float]], rules: tuple[Rule, ...]
     return tuple(sorted(rules, key=lambda r: -worth.get(r.name, -1.0)))
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = 2000, measures: bool = False) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, measures: bool = False) -> DataFrame:
     """id, ``kept``; with ``measures`` also the base measures of every text, which then are computed for rejected texts too."""
     ordered = order_rules(measure_rules(docs, text_col, rules, sample), rules)
     names = MEASURES if measures else ()
@@ -111,10 +106,10 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, kept boolean" + "".join(f", {m} long" for m in names)
-    return rows.mapInArrow(judged, schema).withColumnRenamed("id", id_col)
+    return by_text(rows).mapInArrow(judged, schema).withColumnRenamed("id", id_col)
 
 
-def filter_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = 2000) -> DataFrame:
+def filter_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that every rule keeps, all columns unchanged."""
     ordered = order_rules(measure_rules(docs, text_col, rules, sample), rules)
     at = docs.columns.index(text_col)
@@ -124,4 +119,4 @@ def filter_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule,
             for rows, texts in parts(batch, at):
                 yield rows.filter(pa.array(_cascade(texts, ordered)))
 
-    return docs.mapInArrow(kept_rows, docs.schema)
+    return by_text(docs).mapInArrow(kept_rows, docs.schema)

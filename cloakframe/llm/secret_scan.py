@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import parts, saved
+from cloakframe.llm.common import by_text, parts, saved
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -97,7 +97,7 @@ def update_ledger(docs: DataFrame, ledger: str, text_col: str = "text", rules: t
                     found.append([{"kind": k, "start": a, "end": b} for a, _, k, b in sorted(hits)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.list_(kind))], names=["blob", "rules", "spans"])
 
-    todo.mapInArrow(scanned, f"blob string, rules array<string>, spans array<{SPAN}>").write.mode("append").parquet(ledger)
+    by_text(todo).mapInArrow(scanned, f"blob string, rules array<string>, spans array<{SPAN}>").write.mode("append").parquet(ledger)
 
 
 def findings(spark, ledger: str, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
@@ -154,4 +154,4 @@ def redact(docs: DataFrame, ledger: str, text_col: str = "text", mark: str = "[s
                 cols[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names=rows.schema.names[:-1])
 
-    return joined.mapInArrow(clean, docs.schema)
+    return by_text(joined).mapInArrow(clean, docs.schema)

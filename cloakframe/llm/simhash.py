@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import WORD, parts, saved
+from cloakframe.llm.common import WORD, by_text, parts, saved
 from cloakframe.llm.components import components
 
 BITS, BLOCKS, SHINGLE, HUB_FROM = 4, 7, 4, 1500
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), id_col, *carry)
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in (id_col, *carry))
-    return rows.mapInArrow(marked, f"{kinds}fp long")
+    return by_text(rows).mapInArrow(marked, f"{kinds}fp long")
 
 
 def _signed(x: int) -> int:
