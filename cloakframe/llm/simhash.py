@@ -16,6 +16,7 @@ empty result. Only id and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from cloakframe.llm.common import WORD, by_text, parts, saved
 from cloakframe.llm.components import components
 
-BITS, BLOCKS, SHINGLE, HUB_FROM = 4, 7, 4, 1500
+BITS, BLOCKS, SHINGLE, HUB_FROM = 4, 7, 4, 500
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _TO_LOWER = bytes.maketrans(_UPPER, _LOWER)
 _WORD = re.compile(WORD.encode())
@@ -107,9 +108,8 @@ def hub_links(fps: DataFrame, bits: int) -> DataFrame:
     if bits % 2:
         raise ValueError("crowded blocks need an even number of bits")
     flips = [0] + [sum(1 << i for i in c) for k in range(1, bits // 2 + 1) for c in combinations(range(64), k)]
-    session = fps.sparkSession
-    table = F.broadcast(session.createDataFrame([(_signed(x),) for x in flips], "flip long"))  # a constant of bits: 2,081 rows for 4
-    named = fps.join(table, F.lit(True)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
+    hubs = F.from_json(F.lit(json.dumps([_signed(x) for x in flips])), "array<bigint>")  # a constant of bits: 2,081 masks for 4
+    named = fps.select("fp", F.explode(hubs).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
     named = saved(named)
     least = named.groupBy("hub").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1")
     return named.join(least, "hub").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()

@@ -123,7 +123,7 @@ def groups_of(pairs):
     return {f: (None if least[root(f)] == math.inf else least[root(f)]) for f in fps}
 
 
-@pytest.mark.parametrize("hub_from", [1500, 2])
+@pytest.mark.parametrize("hub_from", [500, 2])
 def test_near_duplicates_equal_brute_force(spark, hub_from):
     """hub_from 2 sends every shared block over the points in between."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
