@@ -420,6 +420,75 @@ def test_licences_equal_brute_force_and_are_inherited(spark):
     assert licenses.scan(df.filter("false")).collect() == []
 
 
+GPL_HEADER = """/* frob.c -- frobnicate lines
+ * Copyright (C) 2019 A. Author
+ *
+ * Frob is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {0}General Public License as published by
+ * the Free Software Foundation, either version {1} of the License, or
+ * (at your option) any later version.
+ *
+ * Frob is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU {0}General Public License for more details.
+ */
+#include <stdio.h>
+int main(void) {{ return 0; }}
+"""
+MIT_LINE = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+BSD_TEXT = """Copyright (c) 2011, Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+  * Redistributions of source code must retain the above copyright notice,
+    this list of conditions and the following disclaimer.
+  * Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY SOME ONE "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL SOME ONE BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE.
+"""
+BSD_THIRD = """  * Neither the name of Some One nor the names of other contributors may be
+    used to endorse or promote products derived from this software without
+    specific prior written permission.
+"""
+STATED = {
+    "g/3.c": (GPL_HEADER.format("", 3), "GPL-3.0"),
+    "g/2.c": (GPL_HEADER.format("", 2), "GPL-2.0"),
+    "g/l.c": (GPL_HEADER.format("Lesser ", "2.1"), "LGPL-2.1"),
+    "g/a.c": (GPL_HEADER.format("Affero ", 3), "AGPL-3.0"),
+    "h/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n", "GPL-3.0"),
+    "a/LICENSE": ("\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n      \"License\" shall mean the terms and conditions for use, reproduction,\n      and distribution as defined by Sections 1 through 9 of this document.\n", "Apache-2.0"),
+    "m/1": (f"The MIT License\n\nCopyright 2020 B\n\n{MIT_LINE}\n", "MIT"),
+    "b/2": (BSD_TEXT.format(""), "BSD-2-Clause"),
+    "b/3": (BSD_TEXT.format(BSD_THIRD), "BSD-3-Clause"),
+    "s/1.rs": ("// SPDX-License-Identifier: Apache-2.0\nfn main() {}", "Apache-2.0"),
+    "s/2.c": ("/* SPDX-License-Identifier: GPL-2.0-only */ int x;", "GPL-2.0"),
+    "i/1": ("Copyright (c) 2004 C\n\nPermission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR\nANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES\nWHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS.\n", "ISC"),
+    "u/UNLICENSE": ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n", "Unlicense"),
+    "e/1.java": ("/*\n * Copyright (c) 2018 D.\n * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/\n */\nclass A {}", "EPL-2.0"),
+    "l/1": ("words of a long line that goes on and on about many other things before it ends, and is Released under the MIT License.", "MIT"),
+    "n/1": ("Licensed under the Apache License.", None),
+    "n/2": ("words about the general public and a free license of some other kind", None),
+}
+
+
+def test_licences_of_headers_texts_and_tags(spark):
+    """Texts as files hold them, none of them a notice; version and kind tell the GNU licences apart."""
+    files = [(path, text) for path, (text, _) in STATED.items()] + [("a/b/x", "no licence here"), ("u/x", "none either")]
+    files += [(f"f/{i}", f"filler number {i} is a plain text of the corpus") for i in range(200)]
+    got = {r.path: (r.licence, r.origin) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {path: got[path][0] for path in STATED} == {path: licence for path, (_, licence) in STATED.items()}
+    assert got["a/b/x"] == ("Apache-2.0", "directory") and got["u/x"] == ("Unlicense", "directory")
+
+
 # -- URLs --------------------------------------------------------------------------------------
 
 URLS = ["http://A.Example.ORG/es/1", "https://example.org/en/15?x=1", "https://x.org/", "http://x.org", "http://b.com/fr/1", "http://b.com/de/1", "http://bcom/de/1", "nothing", "", None, "://org/", "http://net/fr/", "http://example.org/es", "http://notexample.org/es/", "http://x.org?q=/es/"]
