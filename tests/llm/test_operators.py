@@ -565,3 +565,32 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
         out = stage(spark, read, str(tmp_path))
         assert out.columns == read.columns and stage(spark, read.filter("false"), str(tmp_path)).count() == 0
     assert corpus_pipeline.encode_tokens(spark, read.filter("false"), str(tmp_path)).count() == 0
+
+
+def five_word_sets(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    words = WORD.findall(words)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_no_similar_documents_stay(spark):
+    """Pairs with 5-word similarity of 0.8 or more, many of them more than 4 bits apart, leave one document; less similar ones stay."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        near = words[:]
+        near[10] = near[40] = "other"  # 90 of 110 shingles are shared
+        far = words[:]
+        far[10] = far[40] = far[70] = "third"  # 85 of 115
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    sets = {i: five_word_sets(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert all(alike(3 * i, 3 * i + 1) and not alike(3 * i, 3 * i + 2) for i in range(40))
+    assert any((fingerprint_of(rows[3 * i][1]) ^ fingerprint_of(rows[3 * i + 1][1])).bit_count() > 4 for i in range(40))
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert {3 * i for i in range(40)} <= kept and not [i for i in kept if i % 3 == 1]
+    assert all(not alike(a, b) for a, b in itertools.combinations(kept, 2))
