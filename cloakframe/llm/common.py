@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,17 +17,21 @@ BATCH_BYTES = 1 << 20
 BATCH_ROWS = 1_000
 
 
+_local_roots: dict[str, str] = {}
+_scratch: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    A local session without the setting gets a temporary folder; on a cluster the setting is required.
+    A local session without the setting gets one temporary folder; on a cluster the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_roots.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="shared-")
+        _local_roots[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -34,9 +39,31 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, computed once."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``saved`` writes inside are removed at the end; the given function saves one that stays."""
+    mine: list[str] = []
+    _scratch.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = saved(df)
+        mine.pop()
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scratch.remove(mine)
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def by_text(df: DataFrame) -> DataFrame:
     """``df`` for a Python step over texts: lowers the session's rows an Arrow batch, as ten thousand documents are a large one."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

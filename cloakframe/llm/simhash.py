@@ -37,23 +37,43 @@ _WORD = re.compile(WORD.encode())
 SOME = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a UTF-8 text."""
+def _hashed(text: bytes, width: int, some: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the text's runs of ``width`` words, ``some`` at a time; a shorter text is one run, one without words has none."""
     words = _WORD.findall(text.translate(_TO_LOWER))
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     h = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return h(joined, 42)
+        yield np.array([h(joined, 42)], "<u8")
+        return
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
     starts = [0, *[e + 1 for e in ends[:-1]]]
     n = len(words) - width + 1
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, SOME):  # a long text in bounded memory
-        part = [h(joined[a:b], 42) for a, b in zip(starts[at : min(n, at + SOME)], ends[at + width - 1 :], strict=False)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+    for at in range(0, n, some):
+        yield np.array([h(joined[a:b], 42) for a, b in zip(starts[at : min(n, at + some)], ends[at + width - 1 :], strict=False)], "<u8")
+
+
+def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """The hashes of all shingles of a UTF-8 text, repeats included."""
+    return np.concatenate([np.empty(0, "<u8"), *_hashed(text, width, SOME)])
+
+
+def _bit_counts(part: np.ndarray) -> np.ndarray:
+    return np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes; zero for none."""
+    counts = sum((_bit_counts(hashes[at : at + SOME]) for at in range(0, len(hashes), SOME)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a UTF-8 text; a long text takes bounded memory."""
+    counts, n = np.zeros(64, np.int64), 0
+    for part in _hashed(text, width, SOME):
+        counts, n = counts + _bit_counts(part), n + len(part)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
