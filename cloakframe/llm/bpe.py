@@ -7,7 +7,8 @@ encoded again and grows until it agrees with the tokens on either side. A token
 neighbours is, so one token that both share settles the join; two are asked for.
 
 Null counts as empty and gives no ids. Repeated rows and ids are encoded row by row; of long texts each distinct one is encoded once.
-An empty table gives an empty result. Columns other than those named are not read. The tokenizer file's path is a parameter and must
+An empty table gives an empty result. Columns other than those named are not read; kept ones may have any name, but the result's column takes the place of one with its own. Special
+tokens are found as they are written, whatever the length of the text. The tokenizer file's path is a parameter and must
 exist on every executor.
 """
 
@@ -25,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
 from cloakframe.llm.common import by_text, parts, saved
 
@@ -53,14 +55,24 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.lowers = "Lowercase" in json.dumps(file["normalizer"])
+        # special tokens are looked for before the normaliser runs, in the case they have
+        self.special = [t["content"].encode().translate(_PLAIN).decode() for t in file["added_tokens"] if not t["normalized"]]
         if file["decoder"] is not None or file["model"]["type"] != "BPE":
             raise ValueError("made for BPE files without a decoder: ids are then shown as their names, joined by blanks")
 
+    def _runs(self, text: str) -> list[str]:
+        """The text cut at blanks, lowered early where no special token can be touched by it."""
+        if self.lowers:
+            low = text.encode().translate(_PLAIN).decode()
+            if not any(s in low for s in self.special):
+                return low.split(" ")
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
-            runs = (text.encode().translate(_PLAIN).decode() if self.lowers else text.replace("\n", " ")).split(" ")
+            runs = self._runs(text)
             new = set(runs).difference(self.seen)
             if new:
                 if len(self.seen) > KEPT:
@@ -176,16 +188,28 @@ def concatenate(codec: Codec, text: str, pieces: list[np.ndarray], borders: list
     return nodes[0][2]
 
 
-def _short(rows: DataFrame, path: str) -> DataFrame:
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+def _with(rows: DataFrame, name: str, kind: DataType, made) -> DataFrame:
+    """Column ``name`` in place of ``_in``, the second column of ``rows``; ``made`` gives the values of an Arrow column. The first column goes along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in parts(batch, batch.num_columns - 1):
-                ids = c.encode([t.decode() for t in texts])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*part.schema.names[:-1], "ids"])
+            for part, values in made(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), values], names=["row", name])
+
+    return by_text(rows).mapInArrow(run, StructType([rows.schema["row"], StructField(name, kind)]))
+
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
-    return by_text(rows).mapInArrow(encoded, f"{kinds}ids binary")
+def _unpacked(rows: DataFrame, keep: tuple[str, ...], name: str) -> DataFrame:
+    """The kept columns and ``name``, which stands in place of a kept column that has its name."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in keep if c != name], name)
+
+
+def _short(rows: DataFrame, path: str) -> DataFrame:
+    def encoded(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        for part, texts in parts(batch, 1):
+            yield part, pa.array(codec(path).encode([t.decode() for t in texts]), pa.binary())
+
+    return _with(rows, "ids", BinaryType(), encoded)
 
 
 def _long(texts: DataFrame, path: str, piece: int) -> DataFrame:
@@ -218,27 +242,22 @@ def _long(texts: DataFrame, path: str, piece: int) -> DataFrame:
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), piece: int = PIECE) -> DataFrame:
     """The ``keep`` columns and ``ids`` (binary: little-endian unsigned 32-bit integers) of every row's whole text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*keep, text.alias("_text"))
-    short = _short(rows.filter(F.length("_text") <= piece), path)
-    long = rows.filter(F.length("_text") > piece).withColumn("_sha", F.sha2("_text", 256))
-    texts = long.groupBy("_sha").agg(F.min("_text").alias("_text")).toDF("sha", "_text")
+    rows = docs.select(F.struct(*keep).alias("row"), text.alias("_in"))
+    short = _short(rows.filter(F.length("_in") <= piece), path)
+    long = rows.filter(F.length("_in") > piece).withColumn("_sha", F.sha2("_in", 256))
+    texts = long.groupBy("_sha").agg(F.min("_in").alias("_text")).toDF("sha", "_text")
     ids = saved(_long(texts, path, piece))
-    again = long.select(*keep, "_sha").join(ids, F.col("_sha") == ids.sha)
-    return short.unionByName(again.select(*keep, "ids"))
+    again = long.select("row", "_sha").join(ids, F.col("_sha") == ids.sha).select("row", "ids")
+    return _unpacked(short.unionByName(again), keep, "ids")
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and ``decoded``: the text the tokenizer gives back for ``ids`` (null: empty)."""
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [c.decode(x or b"") for x in ids.slice(at, 64).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "decoded"])
-
-    picked = rows.select(*keep, F.col(ids_col).alias("_ids"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema if f.name != "_ids")
-    return by_text(picked).mapInArrow(decoded, f"{kinds}decoded string")
+    def decoded(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            yield part, pa.array([codec(path).decode(x or b"") for x in part.column(1).to_pylist()], pa.string())
+
+    picked = rows.select(F.struct(*keep).alias("row"), F.col(ids_col).alias("_in"))
+    return _unpacked(_with(picked, "decoded", StringType(), decoded), keep, "decoded")
