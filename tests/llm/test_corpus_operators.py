@@ -185,6 +185,25 @@ def test_tokens_equal_the_library(spark):
     assert bpe.encode(empty(spark), VOCABULARY).collect() == []
 
 
+def test_special_tokens_in_any_case_and_any_length():
+    c = bpe.codec(VOCABULARY)
+    for some in ("<|ENDOFTEXT|>", "x<|EndOfText|>y", "<|endoftext|>", "A <|STARTOFTEXT|>\nB<|endoftext|>C", "<|Startoftext|>\t<|startoftext|>"):
+        for text in (some, some + " and more words" * 9_000):
+            want = c.tok.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(c.encode([text])[0], "<u4").tolist() == want
+    assert np.frombuffer(c.encode(["<|ENDOFTEXT|>"])[0], "<u4").tolist() == [27, 347, 40786, 4160, 91, 285]
+
+
+def test_kept_columns_of_any_name(spark):
+    clash = ("sha", "ids", "_text", "_in", "row", "_sha", "decoded", "a b", "part")
+    docs = spark.createDataFrame([(1, "Some text"), (2, "long text " * 20)], "doc_id long, text string").select("*", *[F.lit(9).alias(c) for c in clash])
+    out = bpe.encode(docs, VOCABULARY, keep=("doc_id", "text", *clash), piece=50)
+    assert out.columns == ["doc_id", "text", *[c for c in clash if c != "ids"], "ids"]
+    back = bpe.decode(out, VOCABULARY, keep=tuple(out.columns)).collect()
+    assert [(r["a b"], r.sha, r._text) for r in back] == [(9, 9, 9)] * 2
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == bpe.codec(VOCABULARY).tok.encode(r.text, add_special_tokens=False).ids for r in back)
+
+
 ALPHABET = ["a", "b", "th", "ing", "The", "'s", "'", "!", "...", "<|endoftext|>", "<|", "é", "é", "́", "ß", "Σ", "中文", "1", "23", " ", "\n", "\x1c", " ", "İ", "한", "가", "ে", "😀", "don't"]
 
 
@@ -355,6 +374,19 @@ def test_odd_vectors(spark):
     assert vptree.nearest(df.filter("false"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_ties_of_different_vectors(spark):
+    rng = random.Random(8)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, rng.uniform(-5, 5), rng.uniform(-5, 5)]) for i in range(1, 320)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (60, 1_000):
+        out = vptree.nearest(df, F.col("vec_id") == 0, factor=1.0, leaf=16, shard_rows=shard_rows).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in out] == [(i, 1.0) for i in range(1, 21)]
+    near = [(i, [1.0 + 2.0**-52 * (i % 3), float(i), 1e-9]) for i in range(200)]  # products that differ in the last bit
+    df = spark.createDataFrame([(1000, [1.0, 0.0, 0.0]), *near], "vec_id long, embedding array<double>")
+    out = vptree.nearest(df, F.col("vec_id") == 1000, factor=1.0, leaf=16).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == sorted(range(200), key=lambda i: (-(i % 3), i))[:20]
+
+
 # -- quality model -----------------------------------------------------------------------------
 
 
