@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import bpe, minhash, mixture, quality_rules, secret_scan, simhash
+from cloakframe.llm import bpe, minhash, mixture, quality_rules, secret_scan
 from cloakframe.llm.common import saved, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,16 +18,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, then of each group with 5-word similarity of 0.8 or more."""
-    return minhash.deduplicate(saved(simhash.deduplicate(docs)))
+    """The document with the smallest id of each group of near-duplicates: candidates by fingerprint blocks and by bands, links by exact 5-word similarity of 0.8 or more."""
+    return minhash.deduplicate(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets replaced and n_chars counted anew where the text changed."""
-    kept = docs.columns
-    out = secret_scan.redact(docs.withColumn("_old", F.length("text")), shared_dir(spark))
-    n = F.when(F.col("_old").eqNullSafe(F.length("text")), F.col("n_chars")).otherwise(F.length("text"))
-    return out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType)).select(*kept)
+    old = max(docs.columns, key=len) + "_"  # a name that no column has
+    out = secret_scan.redact(docs.withColumn(old, F.length("text")), shared_dir(spark))
+    n = F.when(F.col(f"`{old}`").eqNullSafe(F.length("text")), F.col("n_chars")).otherwise(F.length("text"))
+    return out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType)).drop(old)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
