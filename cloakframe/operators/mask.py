@@ -39,6 +39,7 @@ from cloakframe.functions.hof import (
     sentinel_char,
     sort_by_key,
 )
+from cloakframe.operators.term_join import attach_terms, swept
 from cloakframe.operators.term_match import candidate_terms
 from cloakframe.plans import lexicon as lx
 from cloakframe.plans.rules import RuleSet, java_pattern
@@ -229,6 +230,41 @@ def _token_part(entity_type: Column, position: int) -> Column:
 # --- the expression ----------------------------------------------------------
 
 
+def active_rules(rules: RuleSet, scope: str) -> list:
+    return [r for r in rules.rules if r.enabled and not (scope == "document" and r.id == "chinese_name")]
+
+
+def word_sides(active: list) -> tuple[list[int], list[int]]:
+    """Ranks of the rules whose placeholder ends, and begins, with a word character."""
+    ends = [i + 1 for i, r in enumerate(active) if r.use_counter or re.match(r"\w", r.template[-1:])]
+    return ends, [i + 1 for i, r in enumerate(active) if re.match(r"\w", r.template[:1])]
+
+
+def is_whole(active: list, scope: str) -> bool:
+    """Whether the rules may run over the whole text at once."""
+    return scope == "fragment" or not any(_LINE_BOUND.search(r.pattern.replace("(?:", "(")) for r in active)
+
+
+def may_match(text: Column, active: list) -> Column:
+    """A cheap test: whether any rule matches."""
+    hit = F.lit(False)
+    for rule in active:
+        found = text.rlike(java_pattern(rule.pattern))
+        hit = hit | (F.contains(text, F.lit(rule.needle)) & found if rule.needle else found)
+    return hit
+
+
+def rule_lines(text: Column, rules: RuleSet, scope: str = "document") -> Column:
+    """The text in lines (or as one line) after all rules, with what they found."""
+    active = active_rules(rules, scope)
+    raw = F.array(text) if is_whole(active, scope) else F.split(text, "(?<=\\n)", -1)
+    lines = F.transform(raw, lambda t: _line(t, F.array().cast("array<struct<rank:int,original:string>>")))
+    lines = F.when(text.rlike(SENTINEL_CLASS), apply_pattern(lines, 0, SENTINEL_CLASS, wide=False)).otherwise(lines)
+    for rank, rule in enumerate(active, start=1):
+        lines = apply_pattern(lines, rank, java_pattern(rule.pattern), is_wide(rule.pattern))
+    return lines
+
+
 def mask_column(
     text: Column,
     rules: RuleSet,
@@ -237,9 +273,13 @@ def mask_column(
     seed: Column | None = None,
     seed_counter: Column | None = None,
     scope: str = "document",
+    terms: Column | None = None,
+    lines: Column | None = None,
 ) -> Column:
     """Struct ``(masked, mapping, masked_entity_count)`` for one text column.
 
+    ``lines`` are those of :func:`rule_lines` after a library of ``terms`` (an array column) has been applied to them.
+
     ``scope="document"`` works line by line and leaves the plain name rule to
     the detectors; ``scope="fragment"`` treats the value as one line and uses
     every rule. ``text`` should be a plain column. ``seed`` is an array of
@@ -247,19 +287,20 @@ def mask_column(
     """
     if scope not in ("document", "fragment"):
         raise ValueError(f"unknown scope {scope!r}")
-    active = [r for r in rules.rules if r.enabled and not (scope == "document" and r.id == "chinese_name")]
+    active = active_rules(rules, scope)
     first_term = len(active) + 1
     first_finding = first_term + len(rules.terms)
     if first_finding >= SENTINEL_CAPACITY:
         raise ValueError("too many rules")
+    if terms is not None:
+        if rules.terms:
+            raise ValueError("terms come with the rules or as a table, not both")
+        first_finding = first_term + F.coalesce(F.size(terms), F.lit(0))
 
     prefixes = [r.template for r in active] + [f"[{t.category}]" for t in rules.terms]
     ids = [r.id for r in active] + [t.rule_id for t in rules.terms]
-    counted = [r.use_counter for r in active] + [False] * len(rules.terms)
-    word_end = [
-        i + 1 for i, r in enumerate(active) if r.use_counter or re.match(r"\w", r.template[-1:])
-    ]
-    word_start = [i + 1 for i, r in enumerate(active) if re.match(r"\w", r.template[:1])]
+    counted = [r.use_counter for r in active] + [False] * (len(rules.terms) + (terms is not None))
+    word_end, word_start = word_sides(active)
 
     cands = candidate_terms(text, rules.terms, first_term, word_end, word_start) if rules.terms else None
     finds = _active_findings(text, findings, rules.enabled_ids(), first_finding) if findings is not None else None
@@ -280,6 +321,15 @@ def mask_column(
 
     def describe(fs: Column, rank: Column, what: str) -> Column:
         known = static[what](rank)
+        if terms is not None:
+            term = F.get(terms, rank - first_term)
+            of_term = {
+                "prefix": lambda: F.concat(F.lit("["), term["category"], F.lit("]")),
+                "suffix": lambda: F.lit(""),
+                "rule_id": lambda: F.concat(F.lit("sensitive_term_"), term["id"]),
+                "counted": lambda: F.lit(False),
+            }[what]()
+            known = F.when(rank < first_term, known).otherwise(of_term)
         if finds is None:
             return known
         entity_type = F.get(fs, rank - first_finding)["entity_type"]
@@ -291,23 +341,17 @@ def mask_column(
         }[what]()
         return F.when(rank < first_finding, known).otherwise(dynamic)
 
-    whole_text = scope == "fragment" or not any(
-        _LINE_BOUND.search(r.pattern.replace("(?:", "(")) for r in active
-    )
+    whole_text = is_whole(active, scope)
 
     def rewrite(cs: Column, fs: Column) -> Column:
-        raw = F.array(text) if whole_text else F.split(text, "(?<=\\n)", -1)
-        lines = F.transform(raw, lambda t: _line(t, F.array().cast("array<struct<rank:int,original:string>>")))
-        lines = F.when(text.rlike(SENTINEL_CLASS), apply_pattern(lines, 0, SENTINEL_CLASS, wide=False)).otherwise(lines)
-        for rank, rule in enumerate(active, start=1):
-            lines = apply_pattern(lines, rank, java_pattern(rule.pattern), is_wide(rule.pattern))
+        now = rule_lines(text, rules, scope) if lines is None else lines
         if cands is not None:
-            lines = _apply_terms(lines, cs)
+            now = _apply_terms(now, cs)
         if finds is not None:
-            lines = _apply_findings(lines, fs)
+            now = _apply_findings(now, fs)
         return F.struct(
-            F.array_join(F.transform(lines, lambda s: s["t"]), "").alias("t"),
-            F.flatten(F.transform(lines, lambda s: s["occ"])).alias("occ"),
+            F.array_join(F.transform(now, lambda s: s["t"]), "").alias("t"),
+            F.flatten(F.transform(now, lambda s: s["occ"])).alias("occ"),
         )
 
     def assemble(state: Column, fs: Column) -> Column:
@@ -442,9 +486,10 @@ def mask_column(
                     F.flatten(
                         F.transform(
                             written,
+                            # by index: slice() would copy the whole array for each value
                             lambda w: F.transform(
-                                F.slice(by_value, w["start"] + 1, w["n"]),
-                                lambda x: F.struct(x["at"].alias("at"), w["masked"].alias("out")),
+                                F.sequence(w["start"], w["start"] + w["n"] - 1),
+                                lambda j: F.struct(F.get(by_value, j)["at"].alias("at"), w["masked"].alias("out")),
                             ),
                         )
                     ),
@@ -478,12 +523,11 @@ def mask_column(
     )
 
     def run(cs: Column, fs: Column) -> Column:
-        hit = F.lit(False)
-        for rule in active:
-            found = text.rlike(java_pattern(rule.pattern))
-            hit = hit | (F.contains(text, F.lit(rule.needle)) & found if rule.needle else found)
+        hit = may_match(text, active)
         if cands is not None:
             hit = hit | (F.size(cs) > 0)
+        if terms is not None:
+            hit = hit | F.coalesce(F.size(terms) > 0, F.lit(False))
         if finds is not None:
             hit = hit | (F.size(fs) > 0)
         masked = let(rewrite(cs, fs), lambda state: assemble(state, fs))
@@ -534,6 +578,7 @@ def mask_documents(
     seed: str | None = None,
     seed_counter: str | None = None,
     scope: str = "document",
+    terms: DataFrame | None = None,
 ) -> MaskOutput:
     """Mask a text column; every other column is carried along.
 
@@ -542,21 +587,33 @@ def mask_documents(
     ``entity_type`` (optionally ``start``), which is grouped per document and
     joined. A hot document cannot overload a task: the group is bounded by the
     findings of one row.
+
+    ``terms`` is a term library as a table (id, term, category, enabled) of any
+    size. It is joined, not collected (see :mod:`cloakframe.operators.term_join`).
     """
     rules = rules.checked(df.sparkSession)
     findings_col = findings
     if isinstance(findings, DataFrame):
         df = attach_findings(df, findings, id_col)
         findings_col = "_findings"
+    library = {}
+    if terms is not None:
+        active = active_rules(rules, scope)
+        marked = F.array_join(F.transform("_lines", lambda s: s["t"]), "")
+        df = attach_terms(df.withColumn("_lines", rule_lines(F.col(text_col), rules, scope)), marked, terms)
+        df = df.withColumn("_swept", swept(F.col("_lines"), F.col("_terms"), len(active) + 1, *word_sides(active)))
+        library = {"terms": F.col("_terms"), "lines": F.col("_swept")}
     expr = mask_column(
         F.col(text_col),
         rules,
+        **library,
         findings=F.col(findings_col) if findings_col else None,
         seed=F.col(seed) if seed else None,
         seed_counter=F.col(seed_counter) if seed_counter else None,
         scope=scope,
     )
     dropped = [text_col, *([findings_col] if findings_col else []), *([seed] if seed else []), *([seed_counter] if seed_counter else [])]
+    dropped += ["_lines", "_terms", "_swept"] if library else []
     wide = (
         df.withColumn("_m", expr)
         .drop(*dropped)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cloakframe.operators.mask import mask_documents
 from cloakframe.operators.terms import freeze_snapshot
-from cloakframe.plans.rules import RuleSet, terms_from_df
+from cloakframe.plans.rules import RuleSet
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -51,11 +51,9 @@ def mask_stream(
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        active = rules
-        if terms is not None:
-            active = rules.with_terms(terms_from_df(frozen_terms(spark, terms, f"{out}/terms", batch_id)))
+        library = frozen_terms(spark, terms, f"{out}/terms", batch_id) if terms is not None else None
         target = f"{out}/masked/batch_id={batch_id}"
-        mask_documents(df, id_col, text_col, active).wide.write.mode("overwrite").parquet(target)
+        mask_documents(df, id_col, text_col, rules, terms=library).wide.write.mode("overwrite").parquet(target)
         stored = spark.read.parquet(target)
         stored.select(id_col, F.inline("mapping")).write.mode("overwrite").parquet(f"{out}/mapping/batch_id={batch_id}")
         events = stored.select(

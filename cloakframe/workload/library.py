@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cloakframe.operators import terms as t
 from cloakframe.operators.mask import mask_documents
 from cloakframe.plans import lexicon as lx
-from cloakframe.plans.rules import activate, default_rules, rule_catalogue, terms_from_df, validate_rule_requests
+from cloakframe.plans.rules import activate, default_rules, rule_catalogue, validate_rule_requests
 from cloakframe.workload.mask_sql import mask_ctes
 from cloakframe.workload.registry import query, table
 
@@ -174,8 +174,7 @@ _WORDS_SQL = TERMS_SQL + r""", p AS (SELECT doc_id, unnest(string_split_regex(te
 @query("terms_only_masked_docs", _WORDS_SQL, covers="T7 T8 A2")
 def q_terms_only(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    rules = activate([]).with_terms(terms_from_df(library(spark, sf)))
-    return mask_documents(docs, "doc_id", "text", rules).wide.select("doc_id", "masked")
+    return mask_documents(docs, "doc_id", "text", activate([]), terms=library(spark, sf)).wide.select("doc_id", "masked")
 
 
 # Words of the pieces between placeholders are looked up; the rules' numbers do not depend on terms.
@@ -193,8 +192,49 @@ TERMS_MASKED_SQL = f"""{TERMS_SQL}, {mask_ctes("SELECT doc_id, text FROM documen
 @query("terms_masked_docs", TERMS_MASKED_SQL, covers="T7 T8")
 def q_masked(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    rules = default_rules().with_terms(terms_from_df(library(spark, sf)))
-    return mask_documents(docs, "doc_id", "text", rules).wide.select("doc_id", "masked", "masked_entity_count")
+    out = mask_documents(docs, "doc_id", "text", default_rules(), terms=library(spark, sf))
+    return out.wide.select("doc_id", "masked", "masked_entity_count")
+
+
+# A library of every word and every pair of neighbours of the passages and conversations, far above 10,000 terms. Single words have five
+# letters or more, pairs have shorter words only, so that a pair overlaps pairs alone: of a chain of overlapping pairs one stands if the walk from it to
+# smaller and smaller terms, on either side, has an even number of steps.
+BIG_SQL = """WITH src AS (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations),
+    ws AS (SELECT regexp_extract_all(text, '[\\pL\\pN\\pM_]+') AS ws, string_split_regex(text, '[\\pL\\pN\\pM_]+') AS gaps FROM src),
+    one AS (SELECT DISTINCT w AS term FROM (SELECT unnest(ws) AS w FROM ws) WHERE length(w) >= 5),
+    two AS (SELECT DISTINCT a || ' ' || b AS term FROM (SELECT unnest(ws[:-2]) AS a, unnest(ws[2:]) AS b, unnest(gaps[2:-2]) AS g FROM ws) WHERE g = ' ' AND length(a) < 5 AND length(b) < 5),
+    terms AS (SELECT term, 'C' || (length(term) % 5) AS category FROM (SELECT * FROM one UNION ALL SELECT * FROM two)),
+    d AS (SELECT doc_id, regexp_extract_all(text, '[\\pL\\pN\\pM_]+') AS ws, string_split_regex(text, '[\\pL\\pN\\pM_]+') AS gaps FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS w, unnest(gaps[:-2]) AS gap, unnest(range(1, len(ws) + 1)) AS i FROM d),
+    p AS (SELECT *, lead(w) OVER o AS w2, lead(gap) OVER o AS g2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    h AS (SELECT p.doc_id, p.i, t.term, t.category FROM p JOIN terms t ON p.g2 = ' ' AND t.term = p.w || ' ' || p.w2),
+    n AS (SELECT *, lag(i) OVER o = i - 1 AND lag(term) OVER o <= term AS down_left, lead(i) OVER o = i + 1 AND lead(term) OVER o < term AS down_right FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    k AS (SELECT *, i - max(CASE WHEN coalesce(down_left, false) THEN NULL ELSE i END) OVER (PARTITION BY doc_id ORDER BY i) AS l,
+        min(CASE WHEN coalesce(down_right, false) THEN NULL ELSE i END) OVER (PARTITION BY doc_id ORDER BY i DESC) - i AS r FROM n),
+    pair AS (SELECT doc_id, i, category FROM k WHERE l % 2 = 0 AND r % 2 = 0),
+    x AS (SELECT w.doc_id, w.i, w.gap, w.w, t.category AS c1, a.category AS c2, b.category AS before
+        FROM w LEFT JOIN terms t ON t.term = w.w LEFT JOIN pair a ON a.doc_id = w.doc_id AND a.i = w.i LEFT JOIN pair b ON b.doc_id = w.doc_id AND b.i = w.i - 1),
+    m AS (SELECT doc_id, string_agg(CASE WHEN before IS NOT NULL THEN '' ELSE gap || CASE WHEN c2 IS NOT NULL THEN '[' || c2 || ']' WHEN c1 IS NOT NULL THEN '[' || c1 || ']' ELSE w END END, '' ORDER BY i) AS t,
+        count(c1) + count(c2) AS n FROM x GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(m.t, '') || d.gaps[len(d.gaps)] AS masked, coalesce(m.n, 0)::BIGINT AS masked_entity_count FROM d LEFT JOIN m USING (doc_id)"""
+
+
+def big_library(spark, sf):
+    """Words of five letters or more and pairs of shorter neighbours of all passages and conversations."""
+    texts = table(spark, sf, "benchmark").select("text").union(table(spark, sf, "conversations").select("text"))
+    words = texts.select(F.regexp_extract_all("text", F.lit(r"[\pL\pN\pM_]+"), F.lit(0)).alias("w"), F.split("text", r"[\pL\pN\pM_]+", -1).alias("g"))
+    single = words.select(F.explode("w").alias("term")).filter("length(term) >= 5")
+    pairs = words.select(F.inline(F.transform("w", lambda a, i: F.struct(a.alias("a"), F.get("w", i + 1).alias("b"), F.get("g", i + 1).alias("g")))))
+    pairs = pairs.filter("g = ' ' AND length(a) < 5 AND length(b) < 5").select(F.concat_ws(" ", "a", "b").alias("term"))
+    term = single.union(pairs).distinct()
+    return term.select(F.col("term").alias("id"), "term", F.concat(F.lit("C"), F.length("term") % 5).alias("category"), F.lit(True).alias("enabled"))
+
+
+@query("terms_any_size", BIG_SQL, covers="T7 T8")
+def q_any_size(spark, sf):
+    """A library of tens of thousands of words and overlapping pairs, joined and not collected."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return mask_documents(docs, "doc_id", "text", activate([]), terms=big_library(spark, sf)).wide.select("doc_id", "masked", "masked_entity_count")
 
 
 @query(
@@ -206,7 +246,7 @@ def q_masked(spark, sf):
 def q_hits(spark, sf):
     lib = library(spark, sf)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    out = mask_documents(docs, "doc_id", "text", activate([]).with_terms(terms_from_df(lib)))
+    out = mask_documents(docs, "doc_id", "text", activate([]), terms=lib)
     hits = out.mapping.withColumn("id", F.regexp_replace("rule_id", "^sensitive_term_", ""))
     return hits.join(lib.select("id", "term", "category"), "id").groupBy("term", "category").agg(
         F.count("*").alias("docs"), F.sum("n_occurrences").alias("n_occurrences")
