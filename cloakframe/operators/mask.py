@@ -254,15 +254,15 @@ def may_match(text: Column, active: list) -> Column:
     return hit
 
 
-def rule_lines(text: Column, rules: RuleSet, scope: str = "document") -> Column:
-    """The text in lines (or as one line) after all rules, with what they found."""
+def rule_lines(text: Column, rules: RuleSet, scope: str = "document", tested: bool = False) -> Column:
+    """The text in lines (or as one line) after all rules, with what they found; unless ``tested``, rules run only where one may match."""
     active = active_rules(rules, scope)
     raw = F.array(text) if is_whole(active, scope) else F.split(text, "(?<=\\n)", -1)
-    lines = F.transform(raw, lambda t: _line(t, F.array().cast("array<struct<rank:int,original:string>>")))
-    lines = F.when(text.rlike(SENTINEL_CLASS), apply_pattern(lines, 0, SENTINEL_CLASS, wide=False)).otherwise(lines)
+    untouched = F.transform(raw, lambda t: _line(t, F.array().cast("array<struct<rank:int,original:string>>")))
+    lines = F.when(text.rlike(SENTINEL_CLASS), apply_pattern(untouched, 0, SENTINEL_CLASS, wide=False)).otherwise(untouched)
     for rank, rule in enumerate(active, start=1):
         lines = apply_pattern(lines, rank, java_pattern(rule.pattern), is_wide(rule.pattern))
-    return lines
+    return lines if tested else F.when(may_match(text, active) | text.rlike(SENTINEL_CLASS), lines).otherwise(untouched)
 
 
 def mask_column(
@@ -344,7 +344,7 @@ def mask_column(
     whole_text = is_whole(active, scope)
 
     def rewrite(cs: Column, fs: Column) -> Column:
-        now = rule_lines(text, rules, scope) if lines is None else lines
+        now = rule_lines(text, rules, scope, tested=True) if lines is None else lines
         if cands is not None:
             now = _apply_terms(now, cs)
         if finds is not None:

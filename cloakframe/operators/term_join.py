@@ -1,6 +1,6 @@
 """Masking with a term library of any size, held as a table.
 
-The library is never collected. Each term is filed under one token: its word that fewest terms have, or a pair of characters when it holds Han text (a single character
+Only a library of a few terms becomes a constant of the plan; beyond that it is never collected. Each term is filed under one token: its word that fewest terms have, or a pair of characters when it holds Han text (a single character
 when it has no more, or when it has no word at all). The distinct tokens of every text are joined with that index by equality, which gives each text the few terms that
 may occur in it, in the order of the library. One sweep per text then looks for them where their tokens stand, all hits in the order of terms and then of places, and takes each hit that no
 earlier one overlaps and whose word boundaries hold beside the placeholders written so far: what trying all terms one after another would give. The taken values are one sentinel each; which term it
@@ -13,16 +13,18 @@ cuts through other letters frees no further words. Null and empty texts have no
 
 from __future__ import annotations
 
-from collections import defaultdict
+import json
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.hof import sentinel_char
+from cloakframe.functions.hof import constant_array, let, lookup, sentinel_char
 
 TERMS_TYPE = "array<struct<term:string,id:string,category:string,key:string,han:boolean>>"
+BROADCAST_BYTES, FEW = 8 << 20, 2_000
 LINES_TYPE = "array<struct<t:string,occ:array<struct<rank:int,original:string>>>>"
 # fixed values: the Han range of terms, Java's Unicode word character
 HAN = r"[\x{4E01}-\x{9FA4}]"
@@ -47,8 +49,8 @@ def term_index(terms: DataFrame) -> DataFrame:
     return filed.join(often, ["kind", "key"]).groupBy("kind", "term", "id", "category", "han").agg(best.alias("key"))
 
 
-def text_tokens(text: Column, kinds: set[str]) -> Column:
-    """Distinct (kind, key) of a text, for the kinds of key that the library has."""
+def token_arrays(text: Column, kinds: set[str]) -> dict[str, Column]:
+    """Distinct tokens of a text by kind, for the kinds of key that the library has."""
     none = F.array().cast("array<string>")
     has_han = F.rlike(text, F.lit(HAN))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
@@ -60,24 +62,70 @@ def text_tokens(text: Column, kinds: set[str]) -> Column:
         "single": F.when(has_han, F.regexp_extract_all(text, F.lit(HAN), F.lit(0))).otherwise(none),
         "other": F.regexp_extract_all(text, F.lit(r"(?U)\W"), F.lit(0)),
     }
+    return {k: found[k] for k in sorted(kinds)}
 
-    def of(kind: str) -> Column:
-        return F.transform(F.array_distinct(found[kind]), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key")))
-
-    return F.concat(*map(of, sorted(kinds)))
 
-
-def attach_terms(df: DataFrame, text: Column, terms: DataFrame, name: str = "_terms") -> DataFrame:
-    """``df`` with the terms whose token occurs in ``text``, in library order (term, id); null where there are none."""
+def text_tokens(text: Column, kinds: set[str]) -> Column:
+    """Distinct (kind, key) of a text."""
+
+    def of(kind: str, tokens: Column) -> Column:
+        return F.transform(F.array_distinct(tokens), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key")))
+
+    return F.concat(*[of(k, t) for k, t in token_arrays(text, kinds).items()])
+
+
+def _constant_terms(text: Column, rows: list) -> Column:
+    """The same terms as :func:`attach_terms` joins, looked up in a library that is a constant of the plan."""
+    words, _, han, _ = _patterns()
+    least: dict[str, tuple] = {}
+    for r in rows:
+        least[r["term"]] = min((r["id"], r["category"]), least.get(r["term"], (r["id"], r["category"])))
+    tokens = {}
+    for term in least:
+        found = sorted(set(words.findall(term)))
+        if han.search(term):
+            tokens[term] = ("pair" if len(term) > 1 else "single", sorted({term[i : i + 2] for i in range(len(term) - 1)}) or [term])
+        else:
+            tokens[term] = ("word", found) if found else ("other", [term[0]])
+    often = Counter((kind, k) for kind, keys in tokens.values() for k in keys)
+    groups: dict[str, dict[str, list]] = defaultdict(lambda: defaultdict(list))
+    for term, (kind, keys) in tokens.items():
+        key = min(keys, key=lambda k: (often[kind, k], -len(k), k))
+        id_, category = least[term]
+        groups[kind][key].append({"term": term, "id": id_, "category": category, "key": key, "han": kind in ("pair", "single")})
+    parts = []
+    for kind, tokens_of in token_arrays(text, set(groups)).items():
+        table = [{"key": k, "terms": v} for k, v in sorted(groups[kind].items(), key=lambda kv: kv[0].encode())]
+        known = F.array_intersect(tokens_of, constant_array([g["key"] for g in table]))
+        one = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), f"array<struct<key:string,terms:{TERMS_TYPE}>>")
+        parts.append(_looked_up(one, known))
+    found = F.sort_array(F.concat(*parts))
+    return let(found, lambda f: F.when(F.size(f) > 0, f))
+
+
+def _looked_up(groups: Column, keys: Column) -> Column:
+    return let(groups, lambda g: F.flatten(F.transform(keys, lambda k: lookup(g, k, "key", "terms"))))
+
+
+def attach_terms(df: DataFrame, text: Column, terms: DataFrame, name: str = "_terms", few: int = FEW) -> DataFrame:
+    """``df`` with the terms whose token occurs in ``text``, in library order (term, id); null where there are none.
+
+    A library of at most ``few`` terms is a constant of the plan, a larger one is joined; what is attached is the same.
+    """
+    rows = terms.filter("enabled AND term <> ''").select(F.col("id").cast("string").alias("id"), "term", "category").limit(few + 1).collect()
+    if len(rows) <= few:
+        return df.withColumn(name, _constant_terms(text, rows) if rows else F.lit(None).cast(TERMS_TYPE))
     index = term_index(terms)
-    kinds = {r["kind"] for r in index.select("kind").distinct().collect()}  # four at most
-    if not kinds:
-        return df.withColumn(name, F.lit(None).cast(TERMS_TYPE))
+    weight = F.sum(F.octet_length("term") + F.octet_length("key") + F.octet_length("category") + 64).alias("bytes")
+    facts = index.groupBy("kind").agg(weight).collect()  # four rows at most
+    kinds = {r["kind"] for r in facts}
+    if sum(r["bytes"] or 0 for r in facts) <= BROADCAST_BYTES:
+        index = F.broadcast(index)  # its size has just been measured; a larger one is joined by shuffling tokens
     key = F.sha2(text, 256)
     # the digest is taken before the tokens are rows, once for a text and not once for a token
     tokens = df.select(key.alias("_text_key"), text_tokens(text, kinds).alias("_k")).select("_text_key", F.inline("_k"))
-    met = tokens.distinct().join(index, ["kind", "key"])
-    grouped = met.groupBy("_text_key").agg(F.sort_array(F.collect_list(F.struct("term", "id", "category", "key", "han"))).alias(name))
+    met = tokens.join(index, ["kind", "key"]).select("_text_key", F.struct("term", "id", "category", "key", "han").alias("t"))
+    grouped = met.groupBy("_text_key").agg(F.sort_array(F.collect_set("t")).alias(name))
     return df.withColumn("_text_key", key).join(grouped, "_text_key", "left").drop("_text_key")
 
 

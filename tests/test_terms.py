@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -36,10 +37,12 @@ def masked(spark, texts, terms, rules=None, **how):
 PIECES = ["ab", "b", "abc", "a b", "x_y", ".", "-", " ", " ", "  ", "中", "中文", "文字", "é", "C++", "\n", "ab-b", "1"]
 
 
-def test_equal_to_one_after_another(spark):
+@pytest.mark.parametrize("few", [0, 2_000])
+def test_equal_to_one_after_another(spark, monkeypatch, few):
+    monkeypatch.setattr(term_join.attach_terms, "__defaults__", ("_terms", few))  # joined, and as a constant
     rng = random.Random(5)
     make = lambda n: "".join(rng.choice(PIECES) for _ in range(n))
-    for _ in range(4):
+    for _ in range(2):
         terms = list({t: (f"{i}", t, f"K{i % 3}") for i in range(60) if (t := make(rng.randint(1, 4)).strip("\n")) and "\n" not in t
                       and not (regex.search("[一-龥]", t) and regex.search("[^一-龥]", t))}.values())
         texts = [make(rng.randint(0, 40)) for _ in range(150)]
