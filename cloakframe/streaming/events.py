@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+END = "EndOfInput"  # event type of the row that closes a finished input
+
 PAIR_SCHEMA = "file_id BIGINT, start_id BIGINT, outcome STRING, duration_ms BIGINT"
 _PAIR_STATE = "ts ARRAY<BIGINT>, ids ARRAY<BIGINT>, kinds ARRAY<STRING>, open_ts BIGINT, open_id BIGINT"
 
@@ -27,7 +30,7 @@ def pair_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         waiting = list(zip(ts, ids, kinds))
         if not state.hasTimedOut:
             for pdf in frames:
-                waiting += zip(pdf["us"].tolist(), pdf["id"].tolist(), pdf["event_type"].tolist())
+                waiting += [r for r in zip(pdf["us"].tolist(), pdf["id"].tolist(), pdf["event_type"].tolist()) if r[2] != END]
         mark = state.getCurrentWatermarkMs()
         waiting.sort()
         n = 0
@@ -45,7 +48,7 @@ def pair_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         else:
             state.update(([w[0] for w in rest], [w[1] for w in rest], [w[2] for w in rest], open_ts, open_id))
             if rest:
-                state.setTimeoutTimestamp(max(rest[0][0] // 1000, mark) + 1)
+                state.setTimeoutTimestamp(rest[0][0] // 1000)
         if out:
             yield pd.DataFrame(out, columns=["file_id", "start_id", "outcome", "duration_ms"])
 
@@ -70,7 +73,7 @@ def expiry_stream(events: DataFrame, key: str, start: list[str], end: list[str],
         items = [(int(w.split("|")[0]), w.split("|")[1]) for w in waiting]
         if not state.hasTimedOut:
             for pdf in frames:
-                items += zip(pdf["ms"].tolist(), ["s" if t in start else "e" for t in pdf["event_type"]])
+                items += [(ms, "s" if t in start else "e") for ms, t in zip(pdf["ms"].tolist(), pdf["event_type"]) if t != END]
         items.sort()
         out, opened, rest = [], None, []
         for i, (ms, kind) in enumerate(items):
@@ -91,14 +94,14 @@ def expiry_stream(events: DataFrame, key: str, start: list[str], end: list[str],
         if keep:
             state.update(([f"{ms}|{kind}" for ms, kind in keep],))
             first = opened + ttl if opened is not None else rest[0][0]
-            state.setTimeoutTimestamp(max(min([first, *(r[0] for r in rest[:1])]), mark) + 1)
+            state.setTimeoutTimestamp(max(min([first, *(r[0] for r in rest[:1])]), mark))
         else:
             state.remove()
         if out:
             yield pd.DataFrame(out, columns=["key", "since_ms", "expired_ms"])
 
     work = (
-        events.filter(F.col("event_type").isin(*start, *end))
+        events.filter(F.col("event_type").isin(*start, *end, END))
         .withColumn("ms", F.unix_millis("created_at"))
         .withWatermark("created_at", delay)
     )
@@ -116,8 +119,67 @@ def outcome_windows(events: DataFrame, width: str = "1 day", slide: str | None =
     )
 
 
-def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is available now and read the result."""
+def _drain(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+    return query
+
+
+def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is available now and read what the watermark has passed."""
+    _drain(stream, path, checkpoint)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_to_end(events: DataFrame, build: Callable[[DataFrame], DataFrame], clock: Callable[[], int], root: str) -> DataFrame:
+    """All results of a finished input, those behind the last watermark included.
+
+    ``build`` turns the events into the stream of results. After everything
+    available is read, one row of type ``EndOfInput`` with the time ``clock()``
+    (microseconds, see :func:`past_last`) enters
+    through a second source of the same query, which goes on from its
+    checkpoint: the watermark moves on, and the open state comes out through the
+    operator itself. ``clock`` is asked after the first run. Empty inputs give no
+    rows. A run that was interrupted can be repeated with the same ``root``.
+    """
+    spark = events.sparkSession
+    marks, path, checkpoint = f"{root}/marks", f"{root}/out", f"{root}/checkpoint"
+    spark.createDataFrame([], events.schema).write.mode("ignore").parquet(marks)
+    ends = spark.readStream.schema(events.schema).parquet(marks)
+    stream = build(events.unionByName(ends))
+    _drain(stream, path, checkpoint)
+    at = clock()
+    if at is not None:
+        row = {"event_type": F.lit(END), "created_at": F.timestamp_micros(F.lit(at))}
+        fields = [row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]
+        spark.range(1).select(*fields).coalesce(1).write.mode("append").parquet(marks)
+        _drain(stream, path, checkpoint)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def past_last(events: DataFrame, delay_ms: int, extra_ms: int = 0) -> int | None:
+    """The time of an end row that lifts the watermark one millisecond (and ``extra_ms``) past the last event; None without events."""
+    last = events.agg(F.max(F.unix_millis(F.col("created_at").cast("timestamp")))).first()[0]
+    return None if last is None else (last + 1 + delay_ms + extra_ms) * 1000
+
+
+def window_ledger(events: DataFrame, path: str, checkpoint: str, width: str = "1 day") -> DataFrame:
+    """Outcomes per window that count late rows too, however late.
+
+    Each micro-batch writes its own counts per window (a repeated batch
+    overwrites its folder), so no row waits for a watermark and none is dropped;
+    a row behind the windows already written corrects them. Returns the sums, with
+    ``n_batches``: how many micro-batches a window's counts came from. State does
+    not grow; the ledger holds a row for each window, outcome and batch.
+    """
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(F.window("created_at", width)["start"].alias("window_start"), "event_type", "error_code").agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    codes = events.schema["error_code"].dataType.simpleString()
+    ledger = spark.read.schema(f"window_start TIMESTAMP, event_type STRING, error_code {codes}, n BIGINT, batch BIGINT").parquet(path)
+    return ledger.groupBy("window_start", "event_type", "error_code").agg(F.sum("n").alias("n"), F.count("*").alias("n_batches"))
