@@ -32,13 +32,13 @@ from cloakframe.functions.hof import (
     SENTINEL_CAPACITY,
     SENTINEL_CLASS,
     constant_array,
-    count_matches,
     let,
     lookup,
     sentinel,
     sentinel_char,
     sort_by_key,
 )
+from cloakframe.operators.finding_sweep import swept_findings
 from cloakframe.operators.term_join import attach_terms, swept
 from cloakframe.operators.term_match import candidate_terms
 from cloakframe.plans import lexicon as lx
@@ -167,25 +167,6 @@ def _apply_terms(lines: Column, candidates: Column) -> Column:
     return F.transform(lines, one_line)
 
 
-
-def _apply_findings(lines: Column, findings: Column) -> Column:
-    """Literal replacement of every finding, in the order given."""
-
-    def step(s: Column, f: Column) -> Column:
-        return F.when(
-            F.contains(s["t"], f["text"]),
-            _line(
-                F.replace(s["t"], f["text"], sentinel(f["rank"])),
-                F.concat(
-                    s["occ"],
-                    _occurrences(f["rank"], F.array_repeat(f["text"], count_matches(s["t"], f["text"]).cast("int"))),
-                ),
-            ),
-        ).otherwise(s)
-
-    return F.transform(lines, lambda line: F.aggregate(findings, line, step))
-
-
 # --- findings: switches, tokens ---------------------------------------------
 
 
@@ -193,33 +174,15 @@ def _literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def _active_findings(text: Column, findings: Column, enabled: list[str], first_rank: int) -> Column:
-    """Findings present in the text whose rule switch is on; one per value, ranked."""
+def active_findings(findings: Column, enabled: list[str]) -> Column:
+    """Findings whose rule switch is on, one per value (the first), in the order given; an unknown (null) type is never switched off."""
     blocked = [t for t, _, _, _, switch in lx.FINDING_TOKENS if switch is not None and switch not in enabled]
-    usable = F.filter(
-        findings,
-        lambda f: (F.char_length(f["text"]) > 0)
-        & ~f["entity_type"].isin(*(blocked or [""]))
-        & F.contains(text, f["text"]),
-    )
-
-    def ranked(fs: Column) -> Column:
-        texts = F.transform(fs, lambda f: f["text"])
-        firsts = let(
-            texts,
-            lambda ts: F.filter(fs, lambda f, i: F.array_position(ts, f["text"]) == (i + 1)),
-        )
-        return F.transform(
-            firsts,
-            lambda f, i: F.struct(
-                (i + first_rank).cast("int").alias("rank"),
-                f["text"].alias("text"),
-                f["entity_type"].alias("entity_type"),
-            ),
-        )
-
-    empty = F.array().cast("array<struct<rank:int,text:string,entity_type:string>>")
-    return F.coalesce(let(usable, ranked), empty)
+    off = lambda f: F.coalesce(f["entity_type"].isin(*blocked), F.lit(False)) if blocked else F.lit(False)
+    usable = F.filter(findings, lambda f: (F.char_length(f["text"]) > 0) & ~off(f))
+    by_text = F.sort_array(F.transform(usable, lambda f, i: F.struct(f["text"].alias("text"), i.alias("i"), f["entity_type"].alias("entity_type"))))
+    firsts = let(by_text, lambda fs: F.filter(fs, lambda f, i: (i == 0) | (f["text"] != F.get(fs, i - 1)["text"])))
+    ordered = F.sort_array(F.transform(firsts, lambda f: F.struct(f["i"], f["text"], f["entity_type"])))
+    return F.coalesce(F.transform(ordered, lambda f: F.struct(f["text"], f["entity_type"])), F.array()).cast(FINDINGS_TYPE)
 
 
 def _token_part(entity_type: Column, position: int) -> Column:
@@ -278,7 +241,8 @@ def mask_column(
 ) -> Column:
     """Struct ``(masked, mapping, masked_entity_count)`` for one text column.
 
-    ``lines`` are those of :func:`rule_lines` after a library of ``terms`` (an array column) has been applied to them.
+    ``lines`` are those of :func:`rule_lines` after a library of ``terms`` (an array column) and ``findings`` (those of
+    :func:`active_findings`) have been applied to them; findings need them, see :func:`mask_documents`.
 
     ``scope="document"`` works line by line and leaves the plain name rule to
     the detectors; ``scope="fragment"`` treats the value as one line and uses
@@ -302,10 +266,12 @@ def mask_column(
     counted = [r.use_counter for r in active] + [False] * (len(rules.terms) + (terms is not None))
     word_end, word_start = word_sides(active)
 
-    cands = candidate_terms(text, rules.terms, first_term, word_end, word_start) if rules.terms else None
-    finds = _active_findings(text, findings, rules.enabled_ids(), first_finding) if findings is not None else None
+    if findings is not None and lines is None:
+        raise ValueError("findings come with the lines that they have been applied to")
+    finds = findings
+    cands = candidate_terms(text, rules.terms, first_term, word_end, word_start) if rules.terms and finds is None else None
     no_cands = F.array().cast("array<struct<rank:int,literal:string,pattern:string>>")
-    no_finds = F.array().cast("array<struct<rank:int,text:string,entity_type:string>>")
+    no_finds = F.array().cast(FINDINGS_TYPE)
     no_seed = F.array().cast(SEED_TYPE)
     seeds = F.coalesce(seed.cast(SEED_TYPE), no_seed) if seed is not None else no_seed
     start = F.coalesce(seed_counter.cast("int"), F.lit(0)) if seed_counter is not None else F.lit(0)
@@ -347,8 +313,6 @@ def mask_column(
         now = rule_lines(text, rules, scope, tested=True) if lines is None else lines
         if cands is not None:
             now = _apply_terms(now, cs)
-        if finds is not None:
-            now = _apply_findings(now, fs)
         return F.struct(
             F.array_join(F.transform(now, lambda s: s["t"]), "").alias("t"),
             F.flatten(F.transform(now, lambda s: s["occ"])).alias("occ"),
@@ -529,7 +493,7 @@ def mask_column(
         if terms is not None:
             hit = hit | F.coalesce(F.size(terms) > 0, F.lit(False))
         if finds is not None:
-            hit = hit | (F.size(fs) > 0)
+            hit = F.exists(lines, lambda s: F.size(s["occ"]) > 0)
         masked = let(rewrite(cs, fs), lambda state: assemble(state, fs))
         return F.when(hit, masked).otherwise(untouched)
 
@@ -603,17 +567,20 @@ def mask_documents(
         df = attach_terms(df.withColumn("_lines", rule_lines(F.col(text_col), rules, scope)), marked, terms)
         df = df.withColumn("_swept", swept(F.col("_lines"), F.col("_terms"), len(active) + 1, *word_sides(active)))
         library = {"terms": F.col("_terms"), "lines": F.col("_swept")}
+    if findings_col:
+        df = df.withColumn("_found", active_findings(F.col(findings_col), rules.enabled_ids()))
+        df, library = _with_findings(df, F.col(text_col), rules, scope, library)
     expr = mask_column(
         F.col(text_col),
         rules,
         **library,
-        findings=F.col(findings_col) if findings_col else None,
+        findings=F.col("_found") if findings_col else None,
         seed=F.col(seed) if seed else None,
         seed_counter=F.col(seed_counter) if seed_counter else None,
         scope=scope,
     )
     dropped = [text_col, *([findings_col] if findings_col else []), *([seed] if seed else []), *([seed_counter] if seed_counter else [])]
-    dropped += ["_lines", "_terms", "_swept"] if library else []
+    dropped += ["_lines", "_terms", "_swept", "_found", "_base", "_done"] if library else []
     wide = (
         df.withColumn("_m", expr)
         .drop(*dropped)
@@ -623,6 +590,23 @@ def mask_documents(
     return MaskOutput(wide, id_col, rules)
 
 
+def _with_findings(df: DataFrame, text: Column, rules: RuleSet, scope: str, library: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """The lines after rules, terms and the findings in ``_found``; all findings of a row share one sentinel, above those of rules and terms."""
+    active = active_rules(rules, scope)
+    first = len(active) + 1
+    if library:
+        lines, number, mark = library["lines"], F.lit(first) + F.coalesce(F.size(library["terms"]), F.lit(0)), first + 1
+    else:
+        lines, mark = rule_lines(text, rules, scope), first + len(rules.terms)
+        number = F.lit(mark)
+        if rules.terms:
+            plain = lines
+            lines = let(candidate_terms(text, rules.terms, first, *word_sides(active)), lambda cs: _apply_terms(plain, cs))
+    df = df.withColumn("_base", lines)
+    df = df.withColumn("_done", swept_findings(F.col("_base"), F.transform("_found", lambda f: f["text"]), number, sentinel_char(mark)))
+    return df, library | {"lines": F.col("_done")}
+
+
 def attach_findings(df: DataFrame, findings: DataFrame, id_col: str) -> DataFrame:
     """Distinct finding values per document, in order, as an array column."""
     order = F.col("start") if "start" in findings.columns else F.lit(0)
