@@ -15,6 +15,7 @@ from cloakframe.functions.hof import let
 from cloakframe.functions.text import base_name, markdown_named_cell, markdown_row, markdown_text, retryable
 from cloakframe.operators.ordering import global_rank, running_sum
 from cloakframe.plans import lexicon as lx
+from cloakframe.streaming.workdir import work_dir
 
 # --- files ---------------------------------------------------------------------
 
@@ -419,44 +420,95 @@ def first_over_budget(files: DataFrame, budget: int = lx.BATCH_MAX_BYTES) -> Dat
     return run.filter(F.col("running_bytes") > budget).groupBy("batch_id").agg(F.min("file_ord").alias("file_ord"))
 
 
-def admit_files(files: DataFrame, max_files: int = lx.BATCH_MAX_FILES, max_file: int = lx.BATCH_MAX_FILE_BYTES, max_bytes: int = lx.BATCH_MAX_BYTES) -> DataFrame:
+def admit_files(
+    files: DataFrame, max_files: int = lx.BATCH_MAX_FILES, max_file: int = lx.BATCH_MAX_FILE_BYTES, max_bytes: int = lx.BATCH_MAX_BYTES, bucket: int = 10_000
+) -> DataFrame:
     """Admission with reasons, file after file; later smaller files may still fit.
 
-    ``files``: batch_id, file_ord, name, size_bytes, mtime. Which file still
-    fits depends on all files before it, so the files of a batch are read in
-    order by one task. They stream through it: three numbers per file, constant
-    memory, nothing is gathered. Duplicates and unsupported files are answered
-    before and stay out of the stream.
+    ``files``: batch_id, file_ord (a total order within a batch), name, size_bytes, mtime. A size that is null or negative counts
+    as 0; nulls in the other columns are values like any other. Each batch is worked off in rounds over all batches at once, see
+    :func:`_admitted`; windows run over ``bucket`` numbers of file_ord, so no task holds a whole batch.
     """
-    routed = route_formats(files, "name").withColumn("_unsupported", F.col("error_code").isNotNull()).select(*files.columns, "_unsupported")
-    keys = ["batch_id", "name", "size_bytes", "mtime"]
-    firsts = routed.groupBy(*keys).agg(F.min("file_ord").alias("_first"), F.bool_or("_unsupported").alias("_unsupported"))
-    stream = firsts.filter("NOT _unsupported").select("batch_id", F.col("_first").alias("file_ord"), "size_bytes")
-
-    def fold(batches):
-        current, count, used = None, 0, 0
-        for pdf in batches:
-            reasons = []
-            for batch, size in zip(pdf["batch_id"], pdf["size_bytes"]):
-                if batch != current:
-                    current, count, used = batch, 0, 0
-                if count >= max_files:
-                    reasons.append("COUNT_LIMIT")
-                elif size > max_file:
-                    reasons.append("FILE_TOO_LARGE")
-                elif used + size > max_bytes:
-                    reasons.append("BATCH_TOO_LARGE")
-                else:
-                    count, used = count + 1, used + size
-                    reasons.append("ACCEPTED")
-            yield pdf[["batch_id", "file_ord"]].assign(_reason=reasons)
-
-    schema = stream.select("batch_id", "file_ord").schema.add("_reason", "string")
-    judged = stream.repartition("batch_id").sortWithinPartitions("batch_id", "file_ord").mapInPandas(fold, schema)
-    out = routed.join(firsts.drop("_unsupported"), keys).join(judged, ["batch_id", "file_ord"], "left")
+    batch, key = F.to_json(F.struct("batch_id")), F.to_json(F.struct("batch_id", "name", "size_bytes", "mtime"))
+    routed = route_formats(files, "name").select(
+        *files.columns, F.col("error_code").isNotNull().alias("_unsupported"), batch.alias("_batch"), key.alias("_key"),
+        F.greatest(F.coalesce("size_bytes", F.lit(0)), F.lit(0)).cast("long").alias("_size"),
+    )
+    root = work_dir(files.sparkSession, "admit")
+    firsts = routed.groupBy("_key").agg(F.min("file_ord").alias("_first"))
+    judged = routed.join(firsts, "_key")
+    eligible = judged.filter("file_ord = _first AND NOT _unsupported").select("_batch", "file_ord", "_size")
+    accepted, state = _admitted(eligible, root, max_files, max_file, max_bytes, bucket)
+    full = state.filter(F.col("n") >= max_files).select("_batch", F.col("pos").alias("_full"))
+    out = judged.join(full, "_batch", "left").join(accepted.withColumn("_ok", F.lit(True)), ["_batch", "file_ord"], "left")
     reason = (
         F.when(F.col("file_ord") != F.col("_first"), "DUPLICATE")
         .when(F.col("_unsupported"), "UNSUPPORTED")
-        .otherwise(F.col("_reason"))
+        .when(F.col("_ok"), "ACCEPTED")
+        .when((F.col("file_ord") > F.col("_full")) | F.lit(max_files <= 0), "COUNT_LIMIT")
+        .when(F.col("_size") > max_file, "FILE_TOO_LARGE")
+        .otherwise("BATCH_TOO_LARGE")
     )
     return out.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "ACCEPTED").select(*files.columns, "reason", "accepted")
+
+
+def _admitted(eligible: DataFrame, root: str, max_files: int, max_file: int, max_bytes: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """``(accepted files, final state of each batch: pos, used, n, open)`` of the greedy rule.
+
+    With r bytes left and u the largest power of two up to r, every file below u fits until less than u is left, and one file from
+    u on that fits brings the rest below u as well. So a round takes the running sums of the files below u behind the last position,
+    finds the first place where less than u is left or the count is full, and answers everything before it. The rest falls below
+    the next power of two each round: as many rounds as ``max_bytes`` has bits at most, whatever the number of files. Rounds are
+    written below ``root``; the driver learns only whether a batch is open.
+    """
+    spark = eligible.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    work = stored(eligible.filter(F.col("_size") <= max_file), "eligible")
+    zero = F.lit(0).cast("long")
+    state = stored(
+        work.select("_batch").distinct().select("_batch", F.lit(None).cast(work.schema["file_ord"].dataType).alias("pos"), zero.alias("used"), zero.alias("n"), F.lit(max_files > 0).alias("open")), "state-0"
+    )
+    taken_schema = work.select("_batch", "file_ord").schema
+    work.limit(0).select("_batch", "file_ord").write.mode("overwrite").parquet(f"{root}/accepted/round=0")
+    number = 0
+    while not state.filter("open").isEmpty():
+        number += 1
+        left = F.lit(max_bytes) - F.col("used")
+        # shiftright of the highest bit: bin() has as many digits as the number has bits
+        unit = F.when(left > 0, F.expr("1L").cast("long") * F.pow(F.lit(2.0), F.length(F.bin(left)) - 1).cast("long")).otherwise(zero)
+        now = (
+            work.join(state.filter("open").withColumn("left", left).withColumn("unit", unit), "_batch")
+            .filter((F.col("pos").isNull() | (F.col("file_ord") > F.col("pos"))) & (F.col("_size") <= F.col("left")))
+            .withColumn("small", (F.col("_size") < F.col("unit")) | (F.col("left") == 0))
+            .withColumn("b", F.floor(F.col("file_ord") / bucket))
+        )
+        size, one = F.when(F.col("small"), F.col("_size")).otherwise(zero), F.col("small").cast("long")
+        inside = Window.partitionBy("_batch", "b").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = Window.partitionBy("_batch").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        totals = now.groupBy("_batch", "b").agg(F.sum(size).alias("s"), F.sum(one).alias("c"))
+        carried = totals.select("_batch", "b", F.coalesce(F.sum("s").over(before), zero).alias("bs"), F.coalesce(F.sum("c").over(before), zero).alias("bc"))
+        run = (
+            now.withColumn("s", F.sum(size).over(inside)).withColumn("c", F.sum(one).over(inside)).join(carried, ["_batch", "b"])
+            .withColumn("s", F.col("bs") + F.col("s")).withColumn("c", F.col("bc") + F.col("c"))
+        )
+        rest = F.col("left") - F.col("s")
+        ends = (F.col("small") & ((rest < F.col("unit")) | (F.col("n") + F.col("c") >= max_files))) | (~F.col("small") & (F.col("_size") <= rest))
+        at = F.struct("file_ord", (F.col("s") + F.when(F.col("small"), zero).otherwise(F.col("_size"))).alias("s"), (F.col("c") + 1 - one).alias("c"))
+        run = stored(run.select("_batch", "file_ord", "small", ends.alias("ends"), at.alias("at")), f"run-{number}")
+        stop = run.groupBy("_batch").agg(F.min(F.when(F.col("ends"), F.col("at"))).alias("stop"))
+        fits = (F.col("small") & (F.col("stop").isNull() | (F.col("file_ord") <= F.col("stop.file_ord")))) | (~F.col("small") & (F.col("file_ord") == F.col("stop.file_ord")))
+        run.join(stop, "_batch").filter(fits).select("_batch", "file_ord").write.mode("overwrite").parquet(f"{root}/accepted/round={number}")
+        more = F.col("open") & F.col("stop").isNotNull()
+        count = F.when(more, F.col("n") + F.col("stop.c")).otherwise(F.col("n"))
+        state = stored(
+            state.join(stop, "_batch", "left").select(
+                "_batch", F.when(more, F.col("stop.file_ord")).otherwise(F.col("pos")).alias("pos"),
+                F.when(more, F.col("used") + F.col("stop.s")).otherwise(F.col("used")).alias("used"), count.alias("n"), (more & (count < max_files)).alias("open"),
+            ),
+            f"state-{number}",
+        )
+    return spark.read.schema(taken_schema).parquet(f"{root}/accepted").select("_batch", "file_ord"), state
