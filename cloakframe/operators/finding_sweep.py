@@ -1,7 +1,9 @@
-"""Findings of any number in one sweep per text."""
+"""Many literal values in one sweep per text: findings, masked values to restore, originals that leak."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ class Literals:
     a value with its character has, whatever the number of values.
     """
 
-    def __init__(self, values: list[str], first: int):
+    def __init__(self, values: list[str | None], first: int = 0):
         self.values, self.first = values, first
         self.rank_of: dict[str, int] = {}
         lengths: dict[str, set[int]] = {}
@@ -36,22 +38,30 @@ class Literals:
                     found.append((rank, start))
         return sorted(found)
 
-    def line(self, line: dict, mark: str) -> dict:
-        """The line with ``mark`` for each value; a place that is taken stays with the value that came first."""
-        text = line["t"]
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """Places (start, end, rank) in text order; a place that is taken stays with the value that came first."""
         taken = bytearray(len(text))
         spans = []
         for rank, start in self.hits(text):
             end = start + len(self.values[rank])
-            if not any(taken[start:end]):
+            if taken.find(1, start, end) < 0:
                 taken[start:end] = b"\x01" * (end - start)
                 spans.append((start, end, rank))
+        return sorted(spans)
+
+    def replaced(self, text: str, spans: list[tuple[int, int, int]], new: Callable[[int], str]) -> str:
         out, at = [], 0
-        for start, end, _ in sorted(spans):
-            out += [text[at:start], mark]
+        for start, end, rank in spans:
+            out += [text[at:start], new(rank)]
             at = end
-        occ = [{"rank": self.first + rank, "original": text[s:e]} for s, e, rank in sorted(spans)]
-        return {"t": "".join(out) + text[at:], "occ": line["occ"] + occ}
+        return "".join(out) + text[at:]
+
+    def line(self, line: dict, mark: str) -> dict:
+        """The line with ``mark`` for each value."""
+        text = line["t"]
+        spans = self.spans(text)
+        occ = [{"rank": self.first + rank, "original": text[s:e]} for s, e, rank in spans]
+        return {"t": self.replaced(text, spans, lambda _: mark), "occ": line["occ"] + occ}
 
 
 def swept_findings(lines: Column, values: Column, first: Column, mark: str) -> Column:
@@ -73,5 +83,54 @@ def swept_findings(lines: Column, values: Column, first: Column, mark: str) -> C
             out.append(s and [s.line(x, mark) for x in row["lines"]])
         return pa.array(out, kind)
 
+    run = run.asNondeterministic()  # kept as a step of its own: merged into what reads it, Spark can't place it
     work = F.struct(lines.alias("lines"), values.alias("texts"), first.cast("int").alias("first"))
     return F.coalesce(run(F.when(F.size(values) > 0, work)), lines)
+
+
+def swept_originals(text: Column, mapping: Column, where: Column) -> Column:
+    """Struct (t, n): ``text`` with the originals of its masked values, longest (in bytes) first, and their number; null unless ``where``.
+
+    What has been put in is not read again, so an original that looks like another entry's masked value stays as it is.
+    Entries with a null or empty masked value or a null original are left out.
+    """
+    kind = pa.struct([("t", pa.string()), ("n", pa.int64())])
+
+    @F.arrow_udf("t STRING, n BIGINT")
+    def run(rows: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(rows)):  # one text at a time
+            row = rows[i].as_py()
+            if row is None:
+                out.append(None)
+                continue
+            entries = [(m, o) for m, o in zip(row["masked"], row["original"]) if m and o is not None]
+            entries.sort(key=lambda e: -len(e[0].encode()))
+            sweep = Literals([m for m, _ in entries])
+            spans = sweep.spans(row["text"])
+            out.append({"t": sweep.replaced(row["text"], spans, lambda r: entries[r][1]), "n": len(spans)})
+        return pa.array(out, kind)
+
+    masked, original = F.transform(mapping, lambda m: m["masked"]), F.transform(mapping, lambda m: m["original"])
+    run = run.asNondeterministic()  # so that no later filter pulls the sweep down to where it can't run
+    return run(F.when(where & text.isNotNull(), F.struct(text.alias("text"), masked.alias("masked"), original.alias("original"))))
+
+
+def swept_contained(text: Column, values: Column, where: Column) -> Column:
+    """Positions (from 0) of the values that occur in ``text``, ascending, equal values all; null unless ``where``."""
+
+    @F.arrow_udf("array<int>")
+    def run(rows: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(rows)):  # one text at a time
+            row = rows[i].as_py()
+            if row is None:
+                out.append(None)
+                continue
+            sweep = Literals(row["texts"])
+            seen = {rank for rank, _ in sweep.hits(row["text"])}
+            out.append([j for j, v in enumerate(row["texts"]) if v == "" or (v is not None and sweep.rank_of[v] in seen)])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    run = run.asNondeterministic()
+    return run(F.when(where & text.isNotNull(), F.struct(text.alias("text"), values.alias("texts"))))

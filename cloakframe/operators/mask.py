@@ -38,7 +38,7 @@ from cloakframe.functions.hof import (
     sentinel_char,
     sort_by_key,
 )
-from cloakframe.operators.finding_sweep import swept_findings
+from cloakframe.operators.finding_sweep import swept_contained, swept_findings
 from cloakframe.operators.term_join import attach_terms, swept
 from cloakframe.operators.term_match import candidate_terms
 from cloakframe.plans import lexicon as lx
@@ -635,11 +635,18 @@ def masked_counts(files: DataFrame, summary: DataFrame, id_col: str, failed: Col
     )
 
 
+FEW_ORIGINALS = 32
+
+
 def leak_check(wide: DataFrame, id_col: str, masked_col: str = "masked", mapping_col: str = "mapping") -> DataFrame:
-    """Rows whose masked text still holds one of its own originals."""
-    leaks = F.filter(mapping_col, lambda m: F.contains(F.col(masked_col), m["original"]))
-    return (
-        wide.select(id_col, F.explode_outer(leaks).alias("m"))
-        .filter("m IS NOT NULL")
-        .select(id_col, F.col("m.original").alias("original"), F.col("m.rule_id").alias("rule_id"))
-    )
+    """Rows whose masked text still holds one of its own originals.
+
+    Up to ``FEW_ORIGINALS`` entries are looked for one by one, more in one sweep over the text, so the work does not grow
+    with originals x text; the rows are the same. Null originals are in no text.
+    """
+    text, mapping = F.col(masked_col), F.col(mapping_col)
+    many = F.size(mapping) > FEW_ORIGINALS
+    told = wide.select(id_col, text.alias("_t"), mapping.alias("_m"), swept_contained(text, F.transform(mapping, lambda m: m["original"]), many).alias("_at"))
+    one_by_one = F.filter("_m", lambda m: F.contains(F.col("_t"), m["original"]))
+    leaks = F.when(F.size("_m") > FEW_ORIGINALS, F.transform("_at", lambda i: F.get("_m", i))).otherwise(one_by_one)
+    return told.select(id_col, F.inline(F.transform(leaks, lambda m: F.struct(m["original"].alias("original"), m["rule_id"].alias("rule_id")))))

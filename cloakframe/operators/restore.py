@@ -5,37 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.hof import count_matches, let, lookup
+from cloakframe.functions.hof import let, lookup
 from cloakframe.functions.text import clean_display_name, file_extension, file_stem
+from cloakframe.operators.finding_sweep import swept_originals
 
 # Placeholders as written by numbered rules and findings.
 PLACEHOLDER = r"\*\*\*[A-Z]+\*\*\*[0-9]+|\*\*\*[A-Z]+[0-9]+\*\*\*|姓名[0-9]+"
 
 
-def _fold(text: Column, mapping: Column) -> Column:
-    """Longest masked text first (in bytes, stable), literal replacement of all."""
-    ordered = F.sort_array(
-        F.transform(
-            mapping,
-            lambda m, i: F.struct(
-                (-F.octet_length(m["masked"])).alias("k"), i.alias("i"), m["masked"].alias("masked"), m["original"].alias("original")
-            ),
-        )
-    )
-    zero = F.struct(text.alias("t"), F.lit(0).cast("bigint").alias("n"))
-    return F.aggregate(
-        ordered,
-        zero,
-        lambda acc, m: F.when(
-            (F.char_length(m["masked"]) > 0) & F.contains(acc["t"], m["masked"]),
-            F.struct(
-                F.replace(acc["t"], m["masked"], m["original"]).alias("t"),
-                (acc["n"] + count_matches(acc["t"], m["masked"])).alias("n"),
-            ),
-        ).otherwise(acc),
-    )
-
-
 def _one_pass(text: Column, mapping: Column) -> Column:
     """Read all placeholders at once and look each up: O(n log n) in the row."""
     table = F.sort_array(
@@ -88,10 +65,12 @@ def restore_column(text: Column, mapping: Column) -> Column:
     """Struct (t, n): restored text and number of replacements.
 
     Nothing is replaced when two entries share a masked value: which original
-    belongs where can't be told. The one-pass form is taken whenever it is certain
-    to agree with the sequential one: every masked value is exactly one placeholder
-    and no original could form a placeholder by itself. ``text`` and ``mapping``
-    should be plain columns.
+    belongs where can't be told. Masked values are replaced longest first (in bytes)
+    and what has been put in is not read again. Mappings of placeholders only, whose
+    originals could form none, are read with expressions alone; everything else goes
+    through one sweep (:func:`swept_originals`), which gives the same where both
+    apply. Both are linear in text and mapping, up to a logarithm. ``text`` and
+    ``mapping`` should be plain columns.
     """
     plain = F.forall(mapping, lambda m: F.rlike(m["masked"], F.lit(f"^(?:{PLACEHOLDER})$")))
     masked = F.transform(mapping, lambda m: m["masked"])
@@ -100,10 +79,10 @@ def restore_column(text: Column, mapping: Column) -> Column:
     # a text right behind a placeholder must not lengthen or complete another one
     clear = ~F.rlike(text, F.lit(r"[*]{4}|[0-9][*]{3}[A-Z]+[*]{3}[0-9]|[*]{3}[A-Z]+[*]{3}[0-9]+[*]|[0-9]姓名"))
     fast = plain & inert & clear
+    none = (F.coalesce(F.size(mapping), F.lit(0)) <= 0) | ~unique
+    swept = swept_originals(text, mapping, ~none & ~F.coalesce(fast, F.lit(False)))
     empty = F.struct(text.alias("t"), F.lit(0).cast("bigint").alias("n"))
-    return F.when((F.coalesce(F.size(mapping), F.lit(0)) <= 0) | ~unique, empty).when(fast, _one_pass(text, mapping)).otherwise(
-        _fold(text, mapping)
-    )
+    return F.when(none, empty).otherwise(F.coalesce(swept, _one_pass(text, mapping)))
 
 
 def collect_mapping(mapping: DataFrame, id_col: str) -> DataFrame:

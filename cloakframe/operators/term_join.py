@@ -203,4 +203,5 @@ def swept(lines: Column, terms: Column, first: int, word_end: list[int], word_st
             out.append(s and [s.line(x) for x in row["lines"]])
         return pa.array(out, kind)
 
+    run = run.asNondeterministic()  # kept as a step of its own: merged into what reads it, Spark can't place it
     return F.coalesce(run(F.when(F.size(terms) > 0, F.struct(lines.alias("lines"), terms.alias("terms")))), lines)
