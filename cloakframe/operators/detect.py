@@ -315,8 +315,16 @@ def merge_detections(findings: DataFrame, id_col: str, ai: bool = True) -> DataF
     )
 
 
-def parse_model_answers(answers: DataFrame, documents: DataFrame, id_col: str, text_col: str, answer_col: str = "answer") -> DataFrame:
-    """Findings from already produced model answers (``type|value`` or ``type:v1,v2`` lines)."""
+MODEL_VALUE_BYTES = 100
+
+
+def judge_model_answers(answers: DataFrame, documents: DataFrame, id_col: str, text_col: str, answer_col: str = "answer") -> DataFrame:
+    """All values of already produced model answers (``type|value`` or ``type:v1,v2`` lines), one row each, with ``reason``.
+
+    ``reason`` is null for a finding, ``VALUE_TOO_LONG`` above 100 bytes, ``NOT_IN_TEXT`` where the document does not hold the
+    value or there is no such document. Refusals, empty values and lines without a separator are no values. A document meets
+    its values as one array, so its text is not copied for each of them.
+    """
     line = F.trim(F.col("line"))
     refusal = (line == "") | (line == "无") | line.rlike("没有|无法|提取结果")
     bar = F.contains(line, F.lit("|"))
@@ -325,7 +333,7 @@ def parse_model_answers(answers: DataFrame, documents: DataFrame, id_col: str, t
     colon = F.when(wide_colon, "：").otherwise(":")
     kind_colon = F.split_part(line, colon, F.lit(1))
     value_colon = F.substring(line, F.char_length(kind_colon) + 2, F.char_length(line))
-    lines = (
+    values = (
         answers.select(id_col, F.posexplode(F.split(answer_col, r"\r?\n")).alias("line_no", "line"))
         .filter(~refusal & (bar | F.contains(line, F.lit("：")) | F.contains(line, F.lit(":"))))
         .select(
@@ -334,18 +342,29 @@ def parse_model_answers(answers: DataFrame, documents: DataFrame, id_col: str, t
             F.posexplode(F.when(bar, F.array(value_bar)).otherwise(F.split(value_colon, ","))).alias("item_no", "value"),
         )
         .withColumn("value", F.trim("value"))
-        .filter((F.col("value") != "") & (F.octet_length("value") <= 100))
-    )
-    hits = lines.join(documents.select(id_col, F.col(text_col).alias("_doc")), id_col).withColumn(
-        "at", F.expr("instr(_doc, value)")
-    ).filter("at > 0")
-    start = _byte_start(F.col("_doc"), F.col("at") - 1)
-    return hits.select(
-        id_col, F.col("value").alias("text"), normalize_type(F.col("kind")).alias("entity_type"),
-        start.cast("int").alias("start"), (start + F.octet_length("value")).cast("int").alias("end"),
-        F.lit(0.80).cast("float").alias("confidence"), F.lit("ai").alias("source"),
-        (F.col("line_no").cast("bigint") * F.lit(1 << 32) + F.col("item_no")).alias("ord"),
+        .filter("value <> ''")
+        .groupBy(id_col).agg(F.collect_list(F.struct("line_no", "item_no", "kind", "value")).alias("_values"))
     )
+    doc = F.col("_doc")
+
+    def judged(v: Column) -> Column:
+        at = F.coalesce(F.call_function("instr", doc, v["value"]), F.lit(0))
+        start = _byte_start(doc, at - 1)
+        return F.struct(
+            v["value"].alias("text"), normalize_type(v["kind"]).alias("entity_type"),
+            F.when(at > 0, start).cast("int").alias("start"), F.when(at > 0, start + F.octet_length(v["value"])).cast("int").alias("end"),
+            F.lit(0.80).cast("float").alias("confidence"), F.lit("ai").alias("source"),
+            (v["line_no"].cast("bigint") * F.lit(1 << 32) + v["item_no"]).alias("ord"),
+            F.when(F.octet_length(v["value"]) > MODEL_VALUE_BYTES, "VALUE_TOO_LONG").when(at == 0, "NOT_IN_TEXT").alias("reason"),
+        )
+
+    met = values.join(documents.select(id_col, F.col(text_col).alias("_doc")), id_col, "left")
+    return met.select(id_col, F.inline(F.transform("_values", judged)))
+
+
+def parse_model_answers(answers: DataFrame, documents: DataFrame, id_col: str, text_col: str, answer_col: str = "answer") -> DataFrame:
+    """Findings from already produced model answers; what is turned down, and why, is in :func:`judge_model_answers`."""
+    return judge_model_answers(answers, documents, id_col, text_col, answer_col).filter("reason IS NULL").drop("reason")
 
 
 def finding_rows(detections: DataFrame, id_col: str) -> DataFrame:

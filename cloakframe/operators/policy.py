@@ -250,6 +250,16 @@ def strategy_summary(masked_cells: DataFrame, totals: bool = False) -> DataFrame
 # --- saved policies -----------------------------------------------------------------
 
 
+_TEMPLATE_FIELDS = ("rule_ord", "sheet", "col_index", "header_text", "strategy", "replacement")
+
+
+def policy_templates(policies: DataFrame, policy_col: str = "policy_id") -> DataFrame:
+    """Each policy of a table of rules with its content and the hash that names it; policies of equal content get one name."""
+    body = F.to_json(F.sort_array(F.collect_list(F.struct(*_TEMPLATE_FIELDS))))
+    named = policies.groupBy(policy_col).agg(body.alias("policy_json"), F.count("*").alias("n_rules"))
+    return named.withColumn("template_id", F.left(F.sha2("policy_json", 256), F.lit(16)))
+
+
 def policy_template(policy: DataFrame) -> DataFrame:
     """Saved policy named by the hash of its content (a policy is small)."""
     body = F.to_json(

@@ -198,6 +198,23 @@ def q_answers(spark, sf):
     return d.finding_rows(d.parse_model_answers(answers, docs, "doc_id", "text"), "doc_id")
 
 
+@query(
+    "judge_model_answers",
+    """WITH v AS (SELECT doc_id, text, 1 AS k, left(text, 30) AS value FROM documents UNION ALL SELECT doc_id, text, 2, left(text, 120) FROM documents
+        UNION ALL SELECT doc_id, text, 3, 'absent-' || doc_id FROM documents),
+    w AS (SELECT doc_id, text, trim(regexp_replace(value, '[^A-Za-z0-9-]+', ' ', 'g')) AS value FROM v)
+    SELECT doc_id, value AS text, CASE WHEN strlen(value) > 100 THEN 'VALUE_TOO_LONG' WHEN instr(text, value) = 0 THEN 'NOT_IN_TEXT' END AS reason FROM w WHERE value <> ''""",
+    covers="D22",
+)
+def q_judged(spark, sf):
+    """Three values for each document, as a model may give them: one cut from the text, one too long, one that isn't there."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    value = lambda c: F.trim(F.regexp_replace(c, "[^A-Za-z0-9-]+", " "))
+    lines = [F.concat(F.lit("name|"), value(x)) for x in (F.left("text", F.lit(30)), F.left("text", F.lit(120)), F.concat(F.lit("absent-"), F.col("doc_id").cast("string")))]
+    answers = docs.select("doc_id", F.concat_ws("\n", *lines).alias("answer"))
+    return d.judge_model_answers(answers, docs, "doc_id", "text").select("doc_id", "text", "reason")
+
+
 @query(
     "score_expected_fields",
     f"""WITH f AS (SELECT DISTINCT doc_id, text FROM ({_ALL_SQL})),

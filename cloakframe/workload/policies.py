@@ -284,6 +284,26 @@ def q_template(spark, sf):
     return template.crossJoin(n).select((rules * F.col("n")).alias("rules"), F.char_length("template_id").alias("id_length"))
 
 
+@query(
+    "policy_templates",
+    """WITH r AS (SELECT DISTINCT c_custkey % 100 AS policy_id, c_mktsegment AS seg, c_nationkey % 2 AS nat FROM customer),
+    p AS (SELECT policy_id, '[' || string_agg('{"rule_ord":' || (ascii(seg) * 2 + nat) || ',"sheet":"' || seg || '","col_index":' || (policy_id % 4) || ',"header_text":"' || lower(seg)
+        || '","strategy":"' || CASE WHEN nat = 0 THEN 'PHONE_MID4"' ELSE 'DEFAULT_VALUE","replacement":"' || policy_id % 3 || '"' END || '}', ',' ORDER BY ascii(seg) * 2 + nat) || ']' AS j, count(*) AS n_rules FROM r GROUP BY 1)
+    SELECT policy_id, n_rules, left(sha256(j), 16) AS template_id, j AS policy_json FROM p""",
+    covers="P19",
+)
+def q_templates(spark, sf):
+    """A policy for each hundredth of the customers: a rule for each segment and half of the nations met there."""
+    rules = table(spark, sf, "customer").select((F.col("c_custkey") % 100).alias("policy_id"), F.col("c_mktsegment").alias("seg"), (F.col("c_nationkey") % 2).alias("nat")).distinct()
+    number = F.col("policy_id").cast("int")
+    policies = rules.select(
+        "policy_id", (F.ascii("seg") * 2 + F.col("nat")).cast("int").alias("rule_ord"), F.col("seg").alias("sheet"), (number % 4).alias("col_index"),
+        F.lower("seg").alias("header_text"), F.when(F.col("nat") == 0, "PHONE_MID4").otherwise("DEFAULT_VALUE").alias("strategy"),
+        F.when(F.col("nat") != 0, (number % 3).cast("string")).alias("replacement"),
+    )
+    return p.policy_templates(policies)
+
+
 @query(
     "output_stems",
     """SELECT page_id, CASE WHEN s = '' THEN 'excel-file' ELSE s END || '-' || left(sha256(html), 8) || '-' || left('job' || page_id || '000000000', 8) AS stem FROM (
