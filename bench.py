@@ -25,11 +25,11 @@ def ten_megabytes(spark, n: int = 230_000):
     """One 10 MB text of 230,000 lines with the phone and e-mail rules (the written target is 5 s)."""
     from pyspark.sql import functions as F
 
-    from cloakframe.operators.mask import mask_documents
+    from cloakframe.operators.blocks import mask_in_blocks
     from cloakframe.plans.rules import activate
 
-    text = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit(LINE), F.lit(n)).alias("text"))
-    return mask_documents(text, "doc_id", "text", activate(["phone", "email"])).masked
+    text = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(LINE), F.lit(n)).alias("text"))
+    return mask_in_blocks(text, "doc_id", "text", activate(["phone", "email"])).masked
 
 
 def timed(df) -> float:

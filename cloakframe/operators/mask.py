@@ -97,7 +97,7 @@ class MaskOutput:
         return self.wide.sparkSession.createDataFrame(rows, "warning STRING")
 
 
-def _segments(text: Column) -> Column:
+def segments(text: Column) -> Column:
     return F.split(text, SENTINEL_CLASS, -1)
 
 
@@ -133,9 +133,9 @@ def apply_pattern(lines: Column, rank: int, pattern: str, wide: bool) -> Column:
 
     def wide_step(s: Column) -> Column:
         matches = F.flatten(
-            F.transform(_segments(s["t"]), lambda p: F.regexp_extract_all(p, regex, F.lit(0)))
+            F.transform(segments(s["t"]), lambda p: F.regexp_extract_all(p, regex, F.lit(0)))
         )
-        pieces = F.transform(_segments(s["t"]), lambda p: F.regexp_replace(p, regex, mark))
+        pieces = F.transform(segments(s["t"]), lambda p: F.regexp_replace(p, regex, mark))
         text = F.array_join(
             F.zip_with(pieces, _sentinels(s["t"]), lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), ""
         )
@@ -228,6 +228,60 @@ def rule_lines(text: Column, rules: RuleSet, scope: str = "document", tested: bo
     return lines if tested else F.when(may_match(text, active) | text.rlike(SENTINEL_CLASS), lines).otherwise(untouched)
 
 
+def joined_lines(lines: Column) -> Column:
+    """The lines as one text ``t`` with all that was recorded in them, ``occ``."""
+    return F.struct(
+        F.array_join(F.transform(lines, lambda s: s["t"]), "").alias("t"),
+        F.flatten(F.transform(lines, lambda s: s["occ"])).alias("occ"),
+    )
+
+
+def marks_in_order(state: Column, scope: str, whole_text: bool) -> Column:
+    """Every sentinel of a text with its recorded value, in the order of first appearance: (line, rank, at, original)."""
+    # sentinels in text order, with their line
+    pieces = F.split(state["t"], "(?<=\\n)", -1) if scope == "document" else F.array(state["t"])
+    marks = F.flatten(
+        F.transform(pieces, lambda t, ln: F.transform(_sentinels(t), lambda c: F.struct(ln.alias("line"), c.alias("c"))))
+    )
+    # sorted the way the values were recorded, they line up with them
+    recorded = (
+        sort_by_key(F.transform(marks, lambda m, i: F.struct(m["c"].alias("c"), i.alias("at"), m["line"].alias("line"))), "c")
+        if whole_text
+        else F.sort_array(F.transform(marks, lambda m, i: F.struct(m["line"].alias("line"), m["c"].alias("c"), i.alias("at"))))
+    )
+    return F.sort_array(
+        F.zip_with(
+            recorded,
+            state["occ"],
+            lambda m, o: F.struct(
+                m["line"].alias("line"), o["rank"].alias("rank"), m["at"].alias("at"), o["original"].alias("original")
+            ),
+        )
+    )
+
+
+def values_in_order(ordered: Column) -> Column:
+    """The masked values among the marks, sorted by (original, pos)."""
+    return sort_by_key(
+        F.transform(
+            F.filter(ordered, lambda o: o["rank"] > 0),
+            lambda o, i: F.struct(
+                o["original"].alias("original"), i.alias("pos"), o["rank"].alias("rank"),
+                o["line"].alias("line"), o["at"].alias("at"),
+            ),
+        ),
+        "original",
+    )
+
+
+def foreign_marks(ordered: Column) -> Column:
+    """Code points of the sentinels that stood in the text before: (at, out)."""
+    return F.transform(
+        F.filter(ordered, lambda o: o["rank"] == 0),
+        lambda o: F.struct(o["at"].alias("at"), o["original"].alias("out")),
+    )
+
+
 def mask_column(
     text: Column,
     rules: RuleSet,
@@ -313,53 +367,16 @@ def mask_column(
         now = rule_lines(text, rules, scope, tested=True) if lines is None else lines
         if cands is not None:
             now = _apply_terms(now, cs)
-        return F.struct(
-            F.array_join(F.transform(now, lambda s: s["t"]), "").alias("t"),
-            F.flatten(F.transform(now, lambda s: s["occ"])).alias("occ"),
-        )
+        return joined_lines(now)
 
     def assemble(state: Column, fs: Column) -> Column:
-        # sentinels in text order, with their line
-        pieces = F.split(state["t"], "(?<=\\n)", -1) if scope == "document" else F.array(state["t"])
-        marks = F.flatten(
-            F.transform(pieces, lambda t, ln: F.transform(_sentinels(t), lambda c: F.struct(ln.alias("line"), c.alias("c"))))
-        )
-        # sorted the way the values were recorded, they line up with them
-        recorded = (
-            sort_by_key(F.transform(marks, lambda m, i: F.struct(m["c"].alias("c"), i.alias("at"), m["line"].alias("line"))), "c")
-            if whole_text
-            else F.sort_array(F.transform(marks, lambda m, i: F.struct(m["line"].alias("line"), m["c"].alias("c"), i.alias("at"))))
-        )
-        in_order = F.sort_array(
-            F.zip_with(
-                recorded,
-                state["occ"],
-                lambda m, o: F.struct(
-                    m["line"].alias("line"), o["rank"].alias("rank"), m["at"].alias("at"), o["original"].alias("original")
-                ),
-            )
-        )
-
         def group(ordered: Column) -> Column:
-            by_value = sort_by_key(
-                F.transform(
-                    F.filter(ordered, lambda o: o["rank"] > 0),
-                    lambda o, i: F.struct(
-                        o["original"].alias("original"), i.alias("pos"), o["rank"].alias("rank"),
-                        o["line"].alias("line"), o["at"].alias("at"),
-                    ),
-                ),
-                "original",
-            )
-            foreign = F.transform(
-                F.filter(ordered, lambda o: o["rank"] == 0),
-                lambda o: F.struct(o["at"].alias("at"), o["original"].alias("out")),
-            )
+            foreign = foreign_marks(ordered)
             return let(
-                by_value, lambda a: let(_distinct_values(a), lambda d: finish(state["t"], fs, a, d, foreign))
+                values_in_order(ordered), lambda a: let(distinct_values(a), lambda d: finish(state["t"], fs, a, d, foreign))
             )
 
-        return let(in_order, group)
+        return let(marks_in_order(state, scope, whole_text), group)
 
     def finish(marked: Column, fs: Column, by_value: Column, distinct: Column, foreign: Column) -> Column:
         fresh = distinct
@@ -460,7 +477,7 @@ def mask_column(
                 )
             )
             masked = F.array_join(
-                F.zip_with(_segments(marked), outs, lambda p, r: F.concat(p, F.coalesce(r["out"], F.lit("")))), ""
+                F.zip_with(segments(marked), outs, lambda p, r: F.concat(p, F.coalesce(r["out"], F.lit("")))), ""
             )
             return F.struct(
                 masked.alias("masked"),
@@ -505,7 +522,7 @@ def mask_column(
     return let(bound, lambda b: run(b["c"], b["f"]))
 
 
-def _distinct_values(by_value: Column) -> Column:
+def distinct_values(by_value: Column) -> Column:
     """Groups of equal originals in an array sorted by (original, pos)."""
     starts = F.filter(
         F.sequence(F.lit(0), F.size(by_value) - 1),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cloakframe.operators.blocks import mask_in_blocks
 from cloakframe.operators.mask import SEED_TYPE, leak_check, mask_documents, mask_fragments, masked_counts
 from cloakframe.plans import lexicon as lx
 from cloakframe.plans.rules import activate, default_rules
@@ -40,6 +41,31 @@ def q_mask_mapping(spark, sf):
     )
 
 
+@query(
+    "mask_in_blocks",
+    f"WITH {mask_ctes(DOCS)} SELECT k AS doc_id, masked, n AS masked_entity_count FROM masked",
+    covers="A1 A2 A3 W3",
+)
+def q_mask_in_blocks(spark, sf):
+    """The same masked texts from blocks of about a thousand characters, numbered over all blocks of a text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return mask_in_blocks(docs, "doc_id", "text", default_rules(), block_chars=1_000).masked
+
+
+@query(
+    "mask_in_blocks_mapping",
+    f"""WITH {mask_ctes(DOCS)} SELECT k AS doc_id, original, masked, rule_id, first_seen, n AS n_occurrences,
+    count(*) OVER (PARTITION BY k, masked) = 1 AS restorable FROM fresh""",
+    covers="A1 A3 W3",
+)
+def q_mask_in_blocks_mapping(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return mask_in_blocks(docs, "doc_id", "text", default_rules(), block_chars=1_000).mapping.select(
+        "doc_id", "original", "masked", "rule_id", F.col("first_seen").cast("bigint").alias("first_seen"),
+        F.col("n_occurrences").cast("bigint").alias("n_occurrences"), "restorable",
+    )
+
+
 @query(
     "mask_counts_by_source",
     f"""WITH {mask_ctes(DOCS)} SELECT d.source, count(*) AS n_docs,
