@@ -1,4 +1,4 @@
-"""The term library as a table: checks, edits, search, import and snapshots.
+"""The term library as a table: checks, edits, search and import (for snapshots see :mod:`cloakframe.operators.snapshots`).
 
 ``terms``: id, term, category, description, enabled, created_at, updated_at.
 """
@@ -181,30 +181,3 @@ def term_export(terms: DataFrame) -> DataFrame:
 
 def write_term_csv(terms: DataFrame, path: str) -> None:
     term_export(terms).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
-
-
-# --- snapshots ----------------------------------------------------------------------
-
-
-def freeze_snapshot(terms: DataFrame, batches: DataFrame) -> DataFrame:
-    """Enabled terms per batch that asked for them (``wants_terms``); later edits do not change it."""
-    wanted = batches.filter("wants_terms").select("batch_id")
-    return wanted.crossJoin(terms.filter("enabled").select(F.col("id").cast("string").alias("id"), "term", "category", "enabled"))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def write_snapshot(terms: DataFrame, batch_id: str, path: str) -> None:
-    """Write the snapshot of a batch once: a batch that has one keeps it."""
-    spark = terms.sparkSession
-    if _exists(spark, path) and not read_snapshot(spark, path, batch_id).isEmpty():
-        return
-    one = spark.createDataFrame([(batch_id, True)], "batch_id STRING, wants_terms BOOLEAN")
-    freeze_snapshot(terms, one).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-
-
-def read_snapshot(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("batch_id") == batch_id)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cloakframe.operators.mask import mask_documents
-from cloakframe.operators.terms import freeze_snapshot
+from cloakframe.operators.snapshots import read_version, write_snapshot
 from cloakframe.plans.rules import RuleSet
 
 
@@ -23,18 +23,9 @@ def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
     return reader.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 def frozen_terms(spark: SparkSession, terms: Callable[[], DataFrame], path: str, batch_id: int) -> DataFrame:
-    """Term snapshot of a micro-batch: taken once, read again when the batch is repeated."""
-    target = f"{path}/batch_id={batch_id}"
-    if not _exists(spark, f"{target}/_SUCCESS"):
-        wanted = spark.createDataFrame([(str(batch_id), True)], "batch_id STRING, wants_terms BOOLEAN")
-        freeze_snapshot(terms(), wanted).drop("batch_id").write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    """Term snapshot of a micro-batch: taken once, read again when the batch is repeated; batches over an unchanged library share one copy."""
+    return read_version(spark, path, write_snapshot(terms(), str(batch_id), path))
 
 
 def mask_stream(

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators import terms as t
 from cloakframe.operators.mask import mask_documents
+from cloakframe.operators.snapshots import freeze_snapshot
 from cloakframe.plans import lexicon as lx
 from cloakframe.plans.rules import activate, default_rules, rule_catalogue, validate_rule_requests
+from cloakframe.streaming.workdir import work_dir
 from cloakframe.workload.mask_sql import mask_ctes
 from cloakframe.workload.registry import query, table
 
@@ -147,7 +149,7 @@ def q_export(spark, sf):
 )
 def q_snapshot(spark, sf):
     batches = table(spark, sf, "documents").select(F.col("source").alias("batch_id")).distinct().withColumn("wants_terms", F.col("batch_id").endswith("1"))
-    return t.freeze_snapshot(library(spark, sf), batches).select("batch_id", "id", "term")
+    return freeze_snapshot(library(spark, sf), batches, work_dir(spark, "snapshots")).select("batch_id", "id", "term")
 
 
 _DEFAULT = [r for r in lx.BUILTIN_RULES if r[0] not in lx.DEFAULT_OFF_RULES]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cloakframe.operators import cells as cl
 from cloakframe.operators import detect as d
 from cloakframe.operators import policy as p
-from cloakframe.operators import terms as t
+from cloakframe.operators import snapshots
 from cloakframe.operators.mask import mask_documents
 from cloakframe.operators.restore import restore_documents, verify_cells
 from cloakframe.plans import lexicon as lx
@@ -84,9 +84,9 @@ def test_foreign_marks_do_not_move_offsets(spark):
 def test_saved_things_stay_what_they_were(spark):
     path = work_dir(spark, "snap")
     terms = lambda word: spark.createDataFrame([(1, word, "C", True)], "id INT, term STRING, category STRING, enabled BOOLEAN")
-    t.write_snapshot(terms("first"), "b1", path)
-    t.write_snapshot(terms("second"), "b1", path)
-    assert [r.term for r in t.read_snapshot(spark, path, "b1").collect()] == ["first"]
+    snapshots.write_snapshot(terms("first"), "b1", path)
+    snapshots.write_snapshot(terms("second"), "b1", path)
+    assert [r.term for r in snapshots.read_snapshot(spark, path, "b1").collect()] == ["first"]
     policy = spark.createDataFrame([(1, "S", 9, "name", "FULL_MASK", None)], POLICY)
     where = work_dir(spark, "template")
     for _ in range(2):
