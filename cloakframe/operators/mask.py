@@ -185,7 +185,7 @@ def active_findings(findings: Column, enabled: list[str]) -> Column:
     return F.coalesce(F.transform(ordered, lambda f: F.struct(f["text"], f["entity_type"])), F.array()).cast(FINDINGS_TYPE)
 
 
-def _token_part(entity_type: Column, position: int) -> Column:
+def token_part(entity_type: Column, position: int) -> Column:
     table = {row[0]: row[position] for row in lx.FINDING_TOKENS}
     return F.coalesce(F.element_at(_literal_map(table), entity_type), F.lit(lx.FINDING_FALLBACK[position - 1]))
 
@@ -354,9 +354,9 @@ def mask_column(
             return known
         entity_type = F.get(fs, rank - first_finding)["entity_type"]
         dynamic = {
-            "prefix": lambda: _token_part(entity_type, 1),
-            "suffix": lambda: _token_part(entity_type, 2),
-            "rule_id": lambda: _token_part(entity_type, 3),
+            "prefix": lambda: token_part(entity_type, 1),
+            "suffix": lambda: token_part(entity_type, 2),
+            "rule_id": lambda: token_part(entity_type, 3),
             "counted": lambda: F.lit(True),
         }[what]()
         return F.when(rank < first_finding, known).otherwise(dynamic)
