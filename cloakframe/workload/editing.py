@@ -96,6 +96,41 @@ def q_preview(spark, sf):
     return c.preview_rows(conversation_cells(spark, sf), rules)[1].select("original", "masked", "n_occurrences")
 
 
+# Three sheets of customers; a rule finds the names, a library the segments, a finding of the cell every second nation.
+_THREE = """SELECT 'w' AS workbook, 'S' || c_custkey % 3 AS sheet, c_custkey + 2 AS row, col, value, CASE WHEN col = 1 AND c_nationkey % 2 = 0 THEN 'nation' || c_nationkey END AS found
+    FROM (SELECT c_custkey, c_nationkey, 1 AS col, c_name || ' in nation' || c_nationkey AS value FROM {customer}
+    UNION ALL SELECT c_custkey, c_nationkey, 2, 'buys ' || c_mktsegment FROM {customer})"""
+_KINDS = [
+    ("cust", "客户", "Customer#[0-9]+", "***CUST***"), ("sensitive_term_1", "t", r"\bFURNITURE\b", "[GOODS]"),
+    ("sensitive_term_2", "t", r"\bMACHINERY\b", "[GOODS]"), ("chinese_name_ner", "f", r"nation[0-9]?[02468]\b", "姓名"),
+]
+_KINDS_SQL = f"""WITH cells AS ({_THREE.replace("{customer}", "customer")}), {mask_ctes("SELECT 1 AS k0, string_agg(value, chr(10) ORDER BY sheet, row, col) AS text FROM cells", "k0", _KINDS, const={"sensitive_term_1": "[GOODS]", "sensitive_term_2": "[GOODS]"})}"""
+
+
+def _three_kinds(spark, sf):
+    found = F.when(F.col("found").isNotNull(), F.array(F.struct(F.col("found").alias("text"), F.lit("姓名").alias("entity_type"))))
+    cells = spark.sql(_THREE, customer=table(spark, sf, "customer")).withColumn("found", found)
+    terms = spark.createDataFrame([(1, "FURNITURE", "GOODS", True), (2, "MACHINERY", "GOODS", True), (3, "BUILDING", "GOODS", False)], "id INT, term STRING, category STRING, enabled BOOLEAN")
+    rules = activate(["chinese_name"]).add(_KINDS[0][0], *_KINDS[0][2:])
+    return c.mask_table_cells(cells, rules, findings="found", terms=terms)
+
+
+@query(
+    "mask_cells_all_kinds",
+    _KINDS_SQL + """, l AS (SELECT unnest(string_split(masked, chr(10))) AS m, unnest(range(1, len(string_split(masked, chr(10))) + 1)) AS i FROM masked),
+    n AS (SELECT sheet, row, col, row_number() OVER (ORDER BY sheet, row, col) AS i FROM cells) SELECT sheet, row, col, m AS masked FROM n JOIN l USING (i)""",
+    covers="A8",
+)
+def q_all_kinds(spark, sf):
+    """Rules, a library of terms and findings in the cells of three sheets, one counter over all."""
+    return _three_kinds(spark, sf)[0].select("sheet", "row", "col", "masked")
+
+
+@query("cells_all_kinds_mapping", _KINDS_SQL + " SELECT original, masked, rule_id, n AS n_occurrences FROM fresh", covers="A8")
+def q_all_kinds_mapping(spark, sf):
+    return _three_kinds(spark, sf)[1].drop("workbook")
+
+
 @query(
     "cell_mode_split",
     f"""SELECT nationkey AS workbook, bool_or(hit) AS uses_findings, count(*) AS cells FROM (SELECT CAST(c_nationkey AS VARCHAR) AS nationkey,
