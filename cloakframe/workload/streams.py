@@ -19,7 +19,8 @@ MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
 
 
 def _stream(spark, sf, name):
-    return file_stream(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+    # a glob in the path takes a table that is one file and one that is a folder of files
+    return file_stream(spark, f"{sf}/[{name[0]}]{name[1:]}.parquet", table(spark, sf, name).schema)
 
 
 def _job_events(spark, sf):

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.operators.audit import processing_pairs
 from cloakframe.streaming.events import expiry_stream, outcome_windows, pair_stream, past_last, run_to_end, window_ledger
+from cloakframe.workload import load
 
 EVENT = "id LONG, file_id LONG, event_type STRING, error_code STRING, created_at TIMESTAMP"
 KINDS = ["Queued", "ProcessingStarted", "Completed", "Failed"]
@@ -69,3 +71,13 @@ def test_empty_input_and_null_keys(spark, tmp_path):
     events, stream = _stream(spark, rows, str(tmp_path / "in2"))
     out = run_to_end(stream, pair_stream, lambda: past_last(events, 3_600_000), str(tmp_path / "b")).collect()
     assert [(r.file_id, r.start_id, r.duration_ms) for r in out] == [(None, 1, 1000)]
+
+
+@pytest.mark.parametrize("name", ["stream_mask_available_now", "stream_mask_with_terms"])
+def test_masking_streams_read_a_folder_of_files(spark, tmp_path, name):
+    texts = [(i, f"call 1390000000{i} or write to alpha{i}@example.com") for i in range(6)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "write home")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = load().QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6))
+    assert all("***PHONE***" in r.masked for r in got)
