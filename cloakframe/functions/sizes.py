@@ -12,3 +12,12 @@ def spread(df: DataFrame, partitions: int) -> DataFrame:
     shuffle of the input: a table of many row groups needs none.
     """
     return df.repartition(partitions)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` for a Python step over texts: lowers the session's rows and bytes an Arrow batch, as ten thousand texts are a large one."""
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= 1_000:
+        conf.set(rows, "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df

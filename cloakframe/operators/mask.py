@@ -38,6 +38,7 @@ from cloakframe.functions.hof import (
     sentinel_char,
     sort_by_key,
 )
+from cloakframe.functions.sizes import small_batches
 from cloakframe.operators.finding_sweep import swept_contained, swept_findings
 from cloakframe.operators.term_join import attach_terms, swept
 from cloakframe.operators.term_match import candidate_terms
@@ -619,7 +620,7 @@ def _with_findings(df: DataFrame, text: Column, rules: RuleSet, scope: str, libr
         if rules.terms:
             plain = lines
             lines = let(candidate_terms(text, rules.terms, first, *word_sides(active)), lambda cs: _apply_terms(plain, cs))
-    df = df.withColumn("_base", lines)
+    df = small_batches(df).withColumn("_base", lines)
     df = df.withColumn("_done", swept_findings(F.col("_base"), F.transform("_found", lambda f: f["text"]), number, sentinel_char(mark)))
     return df, library | {"lines": F.col("_done")}
 
