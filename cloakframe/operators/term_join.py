@@ -1,6 +1,6 @@
 """Masking with a term library of any size, held as a table.
 
-Only a library of a few terms becomes a constant of the plan; beyond that it is never collected. Each term is filed under one token: its word that fewest terms have, or a pair of characters when it holds Han text (a single character
+Only a library of a few terms becomes a constant of the plan; beyond that it is never collected. Each term is filed under one token: its word, or of several words its two neighbours, that fewest terms have, or a pair of characters when it holds Han text (a single character
 when it has no more, or when it has no word at all). The distinct tokens of every text are joined with that index by equality, which gives each text the few terms that
 may occur in it, in the order of the library. One sweep per text then looks for them where their tokens stand, all hits in the order of terms and then of places, and takes each hit that no
 earlier one overlaps and whose word boundaries hold beside the placeholders written so far: what trying all terms one after another would give. The taken values are one sentinel each; which term it
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.hof import constant_array, let, lookup, sentinel_char
+from cloakframe.functions.sizes import small_batches
 
 TERMS_TYPE = "array<struct<term:string,id:string,category:string,key:string,han:boolean>>"
 BROADCAST_BYTES, FEW = 8 << 20, 2_000
@@ -29,19 +30,21 @@ LINES_TYPE = "array<struct<t:string,occ:array<struct<rank:int,original:string>>>
 # fixed values: the Han range of terms, Java's Unicode word character
 HAN = r"[\x{4E01}-\x{9FA4}]"
 WORD = r"(?U)\w+"
+LETTERS = r"(?U)[\w&&[^\x{4E01}-\x{9FA4}]]+"  # runs without Han characters
 _HAN_PYTHON = "[丁-龤]"
 _WORD_PYTHON = r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}‌‍]"
 
 
 def term_index(terms: DataFrame) -> DataFrame:
-    """(key, kind, term, id, category, han) of the enabled terms; kind is word, pair, single or other."""
+    """(key, kind, term, id, category, han) of the enabled terms; kind is word, words, pair, single or other."""
     one = terms.filter("enabled AND term <> ''").groupBy("term").agg(F.min(F.struct(F.col("id").cast("string").alias("id"), "category")).alias("t"))
     one = one.select("term", "t.id", "t.category", F.rlike("term", F.lit(HAN)).alias("han"))
     words = F.array_distinct(F.regexp_extract_all("term", F.lit(WORD), F.lit(0)))
     pairs = F.array_distinct(F.regexp_extract_all("term", F.lit("(?s)(?=(..))"), F.lit(1)))
-    kind = F.when(F.col("han"), F.when(F.char_length("term") > 1, "pair").otherwise("single")).when(F.size(words) > 0, "word").otherwise("other")
+    runs = F.regexp_extract_all("term", F.lit(WORD), F.lit(0))
+    kind = F.when(F.col("han"), F.when(F.char_length("term") > 1, "pair").otherwise("single")).when(F.size(runs) > 1, "words").when(F.size(runs) > 0, "word").otherwise("other")
     keyed = one.withColumn("kind", kind)
-    tokens = F.when(F.col("kind") == "pair", pairs).when(F.col("kind") == "word", words).otherwise(F.array(F.substring("term", 1, 1)))
+    tokens = F.when(F.col("kind") == "pair", pairs).when(F.col("kind") == "words", let(runs, neighbours)).when(F.col("kind") == "word", words).otherwise(F.array(F.substring("term", 1, 1)))
     filed = keyed.withColumn("key", F.explode(tokens))
     often = filed.groupBy("kind", "key").agg(F.count("*").alias("n"))
     # few terms under one key; of equally rare tokens the longest
@@ -49,15 +52,22 @@ def term_index(terms: DataFrame) -> DataFrame:
     return filed.join(often, ["kind", "key"]).groupBy("kind", "term", "id", "category", "han").agg(best.alias("key"))
 
 
+def neighbours(words: Column) -> Column:
+    """Distinct pairs of words that follow each other, as one text with a line feed between; ``words`` is a bound variable."""
+    return F.array_distinct(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit("\n"), F.get(words, i + 1))))
+
+
 def token_arrays(text: Column, kinds: set[str]) -> dict[str, Column]:
     """Distinct tokens of a text by kind, for the kinds of key that the library has."""
     none = F.array().cast("array<string>")
     has_han = F.rlike(text, F.lit(HAN))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     if kinds & {"pair", "single"}:  # a term may take the Han part of a run
-        words = F.when(has_han, F.concat(words, F.regexp_extract_all(text, F.lit(r"(?U)[\w&&[^\x{4E01}-\x{9FA4}]]+"), F.lit(0)))).otherwise(words)
+        words = F.when(has_han, F.concat(words, F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)))).otherwise(words)
     found = {
         "word": words,
+        # a term of several words has no Han characters; what it matches is such runs, whole, one after the other
+        "words": let(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), neighbours),
         "pair": F.when(has_han, F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))).otherwise(none),
         "single": F.when(has_han, F.regexp_extract_all(text, F.lit(HAN), F.lit(0))).otherwise(none),
         "other": F.regexp_extract_all(text, F.lit(r"(?U)\W"), F.lit(0)),
@@ -110,8 +120,10 @@ def _looked_up(groups: Column, keys: Column) -> Column:
 def attach_terms(df: DataFrame, text: Column, terms: DataFrame, name: str = "_terms", few: int = FEW) -> DataFrame:
     """``df`` with the terms whose token occurs in ``text``, in library order (term, id); null where there are none.
 
-    A library of at most ``few`` terms is a constant of the plan, a larger one is joined; what is attached is the same.
+    A library of at most ``few`` terms is a constant of the plan, a larger one is joined. Terms of several words are attached by one of their words in the first
+    case, by two neighbours in the second: which candidates come differs, what the sweep takes does not.
     """
+    df = small_batches(df)  # the sweep after it holds a batch of texts with their terms
     rows = terms.filter("enabled AND term <> ''").select(F.col("id").cast("string").alias("id"), "term", "category").limit(few + 1).collect()
     if len(rows) <= few:
         return df.withColumn(name, _constant_terms(text, rows) if rows else F.lit(None).cast(TERMS_TYPE))
@@ -121,7 +133,7 @@ def attach_terms(df: DataFrame, text: Column, terms: DataFrame, name: str = "_te
     kinds = {r["kind"] for r in facts}
     if sum(r["bytes"] or 0 for r in facts) <= BROADCAST_BYTES:
         index = F.broadcast(index)  # its size has just been measured; a larger one is joined by shuffling tokens
-    key = F.sha2(text, 256)
+    key = F.unhex(F.sha2(text, 256))
     # the digest is taken before the tokens are rows, once for a text and not once for a token
     tokens = df.select(key.alias("_text_key"), text_tokens(text, kinds).alias("_k")).select("_text_key", F.inline("_k"))
     met = tokens.join(index, ["kind", "key"]).select("_text_key", F.struct("term", "id", "category", "key", "han").alias("t"))
@@ -148,7 +160,8 @@ class Sweep:
             if t["han"] or not words.search(t["term"]):
                 self.by_pair[t["key"]].append((i, t["term"].index(t["key"])))
             else:
-                self.by_word[t["key"]].append((i, next(m.start() for m in words.finditer(t["term"]) if m.group() == t["key"])))
+                key = max(t["key"].split("\n"), key=len)
+                self.by_word[key].append((i, next(m.start() for m in words.finditer(t["term"]) if m.group() == key)))
 
     def hits(self, text: str) -> list[tuple[int, int]]:
         """Every place (term, start) where a term's characters stand."""

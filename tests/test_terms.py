@@ -83,3 +83,36 @@ def test_keys_and_empty_libraries(spark):
     assert got == {"the cat": ("word", "cat", "1"), "the dog": ("word", "dog", "3"), "中文字": ("pair", "中文", "5"), "中": ("single", "中", "6"), "!!": ("other", "!", "7")}
     assert masked(spark, ["the cat off"], [], default_rules())[0].masked == "the cat off"
     assert masked(spark, ["a!!b the cat"], [r[:3] for r in rows])[0].masked == "a[A]b [B]"
+
+
+def test_terms_of_several_words_are_filed_under_two_neighbours(spark):
+    library = spark.createDataFrame([("1", "to be", "A", True), ("2", "be to", "B", True), ("3", "alone", "C", True), ("4", "a b c", "D", True)], TERMS)
+    index = {r.term: (r.kind, r.key) for r in term_join.term_index(library).collect()}
+    assert index == {"to be": ("words", "to\nbe"), "be to": ("words", "be\nto"), "alone": ("word", "alone"), "a b c": ("words", "a\nb")}
+    docs = spark.createDataFrame([(1, "to see, or be"), (2, "not to be alone"), (3, "a b"), (4, "中to be文 a b c")], "doc_id long, text string")
+    got = {r.doc_id: r._terms and [t.term for t in r._terms] for r in term_join.attach_terms(docs, F.col("text"), library, few=0).collect()}
+    assert got == {1: None, 2: ["alone", "to be"], 3: ["a b c"], 4: ["a b c", "to be"]}
+
+
+def test_a_python_step_over_texts_gets_small_batches(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(rows, "10000")
+    spark.conf.set(size, "64m")
+    masked(spark, ["to be"], [("1", "be", "A")])
+    assert int(spark.conf.get(rows)) <= 1_000 and spark.conf.get(size) == "4m"
+
+
+def test_new_terms_are_checked_by_term_and_id(spark):
+    from cloakframe.operators.terms import create_terms
+
+    entry = "id long, term string, category string, description string, enabled boolean"
+    make = lambda rows: spark.createDataFrame([(i, t, "C", None, True) for i, t in rows], entry)
+    new = make([(1, "new"), (2, "new "), (2, "new"), (3, "old"), (None, "new"), (None, "old"), (None, "none"), (4, " "), (5, None), (6, "x" * 257), (1, "new")])
+    accepted, rejects = create_terms(make([(9, "old"), (10, None)]).select("term"), new)
+    assert sorted(((r.id or 0), r.term) for r in accepted.collect()) == [(0, "new"), (0, "none"), (1, "new"), (1, "new")]
+    code = {"old": "TERM_DUPLICATE", "new": "TERM_DUPLICATE", "": "TERM_REQUIRED", None: "TERM_REQUIRED", "x" * 257: "TERM_TOO_LONG"}
+    got = rejects.collect()
+    assert sorted((r.id or 0, r.error_code) for r in got) == [(0, "TERM_DUPLICATE"), (2, "TERM_DUPLICATE"), (2, "TERM_DUPLICATE"), (3, "TERM_DUPLICATE"), (4, "TERM_REQUIRED"), (5, "TERM_REQUIRED"), (6, "TERM_TOO_LONG")]
+    assert all(code[r.term] == r.error_code for r in got)
+    # the entries meet one table only, by term and id: by term alone, a frequent one would be in one task
+    assert rejects._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
