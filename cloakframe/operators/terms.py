@@ -38,12 +38,14 @@ def create_terms(terms: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
     Of several new entries with the same term the first id wins.
     """
     work = _trimmed(new).withColumn("error_code", term_error(F.col("term"), F.col("category"), F.col("description")))
-    existing = terms.select("term").distinct().withColumn("_e", F.lit(True))
-    firsts = work.filter("error_code IS NULL").groupBy("term").agg(F.min("id").alias("_first"))
-    joined = work.join(existing, "term", "left").join(firsts, "term", "left")
-    code = F.coalesce("error_code", F.when(F.col("_e").isNotNull() | (F.col("id") != F.col("_first")), "TERM_DUPLICATE"))
-    done = joined.withColumn("error_code", code).drop("_e", "_first")
-    return done.filter("error_code IS NULL").drop("error_code").select(*new.columns), done.filter("error_code IS NOT NULL").select("id", "term", "error_code")
+    valid, invalid = work.filter("error_code IS NULL").drop("error_code"), work.filter("error_code IS NOT NULL").select("id", "term", "error_code")
+    # what may stay, as rows of its own: joined by term and id, a term with very many entries is in no task as a whole
+    free = valid.groupBy("term").agg(F.min("id").alias("_id")).join(terms.select("term").distinct(), "term", "left_anti")
+    no_id = F.lit(None).cast(valid.schema["id"].dataType)  # an entry without an id is no second one
+    free = free.select(F.col("term").alias("_term"), F.explode(F.array_distinct(F.array("_id", no_id))).alias("_id"), F.lit(True).alias("_ok"))
+    done = valid.join(free, (F.col("term") == F.col("_term")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    rejects = done.filter("_ok IS NULL").select("id", "term", F.lit("TERM_DUPLICATE").alias("error_code"))
+    return done.filter("_ok").select(*new.columns), invalid.unionByName(rejects)
 
 
 def over_capacity(terms: DataFrame, n_new: int, max_rows: int = lx.TERM_MAX_ROWS) -> bool:
