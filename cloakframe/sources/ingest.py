@@ -321,9 +321,10 @@ def page_range(pages: DataFrame, doc: str, page_col: str, text_col: str, start:
 def estimated_pages(df: DataFrame, text_col: str, total_col: str) -> DataFrame:
     """Spread the lines of a text evenly over its estimated number of pages."""
     lines = F.split(F.regexp_replace(text_col, r"\r?\n\z", ""), r"\r?\n", -1)
-    n, t = F.size(lines).cast("bigint"), F.col(total_col).cast("bigint")
+    t = F.col(total_col).cast("bigint")
 
     def pages(ls: Column) -> Column:
+        n = F.size(ls).cast("bigint")  # of the bound lines: a text is cut once, not once for each page
         at = lambda p: F.floor(p * n / t).cast("int")
         return F.transform(F.sequence(F.lit(0), t.cast("int") - 1), lambda p: F.array_join(F.slice(ls, at(p) + 1, at(p + 1) - at(p)), "\n"))
 

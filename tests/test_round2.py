@@ -123,3 +123,12 @@ def test_guarded_rules_look_at_digit_neighbours(spark):
 
 def test_required_rules_are_reported():
     assert activate(["phone", "email"]).missing_required() == ["id_card", "bank_card", "passport", "address"]
+
+
+def test_estimated_pages_cut_a_text_once(spark):
+    from cloakframe.sources.ingest import estimated_pages
+
+    docs = spark.createDataFrame([(1, "a\r\nb\nc\nd\n", 3), (2, "", 3), (3, "one", 1), (4, None, 2), (5, "x\n\n", 2)], "doc_id long, text string, total int")
+    paged = estimated_pages(docs, "text", "total")
+    assert {r.doc_id: r.pages for r in paged.collect()} == {1: ["a", "b", "c\nd"], 2: [""], 3: ["one"], 4: [None, None], 5: ["x", ""]}
+    assert paged._jdf.queryExecution().analyzed().toString().count("split(") == 1
