@@ -115,7 +115,7 @@ class BlockOutput:
         """Long mapping table, as :attr:`cloakframe.operators.mask.MaskOutput.mapping`."""
         before = self._before()
         shared = self.entries.groupBy("_b_key", "masked").agg(F.count("*").alias("_b_shared"))
-        ids = self._state().filter("_b_no = 0").select("_b_key", F.col("_b_id").alias(self.id_col))
+        ids = self._firsts().select("_b_key", F.col("_b_id").alias(self.id_col))
         out = self.entries.join(before, KEY).join(shared, ["_b_key", "masked"]).join(ids, "_b_key")
         return out.select(
             self.id_col, "original", "masked", "rule_id", (F.col("pos") + F.col("_b_marks")).cast("int").alias("first_seen"),
@@ -127,16 +127,23 @@ class BlockOutput:
     def summary(self) -> DataFrame:
         """(id, masked_entity_count, distinct_values) for every input row."""
         counts = self.entries.groupBy("_b_key").agg(F.sum("n").alias("_b_n"), F.count("*").alias("_b_d"))
-        ids = self._state().filter("_b_no = 0").select("_b_key", F.col("_b_id").alias(self.id_col))
+        ids = self._firsts().select("_b_key", F.col("_b_id").alias(self.id_col))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
         return ids.join(counts, "_b_key", "left").select(self.id_col, zero("_b_n").alias("masked_entity_count"), zero("_b_d").cast("int").alias("distinct_values"))
 
     def _state(self) -> DataFrame:
         return unpacked(self.worked)
 
+    def _firsts(self) -> DataFrame:
+        # told by the state, which the first block's row is part of: a filter by number would move below the exchange and make it another one
+        return self._state().filter("_b_row IS NOT NULL")
+
     def _before(self) -> DataFrame:
-        """Masked places and lines in the blocks before each block: one small row a block."""
-        sizes = self._state().select(*KEY, F.struct(F.col("_b_marks"), F.col("_b_lines")).alias("_b_size"), F.floor(F.col("_b_no") / 1024).alias("_b_bucket"))
+        """Masked places and lines in the blocks before each block: one small row a block.
+
+        The bucket is never null, or joins would put a filter on it below the exchange.
+        """
+        sizes = self._state().select(*KEY, F.struct(F.col("_b_marks"), F.col("_b_lines")).alias("_b_size"), F.shiftright("_b_no", 10).alias("_b_bucket"))
         out = sizes
         for name in ("_b_marks", "_b_lines"):
             own = F.col("_b_size")[name]

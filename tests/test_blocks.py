@@ -1,6 +1,7 @@
 """Texts masked in blocks against the same texts in one row."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,10 @@ def test_rules_run_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     spread = [line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line]
     assert sum("ReusedExchange" not in line for line in spread) == 2 and len(spread) > 2
+
+
+def test_readers_of_a_mapping_share_the_blocks_after_the_rules(spark):
+    docs = spark.createDataFrame([(1, "13900000000\nx"), (2, "a@b.cn\n13900000001\n13900000000")], "doc_id long, text string")
+    plan = mask_in_blocks(docs, "doc_id", "text", default_rules(), block_chars=12).mapping._jdf.queryExecution().optimizedPlan().toString()
+    # a filter of one reader below the exchange would make its exchange another one, and the rules run again
+    assert plan.count("Generate posexplode") > 1 and not re.search(r"Filter [^\n]*\n[^\n]*Generate posexplode", plan)
