@@ -40,7 +40,7 @@ from cloakframe.functions.hof import (
 )
 from cloakframe.functions.sizes import small_batches
 from cloakframe.operators.finding_sweep import swept_contained, swept_findings
-from cloakframe.operators.term_join import attach_terms, swept
+from cloakframe.operators.term_join import attach_terms, swept, written
 from cloakframe.operators.term_match import candidate_terms
 from cloakframe.plans import lexicon as lx
 from cloakframe.plans.rules import RuleSet, java_pattern
@@ -581,9 +581,12 @@ def mask_documents(
     library = {}
     if terms is not None:
         active = active_rules(rules, scope)
-        marked = F.array_join(F.transform("_lines", lambda s: s["t"]), "")
-        df = attach_terms(df.withColumn("_lines", rule_lines(F.col(text_col), rules, scope)), marked, terms)
-        df = df.withColumn("_swept", swept(F.col("_lines"), F.col("_terms"), len(active) + 1, *word_sides(active)))
+        marked = F.when(F.col(text_col).isNotNull(), F.array_join(F.transform("_lines", lambda s: s["t"]), ""))
+        after = len(active) + 1, *word_sides(active)
+        # seeds and findings change what terms leave, so such texts are all swept in order
+        done = None if findings_col or seed else written(F.col("_lines"), is_whole(active, scope), *after)
+        df = attach_terms(df, marked, terms, done=done, by=F.col(text_col), late={"_lines": rule_lines(F.col(text_col), rules, scope)})
+        df = df.withColumn("_swept", swept(F.col("_lines"), F.col("_terms"), *after))
         library = {"terms": F.col("_terms"), "lines": F.col("_swept")}
     if findings_col:
         df = df.withColumn("_found", active_findings(F.col(findings_col), rules.enabled_ids()))
@@ -597,13 +600,21 @@ def mask_documents(
         seed_counter=F.col(seed_counter) if seed_counter else None,
         scope=scope,
     )
+    df = df.withColumn("_m", expr)
+    masked, n = F.col("_m.masked"), F.col("_m.masked_entity_count")
+    if library and "_written" in df.columns:
+        # texts that are written already have no other marks; the mapping is read from the sweep of all, which is left out of the plan where nobody asks for it
+        left = mask_column(
+            F.col(text_col), rules, terms=F.col("_written.terms"), lines=F.coalesce("_written.lines", "_lines"), seed_counter=F.col(seed_counter) if seed_counter else None, scope=scope
+        )
+        df = df.withColumn("_rest", F.when(F.col("_written.masked").isNull(), left))
+        masked, n = F.coalesce("_written.masked", "_rest.masked"), F.coalesce("_written.n", "_rest.masked_entity_count")
     dropped = [text_col, *([findings_col] if findings_col else []), *([seed] if seed else []), *([seed_counter] if seed_counter else [])]
-    dropped += ["_lines", "_terms", "_swept", "_found", "_base", "_done"] if library else []
+    dropped += ["_lines", "_terms", "_swept", "_found", "_base", "_done", "_written", "_rest"] if library else []
     wide = (
-        df.withColumn("_m", expr)
-        .drop(*dropped)
-        .select("*", F.col("_m.masked").alias("masked"), F.col("_m.mapping").alias("mapping"), F.col("_m.masked_entity_count").alias("masked_entity_count"))
-        .drop("_m")
+        df.withColumns({"_masked": masked, "_mapping": F.col("_m.mapping"), "_n": n})
+        .drop(*dropped, "_m")
+        .withColumnsRenamed({"_masked": "masked", "_mapping": "mapping", "_n": "masked_entity_count"})
     )
     return MaskOutput(wide, id_col, rules)
 

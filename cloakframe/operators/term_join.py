@@ -1,10 +1,13 @@
 """Masking with a term library of any size, held as a table.
 
-Only a library of a few terms becomes a constant of the plan; beyond that it is never collected. Each term is filed under one token: its word, or of several words its two neighbours, that fewest terms have, or a pair of characters when it holds Han text (a single character
-when it has no more, or when it has no word at all). The distinct tokens of every text are joined with that index by equality, which gives each text the few terms that
-may occur in it, in the order of the library. One sweep per text then looks for them where their tokens stand, all hits in the order of terms and then of places, and takes each hit that no
-earlier one overlaps and whose word boundaries hold beside the placeholders written so far: what trying all terms one after another would give. The taken values are one sentinel each; which term it
-was stands beside it, so the number of terms in a text is not bounded.
+Only a library of a few terms becomes a constant of the plan; beyond that it is never collected. Each term is filed under one token: its word, of several words a longer one that no other
+term has or else the two neighbours that fewest terms have, or a pair of characters when it holds Han text (a single character when it has no more, or when it has no word at all). Texts are dealt
+into as many partitions as a shuffle has. The distinct tokens of each partition are joined with that index by equality, and the terms that are met come into the partition before its texts: rows
+are tokens of a partition and not of every text, and no text carries its terms. Tokens are hashes; a bitmap of the library's hashes, a few MB whatever its size, keeps most others out of the join.
+
+What is taken are hits in the order of terms and then of places, each that no earlier one overlaps and whose word boundaries hold beside the placeholders written so far: what trying all terms one
+after another would give. Texts that only whole words can match are written a batch at a time (:mod:`cloakframe.operators.term_batch`). For others one sweep per text looks for the terms
+where their tokens stand. The taken values are one sentinel each; which term it was stands beside it, so the number of terms in a text is not bounded.
 
 A term with Han text matches anywhere, others at word boundaries. A placeholder of a term begins and ends with a bracket, which is no word character; those of
 rules count as what they begin and end with. Where a term takes Han characters out of a run of letters, what is left of the run counts as a word; a term that mixes Han characters with others and
@@ -14,42 +17,57 @@ cuts through other letters frees no further words. Null and empty texts have no
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter, defaultdict
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.hof import constant_array, let, lookup, sentinel_char
 from cloakframe.functions.sizes import small_batches
+from cloakframe.operators.term_batch import BUCKET_BITS, ROWS, SIEVE_BITS, key_hashes, packs, partition_tokens, sieve_of, with_library
+from cloakframe.operators.term_batch import patterns as _patterns
 
 TERMS_TYPE = "array<struct<term:string,id:string,category:string,key:string,han:boolean>>"
-BROADCAST_BYTES, FEW = 8 << 20, 2_000
+FEW = 2_000
 LINES_TYPE = "array<struct<t:string,occ:array<struct<rank:int,original:string>>>>"
+DONE_TYPE = f"struct<masked:string,n:bigint,terms:{TERMS_TYPE},lines:{LINES_TYPE}>"
 # fixed values: the Han range of terms, Java's Unicode word character
 HAN = r"[\x{4E01}-\x{9FA4}]"
 WORD = r"(?U)\w+"
 LETTERS = r"(?U)[\w&&[^\x{4E01}-\x{9FA4}]]+"  # runs without Han characters
-_HAN_PYTHON = "[丁-龤]"
-_WORD_PYTHON = r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}‌‍]"
+_TERM = pa.struct([("term", pa.string()), ("id", pa.string()), ("category", pa.string()), ("key", pa.string()), ("han", pa.bool_())])
+_LINES = pa.list_(pa.struct([("t", pa.string()), ("occ", pa.list_(pa.struct([("rank", pa.int32()), ("original", pa.string())])))]))
+_DONE = pa.struct([("masked", pa.string()), ("n", pa.int64()), ("terms", pa.list_(_TERM)), ("lines", _LINES)])
+OWN_WORD = 3  # letters of a word under which a term of several may be filed; shorter ones are in most texts
 
 
-def term_index(terms: DataFrame) -> DataFrame:
-    """(key, kind, term, id, category, han) of the enabled terms; kind is word, words, pair, single or other."""
+def filed_terms(terms: DataFrame) -> DataFrame:
+    """(term, t, han, of, kind, key): the enabled terms under each token that may be their key; ``of`` is the kind of term, ``t`` its id and category."""
     one = terms.filter("enabled AND term <> ''").groupBy("term").agg(F.min(F.struct(F.col("id").cast("string").alias("id"), "category")).alias("t"))
-    one = one.select("term", "t.id", "t.category", F.rlike("term", F.lit(HAN)).alias("han"))
-    words = F.array_distinct(F.regexp_extract_all("term", F.lit(WORD), F.lit(0)))
-    pairs = F.array_distinct(F.regexp_extract_all("term", F.lit("(?s)(?=(..))"), F.lit(1)))
+    one = one.select("term", "t", F.rlike("term", F.lit(HAN)).alias("han"))
     runs = F.regexp_extract_all("term", F.lit(WORD), F.lit(0))
+    pairs = F.array_distinct(F.regexp_extract_all("term", F.lit("(?s)(?=(..))"), F.lit(1)))
     kind = F.when(F.col("han"), F.when(F.char_length("term") > 1, "pair").otherwise("single")).when(F.size(runs) > 1, "words").when(F.size(runs) > 0, "word").otherwise("other")
-    keyed = one.withColumn("kind", kind)
-    tokens = F.when(F.col("kind") == "pair", pairs).when(F.col("kind") == "words", let(runs, neighbours)).when(F.col("kind") == "word", words).otherwise(F.array(F.substring("term", 1, 1)))
-    filed = keyed.withColumn("key", F.explode(tokens))
-    often = filed.groupBy("kind", "key").agg(F.count("*").alias("n"))
-    # few terms under one key; of equally rare tokens the longest
-    best = F.min_by(F.col("key"), F.struct("n", -F.char_length("key"), "key"))
-    return filed.join(often, ["kind", "key"]).groupBy("kind", "term", "id", "category", "han").agg(best.alias("key"))
+    keyed = one.withColumn("of", kind)
+    under = lambda kind, tokens: F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key")))
+    long = F.filter(F.array_distinct(runs), lambda w: F.char_length(w) >= OWN_WORD)
+    tokens = F.when(F.col("of") == "pair", under("pair", pairs)).when(F.col("of") == "words", F.concat(under("words", let(runs, neighbours)), under("word", long)))
+    tokens = tokens.otherwise(F.array(F.struct(F.col("of").alias("kind"), F.when(F.col("of") == "word", F.get(runs, 0)).otherwise(F.substring("term", 1, 1)).alias("key"))))
+    return keyed.select("*", F.inline(tokens))
+
+
+def term_index(terms: DataFrame) -> DataFrame:
+    """(key, kind, term, id, category, han) of the enabled terms; kind is word, words, pair, single or other."""
+    filed = filed_terms(terms)
+    often = filed.groupBy("kind", "key").agg(F.count("t").alias("n"))  # of t, that both readers of the terms read the same columns and share one exchange
+    # few terms under one key, of several words one of them only if it has no other; of equally rare tokens the longest
+    shared = (F.col("of") == "words") & (F.col("kind") == "word") & (F.col("n") > 1)
+    best = F.min_by(F.struct("kind", "key"), F.struct(shared, "n", F.col("kind") != "word", -F.char_length("key"), "key"))
+    return filed.join(often, ["kind", "key"]).groupBy("term", "t", "han").agg(best.alias("b")).select("b.kind", "term", "t.id", "t.category", "han", "b.key")
 
 
 def neighbours(words: Column) -> Column:
@@ -75,15 +93,6 @@ def token_arrays(text: Column, kinds: set[str]) -> dict[str, Column]:
     return {k: found[k] for k in sorted(kinds)}
 
 
-def text_tokens(text: Column, kinds: set[str]) -> Column:
-    """Distinct (kind, key) of a text."""
-
-    def of(kind: str, tokens: Column) -> Column:
-        return F.transform(F.array_distinct(tokens), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key")))
-
-    return F.concat(*[of(k, t) for k, t in token_arrays(text, kinds).items()])
-
-
 def _constant_terms(text: Column, rows: list) -> Column:
     """The same terms as :func:`attach_terms` joins, looked up in a library that is a constant of the plan."""
     words, _, han, _ = _patterns()
@@ -117,35 +126,90 @@ def _looked_up(groups: Column, keys: Column) -> Column:
     return let(groups, lambda g: F.flatten(F.transform(keys, lambda k: lookup(g, k, "key", "terms"))))
 
 
-def attach_terms(df: DataFrame, text: Column, terms: DataFrame, name: str = "_terms", few: int = FEW) -> DataFrame:
+def attach_terms(
+    df: DataFrame, text: Column, terms: DataFrame, name: str = "_terms", few: int = FEW, *, done: Column | None = None, by: Column | None = None, late: dict[str, Column] | None = None
+) -> DataFrame:
     """``df`` with the terms whose token occurs in ``text``, in library order (term, id); null where there are none.
 
     A library of at most ``few`` terms is a constant of the plan, a larger one is joined. Terms of several words are attached by one of their words in the first
-    case, by two neighbours in the second: which candidates come differs, what the sweep takes does not.
+    case, by two neighbours or a word of their own in the second: which candidates come differs, what the sweep takes does not.
+
+    ``late`` are columns to add, which ``text`` may be made of: rows are dealt out by ``by`` (``text`` unless given) without them. With ``done``, see :func:`written`, a joined
+    library also gives the column ``_written``.
     """
     df = small_batches(df)  # the sweep after it holds a batch of texts with their terms
+    late = late or {}
     rows = terms.filter("enabled AND term <> ''").select(F.col("id").cast("string").alias("id"), "term", "category").limit(few + 1).collect()
     if len(rows) <= few:
-        return df.withColumn(name, _constant_terms(text, rows) if rows else F.lit(None).cast(TERMS_TYPE))
-    index = term_index(terms)
-    weight = F.sum(F.octet_length("term") + F.octet_length("key") + F.octet_length("category") + 64).alias("bytes")
-    facts = index.groupBy("kind").agg(weight).collect()  # four rows at most
-    kinds = {r["kind"] for r in facts}
-    if sum(r["bytes"] or 0 for r in facts) <= BROADCAST_BYTES:
-        index = F.broadcast(index)  # its size has just been measured; a larger one is joined by shuffling tokens
-    key = F.unhex(F.sha2(text, 256))
-    # the digest is taken before the tokens are rows, once for a text and not once for a token
-    tokens = df.select(key.alias("_text_key"), text_tokens(text, kinds).alias("_k")).select("_text_key", F.inline("_k"))
-    met = tokens.join(index, ["kind", "key"]).select("_text_key", F.struct("term", "id", "category", "key", "han").alias("t"))
-    grouped = met.groupBy("_text_key").agg(F.sort_array(F.collect_set("t")).alias(name))
-    return df.withColumn("_text_key", key).join(grouped, "_text_key", "left").drop("_text_key")
-
-
-@lru_cache(maxsize=1)
-def _patterns():
-    import regex
+        return df.withColumns(late).withColumn(name, _constant_terms(text, rows) if rows else F.lit(None).cast(TERMS_TYPE))
+    met = _beside_library(df, text, terms, text if by is None else by, late)
+    if done is not None:
+        met = met.withColumn("_written", done)
+    return met.withColumn(name, _attached("_terms_lib", "_terms_text")).filter("_terms_lib IS NULL").drop("_terms_lib", "_terms_text", "_terms_part")
+
+
+def _beside_library(df: DataFrame, text: Column, terms: DataFrame, by: Column, late: dict[str, Column]) -> DataFrame:
+    """``df`` with ``late``, ``_terms_text`` and ``_terms_part``, dealt by text; each partition begins with packs of the terms (``_terms_lib``) whose token is in one of its texts."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bit = F.shiftrightunsigned(_key_hash("kind", "key"), 64 - SIEVE_BITS)
+    bits = filed_terms(terms).select("kind", bit.alias("bit")).select("kind", F.shiftright("bit", BUCKET_BITS).alias("b"), F.col("bit").bitwiseAND((1 << BUCKET_BITS) - 1).alias("p"))
+    sieve = bits.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"), F.collect_set("kind").alias("kinds")).collect()
+    kinds = {k for r in sieve for k in r["kinds"]}
+    # equal texts need the same terms; texts without any go where the other columns say
+    names = [c.lower() for c in df.columns]
+    plain = [f for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant")) and names.count(f.name.lower()) == 1]
+    spare = [F.col("`" + f.name.replace("`", "``") + "`") for f in plain]
+    part = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    dealt = df.select("*", by.alias("_terms_by")).select("*", F.when(F.col("_terms_by") != "", part("_terms_by")).otherwise(part(*spare) if spare else 0).alias("_terms_part")).drop("_terms_by")
+    texts = dealt.withColumns(late).select("_terms_part", text.alias("_terms_text")).filter("_terms_text <> ''").repartitionById(n, "_terms_part")
+    tokens = texts.mapInArrow(partition_tokens(kinds, sieve_of({r["b"]: bytes(r["bits"]) for r in sieve})), "_terms_part int, _hash long")
+    index = term_index(terms).withColumn("category", F.col("category").cast("string")).withColumn("_hash", _key_hash("kind", "key"))
+    met = tokens.join(index, "_hash").select("_terms_part", *ROWS.names).mapInArrow(packs, "_terms_part int, _terms_lib binary")
+    both = dealt.select("*", F.lit(None).cast("binary").alias("_terms_lib")).union(met.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema], "_terms_part", "_terms_lib"))
+    return both.repartitionById(n, "_terms_part").sortWithinPartitions(F.col("_terms_lib").isNull()).withColumns(late).withColumn("_terms_text", text)
+
+
+def _key_hash(kind: str, key: str) -> Column:
+    @F.arrow_udf("long")
+    def run(kinds: pa.Array, keys: pa.Array) -> pa.Array:
+        return pa.array(key_hashes(kinds, keys).view("int64"))
+
+    return run(kind, key)
+
+
+def _attached(lib: str, text: str) -> Column:
+    @F.arrow_udf(TERMS_TYPE)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(_TERM)
+        for library, texts, n, *_ in with_library(batches):
+            found = library.attached(texts).cast(kind) if library else pa.nulls(len(texts), kind)
+            yield pa.concat_arrays([pa.nulls(n, kind), found])
+
+    return run.asNondeterministic()(lib, text)  # kept where it stands: rows of the library have to come through it
+
+
+def written(lines: Column, whole: bool, first: int, word_end: list[int], word_start: list[int]) -> Column:
+    """For :func:`attach_terms`: the masked text and the number of places for texts that need no sweep in order; for others the terms, and ``lines`` after them where there are terms."""
+    ends, starts = (frozenset(map(sentinel_char, r)) for r in (word_end, word_start))
 
-    return regex.compile(f"{_WORD_PYTHON}+"), regex.compile(f"(?:(?!{_HAN_PYTHON}){_WORD_PYTHON})+"), regex.compile(_HAN_PYTHON), regex.compile(_WORD_PYTHON)
+    @F.arrow_udf(DONE_TYPE)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for library, texts, n, marked in with_library(batches):
+            found = pa.nulls(len(texts), _DONE)
+            if library:
+                each = texts.dictionary_encode()  # equal texts are in one partition
+                masked, places, terms = (x.take(each.indices) for x in library.masked(each.dictionary))
+                left = [None] * len(texts)
+                for i in pc.indices_nonzero(terms.is_valid()).to_pylist():  # one text at a time
+                    text = texts[i].as_py()
+                    own = marked[i].as_py() or [{"t": t, "occ": []} for t in ([text] if whole else re.split("(?<=\n)", text))]
+                    sweep = Sweep(terms[i].as_py(), first, ends, starts)
+                    left[i] = [sweep.line(x) for x in own]
+                found = pa.StructArray.from_arrays([masked, places, terms.cast(pa.list_(_TERM)), pa.array(left, _LINES)], fields=list(_DONE))
+            yield pa.concat_arrays([pa.nulls(n, _DONE), found])
+
+    # lines without marks are those of the text
+    return run.asNondeterministic()("_terms_lib", "_terms_text", F.when(F.exists(lines, lambda s: F.size(s["occ"]) > 0), lines))
 
 
 class Sweep:
@@ -205,8 +269,6 @@ class Sweep:
 def swept(lines: Column, terms: Column, first: int, word_end: list[int], word_start: list[int]) -> Column:
     """``lines`` (see LINES_TYPE) after all terms; rows without a term don't go through Python."""
     ends, starts = (frozenset(map(sentinel_char, r)) for r in (word_end, word_start))
-    kind = pa.list_(pa.struct([("t", pa.string()), ("occ", pa.list_(pa.struct([("rank", pa.int32()), ("original", pa.string())])))]))
-
     @F.arrow_udf(LINES_TYPE)
     def run(rows: pa.Array) -> pa.Array:
         out = []
@@ -214,7 +276,7 @@ def swept(lines: Column, terms: Column, first: int, word_end: list[int], word_st
             row = rows[i].as_py()
             s = row and Sweep(row["terms"], first, ends, starts)
             out.append(s and [s.line(x) for x in row["lines"]])
-        return pa.array(out, kind)
+        return pa.array(out, _LINES)
 
     run = run.asNondeterministic()  # kept as a step of its own: merged into what reads it, Spark can't place it
     return F.coalesce(run(F.when(F.size(terms) > 0, F.struct(lines.alias("lines"), terms.alias("terms")))), lines)

@@ -225,10 +225,10 @@ def big_library(spark, sf):
     """Words of five letters or more and pairs of shorter neighbours of all passages and conversations."""
     texts = table(spark, sf, "benchmark").select("text").union(table(spark, sf, "conversations").select("text"))
     words = texts.select(F.regexp_extract_all("text", F.lit(r"[\pL\pN\pM_]+"), F.lit(0)).alias("w"), F.split("text", r"[\pL\pN\pM_]+", -1).alias("g"))
-    single = words.select(F.explode("w").alias("term")).filter("length(term) >= 5")
-    pairs = words.select(F.inline(F.transform("w", lambda a, i: F.struct(a.alias("a"), F.get("w", i + 1).alias("b"), F.get("g", i + 1).alias("g")))))
-    pairs = pairs.filter("g = ' ' AND length(a) < 5 AND length(b) < 5").select(F.concat_ws(" ", "a", "b").alias("term"))
-    term = single.union(pairs).distinct()
+    near = words.select(F.inline(F.transform("w", lambda a, i: F.struct(a.alias("a"), F.get("w", i + 1).alias("b"), F.get("g", i + 1).alias("g")))))
+    # a word gives one term at most: itself, or with the next
+    short = near.selectExpr("CASE WHEN length(a) >= 5 THEN a WHEN g = ' ' AND length(b) < 5 THEN concat(a, ' ', b) END AS term")
+    term = short.filter("term IS NOT NULL").distinct()
     return term.select(F.col("term").alias("id"), "term", F.concat(F.lit("C"), F.length("term") % 5).alias("category"), F.lit(True).alias("enabled"))
 
 
